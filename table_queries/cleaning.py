@@ -409,7 +409,7 @@ _UNIT = sql_draw("CAST(c_acctbal AS VARCHAR)", 2001, SALT) + " / 1000.0 - 1.0"
 
 @query(
     "d17_num_noise",
-    f"SELECT c_custkey, round(c_acctbal * (1 + ({_UNIT})::DOUBLE * 0.1), 1) AS relative, "
+    f"SELECT c_custkey, round(round(c_acctbal * (1 + ({_UNIT})::DOUBLE * 0.1), 2), 1) AS relative, "
     f"CAST(round(c_acctbal + ({_UNIT})::DOUBLE * 50.5) AS BIGINT) AS absolute FROM customer",
 )
 def num_noise(spark: SparkSession, folder: str) -> DataFrame:
@@ -659,7 +659,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "e10_compare",
     "SELECT c_custkey, 'c_acctbal' AS \"column\", CAST(c_acctbal AS VARCHAR) AS before, "
-    "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(round(c_acctbal / 100.0) * 100.0 AS VARCHAR) END AS "
+    "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(round(c_acctbal / 100.0) * 100.0 + 0.0 AS VARCHAR) END AS "
     "after, CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN round(c_acctbal / 100.0) * 100.0 = c_acctbal "
     "THEN 'unchanged' ELSE 'changed' END AS state FROM customer UNION ALL "
     "SELECT c_custkey, 'c_mktsegment', c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE "

@@ -302,16 +302,16 @@ def violation_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "h15_suggest",
-    "SELECT 'c_custkey' AS \"column\", 'not_null' AS type, '' AS detail FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 'c_custkey', 'unique', '' FROM customer GROUP BY ALL UNION ALL "
+    "SELECT 'c_custkey' AS \"column\", 'not_null' AS type, '' AS detail FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 'c_custkey', 'unique', '' FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
     "SELECT 'c_custkey', 'range', min(c_custkey) || ' ' || max(c_custkey) FROM customer UNION ALL "
-    "SELECT 'c_name', 'not_null', '' FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 'c_name', 'unique', '' FROM customer GROUP BY ALL UNION ALL "
+    "SELECT 'c_name', 'not_null', '' FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 'c_name', 'unique', '' FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
     "SELECT 'c_name', 'pattern', string_agg(DISTINCT regexp_replace(regexp_replace(regexp_replace(c_name, "
     "'[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g'), ' ') FROM customer UNION ALL "
-    "SELECT 'c_mktsegment', 'not_null', '' FROM customer GROUP BY ALL UNION ALL "
+    "SELECT 'c_mktsegment', 'not_null', '' FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
     "SELECT 'c_mktsegment', 'allowed', (SELECT string_agg(s, ' ' ORDER BY s) FROM (SELECT DISTINCT "
-    "c_mktsegment AS s FROM customer)) FROM customer GROUP BY ALL",
+    "c_mktsegment AS s FROM customer)) FROM (SELECT 1 FROM customer LIMIT 1)",
 )
 def suggest(spark: SparkSession, folder: str) -> DataFrame:
     customer = load(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")

@@ -100,9 +100,16 @@ def _card_sql() -> str:
     return f"{doubled} % 10 = 0"
 
 
+_OCTETS = [f"(('0x' || substr(md5(c_name || '{i}'), 1, 15))::BIGINT % 300)" for i in range(4)]
+
+
 def _ip_sql() -> str:
-    parts = [f"(('0x' || substr(md5(c_name || '{i}'), 1, 15))::BIGINT % 300) <= 255" for i in range(4)]
-    return " AND ".join(parts)
+    return " AND ".join(f"{o} <= 255" for o in _OCTETS)
+
+
+def _ip_like_phone_sql() -> str:
+    """A leading 0 and at least seven digits also look like a phone number."""
+    return f"{_OCTETS[0]} = 0 AND length(" + " || ".join(f"CAST({o} AS VARCHAR)" for o in _OCTETS) + ") >= 7"
 
 
 _N = "count(*)"
@@ -111,9 +118,13 @@ _VOTES = {
     "c_custkey": {}, "kunde": {}, "contact": {"email": _N},
     "account": {"iban": f"count(*) FILTER (WHERE {_IBAN_OK})"},
     "bank": {"bic": _N}, "reach": {"phone": _N}, "ref": {"uuid": _N},
-    "host": {"ip": f"count(*) FILTER (WHERE {_ip_sql()})"},
+    "host": {
+        "ip": f"count(*) FILTER (WHERE {_ip_sql()})",
+        "phone": f"count(*) FILTER (WHERE {_ip_like_phone_sql()})",
+    },
     "card": {"creditcard": f"count(*) FILTER (WHERE {_card_sql()})"},
-    "plz": {}, "born": {}, "betrag": {}, "kategorie": {},
+    "plz": {}, "born": {}, "betrag": {},
+    "kategorie": {"bic": "count(*) FILTER (WHERE length(c_mktsegment) = 8)"},
 }
 _KEYS = ("email", "bic", "iban", "phone", "creditcard", "uuid", "ip")
 
@@ -144,7 +155,7 @@ _FOUND = (
     "i03_scan_pii",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{t}' AS type, '{lv}' AS level, '{via}' AS via, "
-        f"1.0::DOUBLE AS confidence FROM customer GROUP BY ALL"
+        f"1.0::DOUBLE AS confidence FROM (SELECT 1 FROM customer LIMIT 1)"
         for c, t, lv, via in _FOUND
     ),
 )
@@ -158,8 +169,8 @@ def scan_pii(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT 'betrag' AS \"column\", 'measure' AS role, min(c_acctbal) AS min, max(c_acctbal) AS max, "
     "greatest(1, floor(median(abs(c_acctbal)) * 0.15 + 0.5))::BIGINT AS noise, "
     "pow(10, greatest(0, floor(log10(greatest(1, median(abs(c_acctbal))))) - 1))::DOUBLE AS step FROM customer "
-    "UNION ALL SELECT 'kategorie', 'category', NULL, NULL, NULL, NULL FROM customer GROUP BY ALL "
-    "UNION ALL SELECT 'note', 'free text', NULL, NULL, NULL, NULL FROM customer GROUP BY ALL",
+    "UNION ALL SELECT 'kategorie', 'category', NULL, NULL, NULL, NULL FROM (SELECT 1 FROM customer LIMIT 1) "
+    "UNION ALL SELECT 'note', 'free text', NULL, NULL, NULL, NULL FROM (SELECT 1 FROM customer LIMIT 1)",
 )
 def anon_meta(spark: SparkSession, folder: str) -> DataFrame:
     df = load(spark, folder, "customer").select(
@@ -184,7 +195,7 @@ def _level_sql(level: int) -> str:
     again = contact.replace("c_name", f"({contact})")
     zip_code = SYNTH_SQL["zip"]
     plz = zip_code.replace("c_name", f"({zip_code})") if level > 1 else zip_code
-    amount = f"round(c_acctbal * (1 + ({_UNIT})::DOUBLE * 0.1), 1)" if level > 1 else "round(c_acctbal, 1)"
+    amount = f"round(round(c_acctbal * (1 + ({_UNIT})::DOUBLE * 0.1), 2), 1)" if level > 1 else "round(c_acctbal, 1)"
     key = (
         f"CAST(round(c_custkey * (1 + ({_KEY_UNIT})::DOUBLE * 0.1)) AS BIGINT)" if level > 1 else "c_custkey"
     )
@@ -231,11 +242,11 @@ def anonymise_3(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "i06_review",
     "SELECT 1::BIGINT AS position, 'c_custkey' AS \"column\", '' AS cleaning, NULL AS pii_type, 'numNoise' AS action, "
-    "false AS handled FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 2, 'kunde', '', 'personname', 'synth', false FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 3, 'contact', '', 'email', 'synth', false FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 4, 'plz', '', 'zip', 'synth', false FROM customer GROUP BY ALL UNION ALL "
-    "SELECT 5, 'betrag', '', NULL, 'numNoise', false FROM customer GROUP BY ALL",
+    "false AS handled FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 2, 'kunde', '', 'personname', 'synth', false FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 3, 'contact', '', 'email', 'synth', false FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 4, 'plz', '', 'zip', 'synth', false FROM (SELECT 1 FROM customer LIMIT 1) UNION ALL "
+    "SELECT 5, 'betrag', '', NULL, 'numNoise', false FROM (SELECT 1 FROM customer LIMIT 1)",
 )
 def review(spark: SparkSession, folder: str) -> DataFrame:
     table = protection.review(_small(spark, folder), 2)

@@ -87,35 +87,35 @@ def _value(text: Column) -> Column:
     return F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def _total(text: Column, amounts: Column) -> Column:
-    """The amount behind the best total word, else the largest amount."""
+def _best_total(text: Column, amounts: Column) -> Column:
+    """(score, tier, place, value) of the best amount behind a total word."""
     size = F.greatest(F.lit(1), F.char_length(text))
-    scored = []
-    for tier, (words, weight) in enumerate(TOTAL_WORDS):
 
-        def judge(w: Column, i: Column, tier: int = tier, weight: int = weight) -> Column:
-            near = F.get(
-                F.filter(amounts, lambda a: (a["s"] >= w["s"]) & (a["s"] - w["e"] < REACH)),
-                F.lit(0),
-            )
-            left = F.greatest(F.lit(0), w["s"] - BEFORE)
-            around = F.lower(F.substr(text, left + 1, w["e"] + REACH - left))
+    def judged(tier: int, words: str, weight: int) -> Column:
+        def meet(w: Column, i: Column) -> Column:
+            reach = F.filter(amounts, lambda a: (a["s"] >= w["s"]) & (a["s"] - w["e"] < REACH))
+            return F.struct(w.alias("w"), i.alias("i"), F.get(reach, F.lit(0)).alias("near"))
+
+        def judge(m: Column) -> Column:
+            left = F.greatest(F.lit(0), m["w"]["s"] - BEFORE)
+            around = F.lower(F.substr(text, left + 1, m["w"]["e"] + REACH - left))
             tax = F.when(around.rlike(TAX_WORDS), F.lit(TAX_PENALTY)).otherwise(F.lit(0))
-            score = F.lit(float(weight)) - tax + near["s"] / size * LATE_BONUS
-            return F.when(
-                near.isNotNull(),
-                F.struct(
-                    score.alias("score"),
-                    F.lit(-tier).alias("tier"),
-                    (-i).alias("place"),
-                    _value(near["t"]).alias("value"),
-                ),
+            score = F.lit(float(weight)) - tax + m["near"]["s"] / size * LATE_BONUS
+            return F.struct(
+                score.alias("score"),
+                F.lit(-tier).alias("tier"),
+                (-m["i"]).alias("place"),
+                _value(m["near"]["t"]).alias("value"),
             )
 
-        scored.append(F.transform(find_all(text, words), judge))
-    best = F.array_max(F.filter(F.concat(*scored), lambda s: s.isNotNull()))
-    largest = F.array_max(F.transform(amounts, lambda a: _value(a["t"])))
-    return F.when(best["score"] > 0, best["value"]).otherwise(largest)
+        met = F.filter(
+            F.transform(find_all(text, words), meet), lambda m: m["near"].isNotNull()
+        )
+        return F.transform(met, judge)
+
+    return F.array_max(
+        F.concat(*[judged(tier, words, weight) for tier, (words, weight) in enumerate(TOTAL_WORDS)])
+    )
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
@@ -173,7 +173,10 @@ def extract_receipt_fields(df: DataFrame, text_col: str) -> DataFrame:
     kind = F.lit("unknown")
     for name, words in reversed(KINDS):
         kind = F.when(low.rlike(words), name).otherwise(kind)
-    step = step.withColumn("kind", kind).withColumn("total", _total(text, F.col("_found")))
+    step = step.withColumn("kind", kind).withColumn("_best", _best_total(text, F.col("_found")))
+    best = F.col("_best")
+    largest = F.array_max(F.transform("_found", lambda a: _value(a["t"])))
+    total = F.when(best["score"] > 0, best["value"]).otherwise(largest)
     hotel, ride = F.col("kind") == "hotel", F.col("kind").isin("bahn", "oepnv")
     first = F.get("dates", F.lit(0))
     last = F.when(F.size("dates") > 1, F.element_at("dates", -1))
@@ -194,7 +197,7 @@ def extract_receipt_fields(df: DataFrame, text_col: str) -> DataFrame:
     return step.select(
         *[col(c) for c in df.columns],
         F.transform("_found", lambda a: _value(a["t"])).alias("amounts"),
-        "total",
+        total.alias("total"),
         "dates",
         "kind",
         F.when(hotel, first).alias("check_in"),

@@ -65,55 +65,36 @@ def decimal_sign(text: Column) -> Column:
     return F.when(F.count_if(comma) >= F.count_if(point), ",").otherwise(".")
 
 
-def luhn(digits: Column) -> Column:
-    """Check sum of a digit string."""
-    backwards = F.reverse(digits)
-    places = F.transform(
-        F.sequence(F.lit(1), F.char_length(digits)),
-        lambda i: F.substr(backwards, i, F.lit(1)).cast("int") * (F.lit(1) + F.pmod(i + 1, F.lit(2))),
-    )
-    total = F.aggregate(
-        places, F.lit(0), lambda acc, n: acc + n - F.when(n > 9, F.lit(9)).otherwise(F.lit(0))
-    )
-    return total % 10 == 0
-
-
-def is_phone(text: Column) -> Column:
-    dates = (
-        r"\A\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}.*)?\z",
-        r"\A\d{1,2}[./]\d{1,2}[./]\d{2,4}\z",
-        r"\A\d{4}[./]\d{1,2}[./]\d{1,2}\z",
-    )
-    digits = F.char_length(F.regexp_replace(text, r"\D", ""))
-    return (
-        ~any_of([text.rlike(d) for d in dates])
-        & text.rlike(r"\A[+(]?\d[\d\s()/.\-]{6,}\z")
-        & digits.between(7, 15)
-        & text.rlike(r"[+()/\-\s]|\A0")
-    )
-
-
-def is_card(text: Column) -> Column:
-    digits = F.regexp_replace(text, r"[\s\-]", "")
-    return F.when(digits.rlike(r"\A\d{13,19}\z"), luhn(digits)).otherwise(F.lit(False))
-
-
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 
+# SQL tests for personal data that shows in the cell itself, in the order they are
+# tried; {t} is the trimmed text.  Dates are no phone numbers; card numbers need a good check sum.
+CONTENT_TESTS = {
+    "email": r"{t} RLIKE r'\A[^\s@]+@[^\s@]+\.[A-Za-z]{{2,}}\z'",
+    "bic": r"{t} RLIKE r'\A[A-Z]{{6}}[A-Z0-9]{{2}}([A-Z0-9]{{3}})?\z'",
+    "iban": r"upper(regexp_replace({t}, r'\s+', '')) RLIKE r'\A[A-Z]{{2}}\d{{2}}[A-Z0-9]{{10,30}}\z'",
+    "phone": (
+        r"NOT {t} RLIKE r'\A\d{{4}}-\d{{1,2}}-\d{{1,2}}([ T]\d{{1,2}}:\d{{2}}.*)?\z' "
+        r"AND NOT {t} RLIKE r'\A\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}\z' "
+        r"AND NOT {t} RLIKE r'\A\d{{4}}[./]\d{{1,2}}[./]\d{{1,2}}\z' "
+        r"AND {t} RLIKE r'\A[+(]?\d[\d\s()/.\-]{{6,}}\z' AND {t} RLIKE r'[+()/\-\s]|\A0' "
+        r"AND char_length(regexp_replace({t}, r'\D', '')) BETWEEN 7 AND 15"
+    ),
+    "creditcard": (
+        r"CASE WHEN regexp_replace({t}, r'[\s\-]', '') RLIKE r'\A\d{{13,19}}\z' THEN "
+        r"aggregate(transform(split(reverse(regexp_replace({t}, r'[\s\-]', '')), ''), "
+        r"(c, i) -> CAST(c AS INT) * (1 + i % 2)), 0, "
+        r"(sum, n) -> sum + IF(n > 9, n - 9, n)) % 10 = 0 ELSE false END"
+    ),
+    "uuid": r"{t} RLIKE r'(?i)\A[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}\z'",
+    "ip": r"{t} RLIKE r'\A" + _OCTET.replace("{", "{{").replace("}", "}}") + r"(\."
+    + _OCTET.replace("{", "{{").replace("}", "}}") + r"){{3}}\z'",
+}
+
 
-def content_matchers(text: Column) -> dict[str, Column]:
-    """Personal-data types that show in the cell itself, strongest checks first."""
-    return {
-        "email": text.rlike(r"\A[^\s@]+@[^\s@]+\.[A-Za-z]{2,}\z"),
-        "bic": text.rlike(r"\A[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\z"),
-        "iban": F.upper(F.regexp_replace(text, r"\s+", "")).rlike(
-            r"\A[A-Z]{2}\d{2}[A-Z0-9]{10,30}\z"
-        ),
-        "phone": is_phone(text),
-        "creditcard": is_card(text),
-        "uuid": text.rlike(r"(?i)\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"),
-        "ip": text.rlike(rf"\A{_OCTET}(\.{_OCTET}){{3}}\z"),
-    }
+def content_test(key: str, column: str) -> Column:
+    """Does the text in `column` look like this type of personal data?"""
+    return F.expr(CONTENT_TESTS[key].format(t=f"`{column}`"))
 
 
 # Personal-data types in the order they are tried, their level of
@@ -227,49 +208,52 @@ def clean_votes(df: DataFrame) -> DataFrame:
     Text columns get all votes, other columns the counts of filled cells.
     """
     kinds = categories(df)
-    total = F.count(F.lit(1)).alias("total")
-    aggs, entries = [total], []
+    # marks per text cell first, then one plain aggregate over them
+    marks, aggs, entries = [], [F.count(F.lit(1)).alias("total")], []
     for i, n in enumerate(df.columns):
-        known = col(n).isNotNull()
-        votes = {"filled": F.count(col(n))}
+        c = col(n)
         if kinds[n] == "string":
-            text = col(n)
-            solid = text.rlike(r"\S")
-            low = F.lower(F.regexp_replace(text, r"\A\s+|\s+\z", ""))
-            date, number = solid & looks_date(text), solid & looks_numeric(text)
-            comma, point = _comma_votes(text)
-            fmt = S.date_format_of(text)
+            solid = c.rlike(r"\S")
+            low = F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", ""))
+            date = solid & looks_date(c)
+            comma, point = _comma_votes(c)
+            marks.append(
+                F.struct(
+                    solid.alias("solid"),
+                    needs_trim(c).alias("loose"),
+                    low.isin(*BOOLEAN_WORDS).alias("word"),
+                    low.isin("0", "1").alias("bit"),
+                    date.alias("date"),
+                    F.when(date, S.date_format_of(c)).alias("fmt"),
+                    looks_numeric(c).alias("number"),
+                    comma.alias("comma"),
+                    point.alias("point"),
+                    F.regexp_replace(c, r"\s", "").rlike(r"\A[-+]?\d+\z").alias("whole"),
+                ).alias(f"m{i}")
+            )
+            m = f"m{i}"
             votes = {
-                "filled": F.count_if(solid),
-                "blank": F.count_if(known & ~solid),
-                "untrimmed": F.count_if(solid & needs_trim(text)),
-                "bool_words": F.count_if(solid & low.isin(*BOOLEAN_WORDS, "0", "1")),
-                "bool_letters": F.count_if(solid & low.isin(*BOOLEAN_WORDS)),
-                "dates": F.count_if(date),
-                **{
-                    f"date{j}": F.count_if(date & (fmt == name))
-                    for j, (name, _) in enumerate(S.DATE_NOTATIONS)
-                },
-                "numbers": F.count_if(number),
-                "commas": F.count_if(number & comma),
-                "points": F.count_if(number & point),
-                "wholes": F.count_if(
-                    number & F.regexp_replace(text, r"\s", "").rlike(r"\A[-+]?\d+\z")
-                ),
+                "filled": f"{m}.solid",
+                "blank": f"NOT {m}.solid",
+                "untrimmed": f"{m}.solid AND {m}.loose",
+                "bool_words": f"{m}.solid AND ({m}.word OR {m}.bit)",
+                "bool_letters": f"{m}.solid AND {m}.word",
+                "dates": f"{m}.date",
+                **{f"date{j}": f"{m}.fmt = '{f}'" for j, (f, _) in enumerate(S.DATE_NOTATIONS)},
+                "numbers": f"{m}.solid AND {m}.number",
+                "commas": f"{m}.solid AND {m}.number AND {m}.comma",
+                "points": f"{m}.solid AND {m}.number AND {m}.point",
+                "wholes": f"{m}.solid AND {m}.number AND {m}.whole",
             }
-        aggs += [v.alias(f"c{i}_{k}") for k, v in votes.items()]
-        entries.append(
-            F.struct(
-                F.lit(n).alias("column"),
-                F.lit(kinds[n]).alias("category"),
-                F.col("total"),
-                *[
-                    (F.col(f"c{i}_{k}") if k in votes else F.lit(0)).cast("bigint").alias(k)
-                    for k in VOTES
-                ],
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+        else:
+            marks.append(c.isNotNull().alias(f"m{i}"))
+            votes = {"filled": f"m{i}"}
+        aggs += [F.expr(f"count_if({v}) AS c{i}_{k}") for k, v in votes.items()]
+        fields = ", ".join(f"{f'c{i}_{k}' if k in votes else '0L'} AS {k}" for k in VOTES)
+        name = n.replace("\\", "\\\\").replace("'", "\\'")
+        entries.append(f"struct('{name}' AS column, '{kinds[n]}' AS category, total, {fields})")
+    counted = df.select(*marks).agg(*aggs)
+    return counted.select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 VOTES = (
@@ -337,36 +321,37 @@ PII_MIN_VALUES = 5
 def pii_votes(df: DataFrame) -> DataFrame:
     """(column, values, email, bic, ...): matching cells per column, from one pass."""
     names = [n for n, k in categories(df).items() if k != "complex"]
-    keys = list(content_matchers(F.lit("")))
+    texts = df.select(
+        *[
+            F.regexp_replace(text_of(df, n), r"\A\s+|\s+\z", "").alias(f"t{i}")
+            for i, n in enumerate(names)
+        ]
+    )
     aggs, entries = [], []
     for i, n in enumerate(names):
-        text = F.regexp_replace(text_of(df, n), r"\A\s+|\s+\z", "")
-        solid = text != ""
-        aggs.append(F.count_if(solid).alias(f"c{i}_values"))
+        solid = f"t{i} <> ''"
+        aggs.append(F.expr(f"count_if({solid}) AS c{i}_values"))
         aggs += [
-            F.count_if(solid & m).alias(f"c{i}_{k}") for k, m in content_matchers(text).items()
+            F.expr(f"count_if({solid} AND ({test.format(t=f't{i}')})) AS c{i}_{key}")
+            for key, test in CONTENT_TESTS.items()
         ]
-        entries.append(
-            F.struct(
-                F.lit(n).alias("column"),
-                *[F.col(f"c{i}_{k}").alias(k) for k in ["values", *keys]],
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+        fields = ", ".join(f"c{i}_{k} AS {k}" for k in ["values", *CONTENT_TESTS])
+        name = n.replace("\\", "\\\\").replace("'", "\\'")
+        entries.append(f"struct('{name}' AS column, {fields})")
+    return texts.agg(*aggs).select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def scan_pii(df: DataFrame) -> DataFrame:
     """(column, type, level, via, confidence): by content where 60 % of at least 5 cells match,
     else by column name."""
     votes = pii_votes(df)
-    keys = list(content_matchers(F.lit("")))
     shares = [
         F.struct(
             (F.col(k) / F.col("values")).alias("share"),
             F.lit(-i).alias("rank"),
             F.lit(k).alias("type"),
         )
-        for i, k in enumerate(keys)
+        for i, k in enumerate(CONTENT_TESTS)
     ]
     best = F.array_max(F.array(*shares))
     hit = (F.col("values") >= PII_MIN_VALUES) & (best["share"] >= PII_SHARE)

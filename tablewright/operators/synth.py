@@ -18,7 +18,8 @@ Draw = Callable[[str, int], Column]  # (suffix, modulus) -> number in 0 .. modul
 
 
 def pick(words: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index + 1).cast("int"))
+    listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
+    return F.element_at(F.expr(f"array({listed})"), (index + 1).cast("int"))
 
 
 def iban(account: Column) -> Column:
@@ -45,35 +46,39 @@ def randomly(seed: int) -> Draw:
 
 def synthetic(category: str, d: Draw) -> Column:
     """A made-up value of a category; unknown categories give a full name."""
-    first = pick(fixed.FIRST_NAMES, d("F", len(fixed.FIRST_NAMES)))
-    last = pick(fixed.LAST_NAMES, d("L", len(fixed.LAST_NAMES)))
+
+    def one(words: list[str], suffix: str) -> Column:
+        return pick(words, d(suffix, len(words)))
+
+    def digits(suffix: str, modulus: int, width: int, start: int = 0) -> Column:
+        return F.lpad((d(suffix, modulus) + start).cast("string"), width, "0")
+
     simple = {
-        "firstName": ("", fixed.FIRST_NAMES),
-        "lastName": ("", fixed.LAST_NAMES),
-        "city": ("", fixed.CITIES),
-        "country": ("", fixed.COUNTRIES),
-        "company": ("", fixed.COMPANIES),
-        "bic": ("B", fixed.BICS),
+        "firstName": (fixed.FIRST_NAMES, ""),
+        "lastName": (fixed.LAST_NAMES, ""),
+        "city": (fixed.CITIES, ""),
+        "country": (fixed.COUNTRIES, ""),
+        "company": (fixed.COMPANIES, ""),
+        "bic": (fixed.BICS, "B"),
     }
     if category in simple:
-        suffix, words = simple[category]
-        return pick(words, d(suffix, len(words)))
+        return one(*simple[category])
     if category == "street":
         number = (d("N", 150) + 1).cast("string")
-        return F.concat(pick(fixed.STREETS, d("S", len(fixed.STREETS))), F.lit(" "), number)
-    if category == "email":
-        domain = pick(fixed.DOMAINS, d("D", len(fixed.DOMAINS)))
-        return F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("@"), domain)
+        return F.concat(one(fixed.STREETS, "S"), F.lit(" "), number)
     if category == "phone":
-        area = F.lpad((d("P1", 900) + 100).cast("string"), 3, "0")
-        return F.concat(F.lit("+49 "), area, F.lit(" "), F.lpad(d("P2", 10**7).cast("string"), 7, "0"))
+        return F.concat(F.lit("+49 "), digits("P1", 900, 3, 100), F.lit(" "), digits("P2", 10**7, 7))
     if category == "zip":
-        return F.lpad(d("Z", 100_000).cast("string"), 5, "0")
+        return digits("Z", 100_000, 5)
     if category == "iban":
-        return iban(F.lpad(d("IB", 10**18).cast("string"), 18, "0"))
+        return iban(digits("IB", 10**18, 18))
     if category == "text":
-        words = [pick(fixed.LOREM, d(f"L{i}", len(fixed.LOREM))) for i in range(1, 7)]
+        words = [one(fixed.LOREM, f"L{i}") for i in range(1, 7)]
         return F.concat(F.concat_ws(" ", F.initcap(words[0]), *words[1:]), F.lit("."))
+    first, last = one(fixed.FIRST_NAMES, "F"), one(fixed.LAST_NAMES, "L")
+    if category == "email":
+        at = F.concat(F.lit("@"), one(fixed.DOMAINS, "D"))
+        return F.concat(F.lower(first), F.lit("."), F.lower(last), at)
     return F.concat(first, F.lit(" "), last)
 
 

@@ -6,12 +6,16 @@ expressions over one row per file.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
 HEAD_BYTES = 256 * 1024
 DETECT_BYTES = 64 * 1024
 DELIMITERS = [",", ";", "\t", "|"]
@@ -57,7 +61,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def spread(files: DataFrame) -> DataFrame:
     """One file per row, evenly over the tasks (a number keeps small rows from being merged)."""
     context = files.sparkSession.sparkContext
-    return files.repartition(max(context.defaultParallelism * 4, 8), "path")
+    return files.repartition(max(context.defaultParallelism, 8), "path")
 
 
 def open_file(path: str):
@@ -136,23 +140,21 @@ def _cells(line: Column, delim: Column) -> Column:
 def _delimiter(lines: Column) -> Column:
     """The candidate with the best consistency x width over the first lines."""
     sample = F.slice(F.filter(lines, lambda s: s != ""), 1, DELIMITER_LINES)
-    best = F.lit(",")
-    score_so_far = F.lit(-1.0)
-    for d in DELIMITERS:
-        widths = F.array_sort(F.transform(sample, lambda s, d=d: _width(s, F.lit(d))))
+
+    def score(d: str) -> Column:
+        widths = F.array_sort(F.transform(sample, lambda s: _width(s, F.lit(d))))
         mid = F.coalesce(F.get(widths, F.floor(F.size(widths) / 2).cast("int")), F.lit(1))
-        same = F.aggregate(
-            widths,
-            F.struct(F.lit(0).alias("n"), mid.alias("m")),
-            lambda acc, w: F.struct(
-                (acc["n"] + F.when(w == acc["m"], 1).otherwise(0)).alias("n"), acc["m"].alias("m")
-            ),
-        )["n"]
-        score = F.when(mid > 1, same / F.greatest(F.size(widths), F.lit(1)) * mid).otherwise(-1.0)
-        better = score > score_so_far
-        best = F.when(better, F.lit(d)).otherwise(best)
-        score_so_far = F.greatest(score, score_so_far)
-    return best
+        same = F.size(F.filter(widths, lambda w: w == mid))
+        return F.when(mid > 1, same / F.greatest(F.size(widths), F.lit(1)) * mid).otherwise(-1.0)
+
+    scores = F.array(
+        *[
+            F.struct(score(d).alias("score"), F.lit(-i).alias("rank"), F.lit(d).alias("delim"))
+            for i, d in enumerate(DELIMITERS)
+        ]
+    )
+    best = F.array_max(scores)
+    return F.when(best["score"] >= 0, best["delim"]).otherwise(",")
 
 
 def _skip(widths: Column) -> Column:
@@ -177,20 +179,22 @@ DATE_FORMATS = (
 
 def _date_format(cells: Column, delim: Column) -> Column:
     """Notation with most hits (at least 3) that a day above 12 or a semicolon makes certain."""
-    best = F.struct(F.lit(0).alias("n"), F.lit(False).alias("sure"), F.lit("").alias("fmt"))
-    for fmt, pattern in DATE_FORMATS:
 
-        def part(c: Column, i: int, pattern: str = pattern) -> Column:
+    def judged(rank: int, fmt: str, pattern: str) -> Column:
+        def part(c: Column, i: int) -> Column:
             return F.regexp_extract(c, pattern, i).cast("int")
 
         hits = F.filter(
-            F.filter(cells, lambda c, p=pattern: c.rlike(p)),
+            F.filter(cells, lambda c: c.rlike(pattern)),
             lambda c: part(c, 1).between(1, 31) & part(c, 2).between(1, 31),
         )
         sure = F.exists(hits, lambda c: (part(c, 1) > 12) & (part(c, 2) <= 12))
-        mine = F.struct(F.size(hits).alias("n"), sure.alias("sure"), F.lit(fmt).alias("fmt"))
-        better = (mine["n"] > best["n"]) | ((mine["n"] == best["n"]) & mine["sure"] & ~best["sure"])
-        best = F.when(better, mine).otherwise(best)
+        return F.struct(
+            F.size(hits).alias("n"), sure.alias("sure"), F.lit(-rank).alias("rank"),
+            F.lit(fmt).alias("fmt"),
+        )
+
+    best = F.array_max(F.array(*[judged(i, f, p) for i, (f, p) in enumerate(DATE_FORMATS)]))
     certain = (best["n"] >= 3) & (best["sure"] | (delim == ";"))
     return F.when(certain, best["fmt"]).otherwise(F.lit(""))
 

@@ -5,14 +5,18 @@ Executors open the files and read footers only; no data page is touched.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions.columns import categories
 from tablewright.sources.files import list_files, open_file, spread
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
 CHUNK_SCHEMA = (
     "path string, row_group bigint, row_group_rows bigint, path_in_schema string, "
     "physical_type string, codec string, null_count bigint, min_value string, max_value string, "

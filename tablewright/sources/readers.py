@@ -28,7 +28,7 @@ class CsvOptions:
     decimal: str = "."
     encoding: str = "utf-8"
     date_format: str = ""
-    tolerant: bool = False
+    strict: bool = False
     multiline: bool = False
 
     @classmethod
@@ -182,12 +182,23 @@ def _skipped_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFr
     return body.where(F.col("value") != "").select(parsed.alias("r")).select("r.*")
 
 
-def infer_types(df: DataFrame, decimal: str = ".", date_format: str = "") -> dict[str, str]:
+def infer_types(
+    df: DataFrame, decimal: str = ".", date_format: str = "", keep: Column | None = None
+) -> dict[str, str]:
     """Narrowest type per text column: BIGINT, DOUBLE, BOOLEAN, DATE, TIMESTAMP or VARCHAR.
 
-    One aggregate over all rows; a column without values is text.
+    One aggregate over all rows (those that meet `keep`); a column without
+    values is text.
     """
+    return _infer(df, df.columns, decimal, date_format, keep)[0]
+
+
+def _infer(
+    df: DataFrame, names: list[str], decimal: str, date_format: str, keep: Column | None
+) -> tuple[dict[str, str], int]:
+    """Types, and the number of rows that do not meet `keep`."""
     text = T.StringType()
+    keep = F.lit(True) if keep is None else keep
 
     def checks(c: Column) -> list[Column]:
         number = F.replace(c, F.lit(","), F.lit(".")) if decimal == "," else c
@@ -195,8 +206,8 @@ def infer_types(df: DataFrame, decimal: str = ".", date_format: str = "") -> dic
         time = convert(c, text, "TIMESTAMP")
         if date_format:
             own = parse_temporal(c, [java_pattern(date_format)])
-            date = F.coalesce(own, date)
             stamp = parse_temporal(c, [java_pattern(date_format) + " H:m:s"])
+            date = F.coalesce(own, date)
             time = F.coalesce(stamp, own, time)
         return [
             c.rlike(r"\A\s*[+-]?\d+\s*\z") & c.try_cast("bigint").isNotNull(),
@@ -206,19 +217,18 @@ def infer_types(df: DataFrame, decimal: str = ".", date_format: str = "") -> dic
             time.isNotNull(),
         ]
 
-    aggs = []
-    for i, n in enumerate(df.columns):
-        aggs.append(F.count(col(n)).alias(f"n{i}"))
-        aggs += [F.count_if(k).alias(f"k{i}_{j}") for j, k in enumerate(checks(col(n)))]
-    if not aggs:
-        return {}
+    aggs = [F.count_if(~keep).alias("left_out")]
+    for i, n in enumerate(names):
+        c = F.when(keep, col(n))
+        aggs.append(F.count(c).alias(f"n{i}"))
+        aggs += [F.count_if(k).alias(f"k{i}_{j}") for j, k in enumerate(checks(c))]
     s = df.agg(*aggs).first()
     kinds = ("BIGINT", "DOUBLE", "BOOLEAN", "DATE", "TIMESTAMP")
     out = {}
-    for i, n in enumerate(df.columns):
+    for i, n in enumerate(names):
         fits = [k for j, k in enumerate(kinds) if s[f"n{i}"] and s[f"k{i}_{j}"] == s[f"n{i}"]]
         out[n] = fits[0] if fits else "VARCHAR"
-    return out
+    return out, s["left_out"]
 
 
 def cast_types(df: DataFrame, kinds: dict[str, str], decimal: str, date_format: str) -> DataFrame:
@@ -244,24 +254,22 @@ def read_csv(
 ) -> DataFrame:
     """A CSV or TSV table.  Options left out are detected, types left out inferred (one pass).
 
-    Rows with fewer cells are padded with NULL.  A row with too many cells is
-    an error; after such an error, or with `tolerant`, those rows are skipped.
+    Rows with fewer cells are padded with NULL, rows with too many are skipped;
+    the pass that infers types also counts the latter, so a clean file is then
+    read without the check.  With `strict`, such rows are an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     o = options or CsvOptions.detect(spark, paths)
     raw = _text_csv(spark, paths, o)
     names = [c for c in raw.columns if c != BAD_ROW]
-    too_long = F.col(BAD_ROW).isNotNull() & (_width(F.col(BAD_ROW), F.lit(o.delim)) > len(names))
-    if not o.tolerant and raw.where(too_long).limit(1).count():
-        o = replace(o, tolerant=True)
-    rows = raw.where(~too_long) if o.tolerant else raw
-    rows = rows.select(
-        *[F.when(~col(n).isin(list(o.nulls)), col(n)).alias(n) for n in names]
-        if o.nulls
-        else [col(n) for n in names]
-    )
-    kinds = types or infer_types(rows, o.decimal, o.date_format)
-    return cast_types(rows, kinds, o.decimal, o.date_format)
+    fits = F.coalesce(_width(F.col(BAD_ROW), F.lit(o.delim)) <= len(names), F.lit(True))
+    if o.nulls:
+        raw = raw.withColumns({n: F.when(~col(n).isin(list(o.nulls)), col(n)) for n in names})
+    inferred, left_out = _infer(raw, names if types is None else [], o.decimal, o.date_format, fits)
+    if left_out and o.strict:
+        raise ValueError(f"{left_out} row(s) have more than {len(names)} cells")
+    rows = raw.where(fits) if left_out else raw
+    return cast_types(rows.select(*names), types or inferred, o.decimal, o.date_format)
 
 
 def bad_csv_rows(spark: SparkSession, paths: str | list[str], options: CsvOptions) -> DataFrame:

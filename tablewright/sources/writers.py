@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import COMPLEX_TYPES, col, text_of
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
 MARKDOWN_CAP = 50_000
 HTML_CAP = 100_000
 SAFE_INTEGER = 2**53

@@ -48,7 +48,8 @@ def compare(spark: SparkSession, con, fn, sql: str, folder: str) -> str | None:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows and {len(theirs)}: {mine[:3]} / {theirs[:3]}"
-    for a, b in zip(mine, theirs):
-        if a != b:
-            return f"{a}\n     {b}"
+    if mine != theirs:
+        extra = [r for r in mine if r not in set(theirs)][:3]
+        lacking = [r for r in theirs if r not in set(mine)][:3]
+        return f"only Spark {extra}\n   only SQL {lacking}"
     return None
