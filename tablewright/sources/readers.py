@@ -130,6 +130,7 @@ def _text_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame
         "sep": o.delim, "quote": o.quote, "escape": o.quote, "encoding": _encoding(o.encoding),
         "header": o.header, "multiLine": o.multiline, "mode": "PERMISSIVE",
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+        "columnPruning": False,  # a row is judged by all its cells, whichever are selected
     }
     if o.skip:
         return _skipped_csv(spark, paths, o)
@@ -246,6 +247,17 @@ def cast_types(df: DataFrame, kinds: dict[str, str], decimal: str, date_format:
     return df.withColumns(out)
 
 
+def _fits(names: list[str], delim: str) -> Column:
+    """The row has no more cells than there are columns.
+
+    Spark refuses plans that read the broken-row column alone, so a cell is
+    looked at too.
+    """
+    width = F.coalesce(_width(F.col(BAD_ROW), F.lit(delim)), F.lit(0))
+    seen = F.char_length(F.coalesce(col(names[0]), F.lit(""))) >= 0
+    return (width <= len(names)) & seen
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -262,7 +274,7 @@ def read_csv(
     o = options or CsvOptions.detect(spark, paths)
     raw = _text_csv(spark, paths, o)
     names = [c for c in raw.columns if c != BAD_ROW]
-    fits = F.coalesce(_width(F.col(BAD_ROW), F.lit(o.delim)) <= len(names), F.lit(True))
+    fits = _fits(names, o.delim)
     if o.nulls:
         raw = raw.withColumns({n: F.when(~col(n).isin(list(o.nulls)), col(n)) for n in names})
     inferred, left_out = _infer(raw, names if types is None else [], o.decimal, o.date_format, fits)
@@ -276,9 +288,8 @@ def bad_csv_rows(spark: SparkSession, paths: str | list[str], options: CsvOption
     """(row): the rows a tolerant read skips."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = _text_csv(spark, paths, options)
-    width = _width(F.col(BAD_ROW), F.lit(options.delim))
-    wanted = F.col(BAD_ROW).isNotNull() & (width > len(raw.columns) - 1)
-    return raw.where(wanted).select(F.col(BAD_ROW).alias("row"))
+    names = [c for c in raw.columns if c != BAD_ROW]
+    return raw.where(~_fits(names, options.delim)).select(F.col(BAD_ROW).alias("row"))
 
 
 # ---------------------------------------------------------------- many files

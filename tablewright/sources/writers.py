@@ -119,6 +119,8 @@ def wrapped(rows: DataFrame, first: str, last: str | None = None, glue: str = ""
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
+                if text is None:
+                    continue
                 if held is not None:
                     out.append(held + glue)
                 held = text
@@ -130,6 +132,11 @@ def wrapped(rows: DataFrame, first: str, last: str | None = None, glue: str = ""
     return rows.mapInArrow(wrap, "value string")
 
 
+def one_partition(rows: DataFrame) -> DataFrame:
+    """All rows in one task, with a NULL row so that an empty table gives a task too."""
+    return rows.unionByName(rows.sparkSession.sql("SELECT CAST(NULL AS STRING) AS value")).coalesce(1)
+
+
 def write_json_array(
     df: DataFrame,
     path: str,
@@ -142,7 +149,7 @@ def write_json_array(
     `single_file` asks for one file, and so for one writing task.
     """
     lines = json_lines(df, pretty)
-    lines = lines.coalesce(1) if single_file else lines
+    lines = one_partition(lines) if single_file else lines
     wrapped(lines, "[", "]", ",").write.mode(mode).text(path)
 
 
@@ -174,7 +181,7 @@ def _capped(
         yield pa.RecordBatch.from_pydict({"value": before})
         seen = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = [t for t in batch.column(0).to_pylist() if t is not None]
             keep = texts[: max(0, cap - seen)]
             seen += len(texts)
             if keep:
@@ -183,7 +190,7 @@ def _capped(
         if tail:
             yield pa.RecordBatch.from_pydict({"value": tail})
 
-    return rows.limit(cap + 1).coalesce(1).mapInArrow(wrap, "value string")
+    return one_partition(rows.limit(cap + 1)).mapInArrow(wrap, "value string")
 
 
 def markdown_lines(df: DataFrame, cap: int = MARKDOWN_CAP) -> DataFrame:
