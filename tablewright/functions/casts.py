@@ -125,11 +125,32 @@ def pattern_list(formats: str | list[str] | None) -> list[str]:
     return [java_pattern(p) for p in parts if p.strip()]
 
 
+def pattern_shape(pattern: str) -> str:
+    """Regular expression that every text of a date pattern fits.
+
+    A text that does not fit is not parsed at all, since a failed parse costs
+    an exception per row.
+    """
+    sizes = {"yyyy": r"\d{4}", "yy": r"\d{2}", "SSSSSS": r"\d{6}", "D": r"\d{1,3}"}
+    out = []
+    for piece in re.findall(r"'[^']*'|[A-Za-z]+|[^A-Za-z']+", pattern):
+        if piece.startswith("'"):
+            out.append(re.escape(piece.strip("'")))
+        elif piece in sizes:
+            out.append(sizes[piece])
+        elif piece in ("d", "M", "H", "h", "m", "s"):
+            out.append(r"\d{1,2}")
+        else:
+            out.append(".+" if piece[0].isalpha() else re.escape(piece))
+    return r"\A" + "".join(out) + r"\z"
+
+
 def parse_temporal(text: Column, patterns: list[str]) -> Column:
     """First pattern that fits wins; a two-digit year above 68 is in the 1900s."""
 
     def one(pattern: str) -> Column:
-        parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+        fits = text.rlike(pattern_shape(pattern))
+        parsed = F.when(fits, F.try_to_timestamp(text, F.lit(pattern))).cast("timestamp_ntz")
         if "yy" in pattern and "yyyy" not in pattern:
             century = F.expr("INTERVAL 100 YEARS")
             parsed = F.when(F.year(parsed) >= 2069, parsed - century).otherwise(parsed)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.columns import col
+from tablewright.functions.columns import any_of, col
 
 # How amounts and dates are written on receipts.
 AMOUNT = r"(?:\d{1,3}(?:[.\u00a0 ]\d{3})+|\d+),\d{2}(?!\d)"
@@ -24,12 +26,12 @@ MONTHS = {
 # Words near a total and their weight, words near a tax.
 TOTAL_WORDS = (
     (
-        r"(?i)(gesamtbetrag|gesamtsumme|rechnungsbetrag|endbetrag|zu\s*zahlen|zahlbetrag"
-        r"|grand\s*total|total\s*amount|to\s*pay|zahlungsbetrag)",
+        r"gesamtbetrag|gesamtsumme|rechnungsbetrag|endbetrag|zu\s*zahlen|zahlbetrag"
+        r"|grand\s*total|total\s*amount|to\s*pay|zahlungsbetrag",
         5,
     ),
-    (r"(?i)(gesamt|total|brutto)", 3),
-    (r"(?i)(betrag|summe|preis|amount|price|fahrpreis)", 2),
+    (r"gesamt|total|brutto", 3),
+    (r"betrag|summe|preis|amount|price|fahrpreis", 2),
 )
 TAX_WORDS = r"mwst|ust\.|umsatzsteuer|mehrwertsteuer|\bvat\b|steuer|enthalten"
 TAX_PENALTY, REACH, BEFORE, LATE_BONUS = 3, 80, 30, 0.5
@@ -64,22 +66,52 @@ ARROW = rf"{_PLACE}\s*(?:→|->|—|–)\s*{_PLACE}{_STOP}"
 AFTER_PLACE = r"(?i)\s+(ICE|IC|EC|RE|RB|IRE|TGV|Wagen|Platz|Gleis|S-?Bahn|U-?Bahn)\b.*\z"
 
 
+def mentions(low: Column, words: str) -> Column:
+    """Does lower-case text match one of the alternatives `a|b|c`?
+
+    Plain words are searched as they are; a pattern only runs where the
+    letters it starts with occur.
+    """
+
+    def one(piece: str) -> Column:
+        if piece.isalpha():
+            return F.contains(low, F.lit(piece))
+        lead = re.match(r"(?:\\b)?([^\W\d_]+)(?![?*])", piece)
+        match = low.rlike(piece)
+        return F.contains(low, F.lit(lead[1])) & match if lead else match
+
+    return any_of([one(p) for p in words.split("|")])
+
+
+_OPEN, _CLOSE = "\u0001", "\u0002"
+
+
 def find_all(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text): all matches with their 0-based places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
+    """Array of (start, end, text): all matches with their 0-based places.
+
+    One pass marks the matches, the rest counts characters.
+    """
+    marks = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    clean = F.when(marks, F.translate(text, _OPEN + _CLOSE, "  ")).otherwise(text)
+    parts = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
     start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("out")
+        F.lit(-1).alias("at"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("out")
     )
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["hit"])
-        entry = F.struct(begin.alias("s"), end.alias("e"), pair["hit"].alias("t"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+    def step(acc: Column, part: Column) -> Column:
+        hit = F.substring_index(part, _CLOSE, 1)
+        entry = F.struct(
+            acc["at"].alias("s"), (acc["at"] + F.char_length(hit)).alias("e"), hit.alias("t")
+        )
+        first = acc["at"] < 0  # what stands before the first match
+        return F.struct(
+            F.when(first, F.char_length(part))
+            .otherwise(acc["at"] + F.char_length(part) - 1)
+            .alias("at"),
+            F.when(first, acc["out"]).otherwise(F.concat(acc["out"], F.array(entry))).alias("out"),
+        )
 
-    pairs = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step)["out"]
+    return F.aggregate(parts, start, step)["out"]
 
 
 def _value(text: Column) -> Column:
@@ -87,9 +119,10 @@ def _value(text: Column) -> Column:
     return F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def _best_total(text: Column, amounts: Column) -> Column:
+def _best_total(text: Column, low: Column, amounts: Column) -> Column:
     """(score, tier, place, value) of the best amount behind a total word."""
     size = F.greatest(F.lit(1), F.char_length(text))
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
 
     def judged(tier: int, words: str, weight: int) -> Column:
         def meet(w: Column, i: Column) -> Column:
@@ -99,7 +132,7 @@ def _best_total(text: Column, amounts: Column) -> Column:
         def judge(m: Column) -> Column:
             left = F.greatest(F.lit(0), m["w"]["s"] - BEFORE)
             around = F.lower(F.substr(text, left + 1, m["w"]["e"] + REACH - left))
-            tax = F.when(around.rlike(TAX_WORDS), F.lit(TAX_PENALTY)).otherwise(F.lit(0))
+            tax = F.when(mentions(around, TAX_WORDS), F.lit(TAX_PENALTY)).otherwise(F.lit(0))
             score = F.lit(float(weight)) - tax + m["near"]["s"] / size * LATE_BONUS
             return F.struct(
                 score.alias("score"),
@@ -108,9 +141,11 @@ def _best_total(text: Column, amounts: Column) -> Column:
                 _value(m["near"]["t"]).alias("value"),
             )
 
-        met = F.filter(
-            F.transform(find_all(text, words), meet), lambda m: m["near"].isNotNull()
-        )
+        # no place is tried that does not start with a first letter of a word
+        firsts = "".join(sorted({w[0] for w in words.split("|")}))
+        found = find_all(text, f"(?i)(?=[{firsts}])(?:{words})")
+        found = F.when((F.size(amounts) > 0) & mentions(low, words), found).otherwise(none)
+        met = F.filter(F.transform(found, meet), lambda m: m["near"].isNotNull())
         return F.transform(met, judge)
 
     return F.array_max(
@@ -169,11 +204,13 @@ def extract_receipt_fields(df: DataFrame, text_col: str) -> DataFrame:
     """
     text = F.coalesce(col(text_col), F.lit(""))
     step = df.withColumn("_found", find_all(text, AMOUNT)).withColumn("dates", _dates(text))
-    low = F.lower(text)
+    step = step.withColumn("_low", F.lower(text))
+    low = F.col("_low")
     kind = F.lit("unknown")
     for name, words in reversed(KINDS):
-        kind = F.when(low.rlike(words), name).otherwise(kind)
-    step = step.withColumn("kind", kind).withColumn("_best", _best_total(text, F.col("_found")))
+        kind = F.when(mentions(low, words), name).otherwise(kind)
+    step = step.withColumn("kind", kind)
+    step = step.withColumn("_best", _best_total(text, low, F.col("_found")))
     best = F.col("_best")
     largest = F.array_max(F.transform("_found", lambda a: _value(a["t"])))
     total = F.when(best["score"] > 0, best["value"]).otherwise(largest)
@@ -185,7 +222,9 @@ def extract_receipt_fields(df: DataFrame, text_col: str) -> DataFrame:
         last.isNotNull(),
         F.greatest(F.lit(0), F.date_diff(last.try_cast("date"), first.try_cast("date"))),
     )
-    both_ways = low.rlike(ROUND_TRIP) | (low.rlike("hinfahrt") & low.rlike("rückfahrt|rueckfahrt"))
+    both_ways = mentions(low, ROUND_TRIP) | (
+        mentions(low, "hinfahrt") & mentions(low, "rückfahrt|rueckfahrt")
+    )
     worded = text.rlike(FROM_TO)
 
     def place(i: int) -> Column:
@@ -203,7 +242,7 @@ def extract_receipt_fields(df: DataFrame, text_col: str) -> DataFrame:
         F.when(hotel, first).alias("check_in"),
         F.when(hotel, last).alias("check_out"),
         F.when(hotel, F.coalesce(said, counted)).cast("bigint").alias("nights"),
-        F.when(hotel, low.rlike(BREAKFAST)).alias("breakfast"),
+        F.when(hotel, mentions(low, BREAKFAST)).alias("breakfast"),
         F.when(ride, both_ways).alias("round_trip"),
         F.when(ride, place(1)).alias("origin"),
         F.when(ride, place(2)).alias("destination"),

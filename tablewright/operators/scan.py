@@ -37,6 +37,9 @@ CODE_NAME = (
 )
 
 
+NUMBER_SHAPE = r"\A[-+]?[\d.,']*\d[\d.,']*\z"
+
+
 def looks_date(text: Column) -> Column:
     return any_of([text.rlike(p) for p in DATE_LIKE])
 
@@ -46,7 +49,7 @@ def _bare_number(text: Column) -> Column:
 
 
 def looks_numeric(text: Column) -> Column:
-    return ~looks_date(text) & _bare_number(text).rlike(r"\A[-+]?[\d.,']*\d[\d.,']*\z")
+    return ~looks_date(text) & _bare_number(text).rlike(NUMBER_SHAPE)
 
 
 def needs_trim(text: Column) -> Column:
@@ -208,27 +211,36 @@ def clean_votes(df: DataFrame) -> DataFrame:
     Text columns get all votes, other columns the counts of filled cells.
     """
     kinds = categories(df)
+    words = ", ".join(f"'{w}'" for w in BOOLEAN_WORDS)
     # marks per text cell first, then one plain aggregate over them
     marks, aggs, entries = [], [F.count(F.lit(1)).alias("total")], []
+    bare = df.select(
+        *[
+            F.struct(col(n).alias("t"), _bare_number(col(n)).alias("n")).alias(f"b{i}")
+            if kinds[n] == "string"
+            else col(n).isNotNull().alias(f"b{i}")
+            for i, n in enumerate(df.columns)
+        ]
+    )
     for i, n in enumerate(df.columns):
-        c = col(n)
         if kinds[n] == "string":
-            solid = c.rlike(r"\S")
-            low = F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", ""))
-            date = solid & looks_date(c)
-            comma, point = _comma_votes(c)
+            c, number = F.col(f"b{i}.t"), F.col(f"b{i}.n")
+            digits = c.rlike(r"\d")
+            date = digits & looks_date(c)
+            sign = F.regexp_extract(number, r"([.,])[^.,]*\z", 1)
             marks.append(
                 F.struct(
-                    solid.alias("solid"),
+                    c.rlike(r"\S").alias("solid"),
                     needs_trim(c).alias("loose"),
-                    low.isin(*BOOLEAN_WORDS).alias("word"),
-                    low.isin("0", "1").alias("bit"),
-                    date.alias("date"),
+                    F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", "")).alias("low"),
                     F.when(date, S.date_format_of(c)).alias("fmt"),
-                    looks_numeric(c).alias("number"),
-                    comma.alias("comma"),
-                    point.alias("point"),
-                    F.regexp_replace(c, r"\s", "").rlike(r"\A[-+]?\d+\z").alias("whole"),
+                    F.when(
+                        digits & ~date & number.rlike(NUMBER_SHAPE),
+                        F.when(F.regexp_replace(c, r"\s", "").rlike(r"\A[-+]?\d+\z"), "whole")
+                        .when(sign == ",", "comma")
+                        .when(sign == ".", "point")
+                        .otherwise("plain"),
+                    ).alias("number"),
                 ).alias(f"m{i}")
             )
             m = f"m{i}"
@@ -236,23 +248,23 @@ def clean_votes(df: DataFrame) -> DataFrame:
                 "filled": f"{m}.solid",
                 "blank": f"NOT {m}.solid",
                 "untrimmed": f"{m}.solid AND {m}.loose",
-                "bool_words": f"{m}.solid AND ({m}.word OR {m}.bit)",
-                "bool_letters": f"{m}.solid AND {m}.word",
-                "dates": f"{m}.date",
+                "bool_words": f"{m}.low IN ({words}, '0', '1')",
+                "bool_letters": f"{m}.low IN ({words})",
+                "dates": f"{m}.fmt IS NOT NULL",
                 **{f"date{j}": f"{m}.fmt = '{f}'" for j, (f, _) in enumerate(S.DATE_NOTATIONS)},
-                "numbers": f"{m}.solid AND {m}.number",
-                "commas": f"{m}.solid AND {m}.number AND {m}.comma",
-                "points": f"{m}.solid AND {m}.number AND {m}.point",
-                "wholes": f"{m}.solid AND {m}.number AND {m}.whole",
+                "numbers": f"{m}.number IS NOT NULL",
+                "commas": f"{m}.number = 'comma'",
+                "points": f"{m}.number = 'point'",
+                "wholes": f"{m}.number = 'whole'",
             }
         else:
-            marks.append(c.isNotNull().alias(f"m{i}"))
+            marks.append(F.col(f"b{i}").alias(f"m{i}"))
             votes = {"filled": f"m{i}"}
         aggs += [F.expr(f"count_if({v}) AS c{i}_{k}") for k, v in votes.items()]
         fields = ", ".join(f"{f'c{i}_{k}' if k in votes else '0L'} AS {k}" for k in VOTES)
         name = n.replace("\\", "\\\\").replace("'", "\\'")
         entries.append(f"struct('{name}' AS column, '{kinds[n]}' AS category, total, {fields})")
-    counted = df.select(*marks).agg(*aggs)
+    counted = bare.select(*marks).agg(*aggs)
     return counted.select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 

@@ -146,23 +146,30 @@ def extract_markdown_tables(df: DataFrame, id_col: str, text_col: str) -> DataFr
     that is blank or has no pipe.  A heading right above names it.  Texts are
     walked line by line inside their row; nothing is shuffled.
     """
+    heading = r"\A\s{0,3}#{1,6}\s+(.*)\z"
+
+    def look(s: Column, i: Column) -> Column:
+        """What the walk needs to know about a line, worked out once."""
+        piped = F.contains(s, F.lit("|"))
+        below = F.get(F.col("lines"), i + 1)
+        title = F.when(
+            F.contains(s, F.lit("#")) & s.rlike(heading),
+            strip(F.regexp_replace(F.regexp_extract(s, heading, 1), r"\s*#*\s*\z", "")),
+        )
+        return F.struct(
+            F.when(piped, s).alias("text"),
+            s.rlike(r"\A\s*\z").alias("blank"),
+            title.alias("title"),
+            F.when(piped, F.coalesce(_is_separator(below), F.lit(False)))
+            .otherwise(F.lit(False))
+            .alias("above"),
+        )
+
     with_lines = (
         df.where(F.contains(col(text_col), F.lit("|")))
         .select(col(id_col).alias("id"), F.split(col(text_col), r"\r?\n").alias("lines"))
-        .select(
-            "id",
-            F.transform(
-                "lines",
-                lambda s, i: F.struct(
-                    s.alias("text"),
-                    F.coalesce(_is_separator(F.get(F.col("lines"), i + 1)), F.lit(False)).alias(
-                        "above"
-                    ),
-                ),
-            ).alias("lines"),
-        )
+        .select("id", F.transform("lines", look).alias("lines"))
     )
-    heading = r"\A\s{0,3}#{1,6}\s+(.*)\z"
     # state: 0 outside, 1 the separator line comes next, 2 inside the rows
     start = F.struct(
         F.lit(0).alias("state"),
@@ -172,27 +179,26 @@ def extract_markdown_tables(df: DataFrame, id_col: str, text_col: str) -> DataFr
     )
 
     def step(acc: Column, line: Column) -> Column:
-        text = line["text"]
-        piped = F.contains(text, F.lit("|"))
-        row = (acc["state"] == 2) & piped & (strip(text) != "")
-        free = (acc["state"] == 0) | ((acc["state"] == 2) & ~row)
-        title = free & text.rlike(heading)
-        opens = free & ~title & piped & line["above"]
-        state = (
-            F.when(opens, 1).when(acc["state"] == 1, 2).when(row, 2).otherwise(0)
-        )
+        row = (acc["state"] == 2) & line["text"].isNotNull()
+        free = (acc["state"] != 1) & ~row
+        opens = line["above"] & free & line["title"].isNull()
+        state = F.when(opens, 1).when(acc["state"] == 1, 2).when(row, 2).otherwise(0)
         table = acc["table"] + F.when(opens, 1).otherwise(0)
-        words = strip(F.regexp_replace(F.regexp_extract(text, heading, 1), r"\s*#*\s*\z", ""))
-        keep = F.when(title, words).when(free & (strip(text) == ""), acc["heading"]).otherwise("")
+        keep = F.when(free & line["title"].isNotNull(), line["title"]).when(
+            free & line["blank"], acc["heading"]
+        )
         entry = F.struct(
             table.alias("table"),
             F.when(opens, acc["heading"]).otherwise("").alias("heading"),
             opens.alias("head"),
-            text.alias("text"),
+            line["text"].alias("text"),
         )
         out = F.when(opens | row, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
         return F.struct(
-            state.alias("state"), table.alias("table"), keep.alias("heading"), out.alias("out")
+            state.alias("state"),
+            table.alias("table"),
+            keep.otherwise("").alias("heading"),
+            out.alias("out"),
         )
 
     walked = with_lines.select("id", F.aggregate("lines", start, step)["out"].alias("found"))
