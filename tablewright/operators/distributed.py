@@ -18,7 +18,7 @@ from tablewright.functions.hashing import row_hash
 
 HEX_DIGITS = 3  # hash buckets: 16 ** 3, which bounds every offset table
 MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 32
+SAMPLE_PER_BUCKET = 32  # wanted; twice as many are drawn
 HOT_SHARE = 1000  # a key is hot from 1/1000 of all rows on, so at most 1000 keys are
 COPY_CHUNK = 10_000
 BLOCK_CHUNK = 65_536
@@ -86,18 +86,17 @@ def bucket_count(spark: SparkSession) -> int:
 def order_buckets(df: DataFrame, keys: list[str], buckets: int | None = None) -> Column:
     """Bucket number of each row in the ascending order of `keys`.
 
-    Split points come from the rows with the smallest key hashes (one pass,
-    32 rows per bucket on the driver).
+    Split points come from a sample of about 64 rows per bucket, picked by key
+    hash and sorted by Spark; only the split candidates reach the driver.
     """
     buckets = buckets or bucket_count(df.sparkSession)
     size = buckets * SAMPLE_PER_BUCKET
-    picked = (
-        df.select(*[col(k) for k in keys], F.xxhash64(*[col(k) for k in keys]).alias("_pick"))
-        .orderBy("_pick")
-        .limit(size)
-    )
+    rows_in_all = df.select(*[col(k) for k in keys]).count()
+    share = min(1_000_000, math.ceil(1e6 * 2 * size / max(1, rows_in_all)))
+    pick = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(1_000_000)) < share
+    picked = df.select(*[col(k) for k in keys]).where(pick)
     texts = [col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = picked.orderBy(*[col(k) for k in keys]).select(*texts).collect()
+    rows = picked.orderBy(*[col(k) for k in keys]).limit(4 * size).select(*texts).collect()
     step = len(rows) / buckets
     splits = [rows[int(i * step)] for i in range(1, buckets)] if step >= 1 else rows
     if not splits:

@@ -25,6 +25,9 @@ from tablewright.operators.distributed import (
 )
 
 
+ROW_BLOCKS = 65_536
+
+
 @dataclass(frozen=True)
 class Context:
     """What all steps of a pipeline share: the salt and the seed of random draws."""
@@ -436,12 +439,20 @@ class Shuffle(Step):
         return hash_order(hashed, "_hash", "v", weight="cnt").select("v", "cnt", "_start")
 
     @staticmethod
-    def _sizes(pool: DataFrame) -> tuple[Column, Column]:
-        total = pool.agg(F.coalesce(F.sum("cnt"), F.lit(0))).scalar()
-        block = pool.agg(
-            F.greatest(F.lit(1), F.floor(F.sum("cnt") * 16 / F.count(F.lit(1)))).cast("bigint")
-        ).scalar()
-        return total, block
+    def _sizes(pool: DataFrame, per_row: bool = False) -> tuple[Column, Column]:
+        """Rows in the pool, and the length of a lookup block.
+
+        A block holds about 16 values.  Lookups per row get at least 65536
+        blocks, so that a column with few values still fills many tasks.
+        """
+        total, values = F.sum("cnt"), F.count(F.lit(1))
+        block = F.floor(total * 16 / values)
+        if per_row:
+            block = F.least(block, F.ceil(total / ROW_BLOCKS))
+        return (
+            pool.agg(F.coalesce(total, F.lit(0))).scalar(),
+            pool.agg(F.greatest(F.lit(1), block).cast("bigint")).scalar(),
+        )
 
     def mapping(self, df: DataFrame, ctx: Context) -> DataFrame:
         """det mode: (v, cnt, new), looked up once per distinct value."""
@@ -469,7 +480,7 @@ def shuffle_rows(df: DataFrame, steps: list[Shuffle], ctx: Context) -> DataFrame
     """
     names = df.columns
     pools = [s.pool(df) for s in steps]
-    sizes = [s._sizes(p) for s, p in zip(steps, pools)]
+    sizes = [s._sizes(p, per_row=True) for s, p in zip(steps, pools)]
     drawn = df.withColumns(
         {
             f"_draw{i}": F.when(

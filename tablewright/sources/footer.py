@@ -24,7 +24,7 @@ CHUNK_SCHEMA = (
 )
 FILE_SCHEMA = (
     "path string, bytes bigint, rows bigint, row_groups bigint, created_by string, "
-    "format_version string"
+    "format_version string, columns string"
 )
 CHUNK_ROWS = 4096
 
@@ -74,7 +74,8 @@ def _file(row: dict) -> dict:
     import pyarrow.parquet as pq
 
     with open_file(row["path"]) as f:
-        meta = pq.ParquetFile(f).metadata
+        opened = pq.ParquetFile(f)
+        meta = opened.metadata
         return {
             "path": row["path"],
             "bytes": row["bytes"],
@@ -82,6 +83,7 @@ def _file(row: dict) -> dict:
             "row_groups": meta.num_row_groups,
             "created_by": meta.created_by,
             "format_version": meta.format_version,
+            "columns": ", ".join(f"{c.name}:{c.type}" for c in opened.schema_arrow),
         }
 
 
@@ -111,7 +113,7 @@ def parquet_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parquet_file_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file: rows, row groups, writer, format version."""
+    """One row per file: rows, row groups, writer, format version, columns with types."""
     schema = _arrow_schema(FILE_SCHEMA)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablewright.functions.casts import convert, java_pattern, parse_temporal
 from tablewright.functions.columns import col
+from tablewright.sources.footer import parquet_file_metadata
 from tablewright.sources.files import _width, detect_csv, inventory_files, list_files, read_heads
 
 COMBINABLE = ("csv", "parquet", "json", "ndjson")
@@ -295,8 +296,46 @@ def bad_csv_rows(spark: SparkSession, paths: str | list[str], options: CsvOption
 # ---------------------------------------------------------------- many files
 
 
-def signature(df: DataFrame) -> list[str]:
-    return [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields]
+def file_signatures(
+    spark: SparkSession, paths: list[str], fmt: str, options: CsvOptions | None = None
+) -> DataFrame:
+    """(path, columns): names and types of every file, found in one job for all files."""
+    if fmt == "parquet":
+        return parquet_file_metadata(spark, paths).select("path", "columns")
+    path = F.col("_metadata.file_path").alias("path")
+    if fmt == "csv":
+        o = options or CsvOptions()
+        raw = _text_csv(spark, paths, replace(o, skip=0, header=False) if not o.skip else o)
+        heads = read_heads(list_files(spark, paths))
+        line = F.get(F.split("head", r"\r?\n"), F.lit(o.skip))
+        names = heads.select("path", line.alias("names"))
+        if o.skip:
+            return names.select("path", F.col("names").alias("columns"))
+        kinds = _kinds_per_file(raw.select("*", path), o)
+        return kinds.join(names, "path").select(
+            "path", F.concat_ws(" ", "names", "kinds").alias("columns")
+        )
+    whole = fmt == "json"
+    text = spark.read.option("wholetext", whole).text(paths).select("value", path)
+    shape = F.schema_of_variant_agg(F.try_parse_json("value"))
+    return text.where(F.trim("value") != "").groupBy("path").agg(shape.alias("columns"))
+
+
+def _kinds_per_file(raw: DataFrame, o: CsvOptions) -> DataFrame:
+    """(path, kinds): which types the cells of each column of each file fit."""
+    names = [c for c in raw.columns if c not in (BAD_ROW, "path")]
+    marks = []
+    for n in names:
+        c = F.when(~col(n).isin(list(o.nulls)), col(n)) if o.nulls else col(n)
+        if o.decimal == ",":
+            c = F.replace(c, F.lit(","), F.lit("."))
+        number = convert(c, T.StringType(), "DOUBLE").isNotNull()
+        marks.append(F.when(c.isNotNull(), number))
+    # the heading line is no number; a numeric column has exactly one such cell per file
+    kinds = [
+        F.when(F.count_if(~m) <= int(o.header), "number").otherwise("text") for m in marks
+    ]
+    return raw.groupBy("path").agg(F.concat_ws(",", *kinds).alias("kinds"))
 
 
 def _read(spark: SparkSession, paths: list[str], fmt: str, csv_opts: CsvOptions | None) -> DataFrame:
@@ -315,20 +354,19 @@ def read_many(
     Mixed formats, or a different list of names and types, are an error that
     names the file.
     """
-    formats = {r["path"]: r["format"] for r in inventory_files(spark, paths).collect()}
-    kinds = set(formats.values())
-    if len(kinds) != 1 or not kinds <= set(COMBINABLE):
-        raise ValueError(f"files of different or unsupported formats: {formats}")
-    fmt = kinds.pop()
+    formats = inventory_files(spark, paths).groupBy("format").agg(F.min("path").alias("path"))
+    kinds = {r["format"]: r["path"] for r in formats.collect()}
+    if len(kinds) != 1 or not set(kinds) <= set(COMBINABLE):
+        raise ValueError(f"files of different or unsupported formats: {kinds}")
+    fmt = next(iter(kinds))
     options = options or (CsvOptions.detect(spark, paths[0]) if fmt == "csv" else None)
-    first = signature(_read(spark, [paths[0]], fmt, options))
-    for p in paths[1:]:
-        mine = signature(_read(spark, [p], fmt, options))
-        if mine != first:
-            raise ValueError(
-                f"{p} has a different structure than {paths[0]}: {', '.join(mine)} "
-                f"instead of {', '.join(first)}"
-            )
+    found = file_signatures(spark, paths, fmt, options)
+    first, count = found.agg(F.min_by("columns", "path"), F.count_distinct("columns")).first()
+    if count > 1:
+        odd = found.where(F.col("columns") != first).orderBy("path").first()
+        raise ValueError(
+            f"{odd['path']} has a different structure: {odd['columns']} instead of {first}"
+        )
     return _read(spark, paths, fmt, options)
 
 

@@ -84,6 +84,19 @@ def test_read_many_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="different structure"):
         readers.read_many(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     write(tmp_path / "c.csv", TINY)
+    write(tmp_path / "d.csv", TINY.replace("amount", "sum"))
+    write(tmp_path / "e.csv", TINY.replace("10.5", "ten"))
+    for other in ("d", "e"):
+        with pytest.raises(ValueError, match=f"{other}.csv has a different structure"):
+            readers.read_many(spark, [str(tmp_path / "c.csv"), str(tmp_path / f"{other}.csv")])
+    write(tmp_path / "f.csv", TINY.replace("Bob", "Bea"))
+    assert readers.read_many(spark, [str(tmp_path / "c.csv"), str(tmp_path / "f.csv")]).count() == 8
+    write(tmp_path / "g.ndjson", '{"x":1}\n{"x":2}\n')
+    write(tmp_path / "h.ndjson", '{"x":"1"}\n')
+    write(tmp_path / "i.ndjson", '{"x":3}\n')
+    with pytest.raises(ValueError, match="h.ndjson has a different"):
+        readers.read_many(spark, [str(tmp_path / "g.ndjson"), str(tmp_path / "h.ndjson")])
+    assert readers.read_many(spark, [str(tmp_path / "g.ndjson"), str(tmp_path / "i.ndjson")]).count() == 3
     with pytest.raises(ValueError, match="formats"):
         readers.read_many(spark, [str(tmp_path / "a"), str(tmp_path / "c.csv")])
 
