@@ -156,6 +156,16 @@ def cell_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "l10_sample_rows",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY md5(concat_ws('|', "
+    "o_orderkey, o_orderstatus, o_totalprice)) LIMIT 400",
+)
+def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return f.sample_rows(orders, 400)
+
+
 # ---------------------------------------------------------------- pivots
 
 

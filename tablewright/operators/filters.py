@@ -128,6 +128,15 @@ def distinct_values(df: DataFrame, column: str, prefix: str = "", limit: int = 2
     return rows.select(col(column).alias("value")).distinct().orderBy("value").limit(limit)
 
 
+def sample_rows(df: DataFrame, n: int) -> DataFrame:
+    """The `n` rows with the smallest md5: a sample that is the same every time.
+
+    Each task keeps its own `n` smallest, so nothing is sorted as a whole.
+    """
+    texts = [F.coalesce(text_of(df, c), F.lit("")) for c in df.columns]
+    return df.orderBy(F.md5(F.concat_ws("|", *texts))).limit(n)
+
+
 def sort_result(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
     """Sort by one column, NULLs last in both directions."""
     c = col(key)

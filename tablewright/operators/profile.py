@@ -315,8 +315,14 @@ def profile(df: DataFrame) -> DataFrame:
         top = top_per_group(keep, "i", [F.col("label").asc_nulls_last()], TIME_BUCKETS, "r")
         for r in top.collect():
             lists[names[r["i"]]].append((r["label"], r["n"]))
-    if textual:
-        laid = F.array(*[F.struct(F.lit(at[n]).alias("i"), text_of(df, n).alias("v")) for n in textual])
+    # where no value repeats, the top list is the first values in order: nothing to count
+    single = [n for n in textual if 0 < s[f"n{at[n]}"] == distinct.get(n)]
+    repeated = [n for n in textual if n not in single]
+    for n in single:
+        first = df.select(text_of(df, n).alias("v")).where("v IS NOT NULL").orderBy("v")
+        lists[n] = [(r["v"], 1) for r in first.limit(TOP_VALUES).collect()]
+    if repeated:
+        laid = F.array(*[F.struct(F.lit(at[n]).alias("i"), text_of(df, n).alias("v")) for n in repeated])
         counted = df.select(F.inline(laid)).where("v IS NOT NULL").groupBy("i", "v")
         counted = counted.agg(F.count(F.lit(1)).alias("n"))
         top = top_per_group(counted, "i", [F.col("n").desc(), F.col("v")], TOP_VALUES, "r")

@@ -7,6 +7,7 @@ row offer `cell`, the new value of their column.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -36,7 +37,8 @@ class Context:
     seed: int = 0
 
     def seed_for(self, name: str) -> int:
-        return self.seed * 1_000_003 + sum(ord(c) * (i + 1) for i, c in enumerate(name)) * 101
+        """A seed of its own per column."""
+        return int(hashlib.sha256(f"{self.seed}:{name}".encode()).hexdigest()[:12], 16)
 
 
 class Step:

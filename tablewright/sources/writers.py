@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewright.functions.columns import COMPLEX_TYPES, col, text_of
+from tablewright.functions.columns import COMPLEX_TYPES, all_of, col, text_of
 
 register_pickle_by_value(sys.modules[__name__])  # workers need no install
 
@@ -64,46 +64,67 @@ def write_csv(
 # ---------------------------------------------------------------- JSON
 
 
-def _has_big(dtype: T.DataType) -> bool:
+def _is_whole(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.LongType) or (
         isinstance(dtype, T.DecimalType) and dtype.scale == 0 and dtype.precision > 15
     )
 
 
+def _safe(c: Column) -> Column:
+    return c.between(-SAFE_INTEGER, SAFE_INTEGER)
+
+
+def _all_safe(c: Column, dtype: T.DataType) -> Column | None:
+    """True where no whole number inside is beyond 2^53; None when the type holds none."""
+    if _is_whole(dtype):
+        return F.coalesce(_safe(c), F.lit(True))
+    if isinstance(dtype, T.StructType):
+        parts = [_all_safe(c.getField(f.name), f.dataType) for f in dtype.fields]
+        parts = [p for p in parts if p is not None]
+        return all_of(parts) if parts else None
+    if isinstance(dtype, T.ArrayType) and _all_safe(F.lit(None), dtype.elementType) is not None:
+        each = F.forall(c, lambda x: _all_safe(x, dtype.elementType))
+        return F.coalesce(each, F.lit(True))
+    return None
+
+
+def _json_ready(c: Column, dtype: T.DataType, exact: bool) -> Column:
+    """Times in ISO form; with `exact`, whole numbers beyond 2^53 as text; inside too."""
+    if isinstance(dtype, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd'T'00:00:00.000'Z'")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if exact and _is_whole(dtype):
+        text = c.cast("string")
+        quoted = F.concat(F.lit('"'), text, F.lit('"'))
+        return F.parse_json(F.when(_safe(c), text).otherwise(quoted))
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        inner = [
+            _json_ready(c.getField(f.name), f.dataType, exact).alias(f.name) for f in dtype.fields
+        ]
+        return F.when(c.isNotNull(), F.struct(*inner))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _json_ready(x, dtype.elementType, exact))
+    return c
+
+
 def json_lines(df: DataFrame, pretty: bool = False) -> DataFrame:
-    """(value): one JSON object per row; NULLs are kept."""
-
-    def plain(c: Column, dtype: T.DataType) -> Column:
-        if isinstance(dtype, T.DateType):
-            return F.date_format(c, "yyyy-MM-dd'T'00:00:00.000'Z'")
-        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-        if isinstance(dtype, T.StructType) and dtype.fields:
-            inner = F.struct(
-                *[plain(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
-            )
-            return F.when(c.isNotNull(), inner)
-        if isinstance(dtype, T.ArrayType):
-            return F.transform(c, lambda x: plain(x, dtype.elementType))
-        return c
-
-    options = {"ignoreNullFields": "false"}
-    if pretty:
-        options["pretty"] = "true"
-    fields = [plain(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
-    text = F.to_json(F.struct(*fields), options)
-    for f in df.schema.fields:
-        if _has_big(f.dataType):
-            # exact beyond 2^53 only as text: quote the number of this key
-            key = '"' + f.name.replace("\\", "\\\\").replace('"', '\\"') + '"'
-            big = F.abs(col(f.name)) > SAFE_INTEGER
-            number = col(f.name).cast("string")
-            at = F.concat(F.lit(key), F.lit(" : " if pretty else ":"), number)
-            quoted = F.concat(
-                F.lit(key), F.lit(" : " if pretty else ":"), F.lit('"'), number, F.lit('"')
-            )
-            text = F.when(big, F.replace(text, at, quoted)).otherwise(text)
-    return df.select(text.alias("value"))
+    """(value): one JSON object per row; NULLs are kept.
+
+    Only rows that hold a number beyond 2^53 take the slower exact form.
+    """
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+
+    def text(exact: bool) -> Column:
+        fields = [
+            _json_ready(col(f.name), f.dataType, exact).alias(f.name) for f in df.schema.fields
+        ]
+        return F.to_json(F.struct(*fields), options)
+
+    checks = [_all_safe(col(f.name), f.dataType) for f in df.schema.fields]
+    checks = [c for c in checks if c is not None]
+    value = F.when(all_of(checks), text(False)).otherwise(text(True)) if checks else text(False)
+    return df.select(value.alias("value"))
 
 
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

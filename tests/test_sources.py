@@ -123,6 +123,9 @@ def test_json_writers(spark, tmp_path):
         out = tmp_path / f"arr{pretty}"
         writers.write_json_array(df, str(out), pretty=pretty, single_file=True)
         assert json.loads(parts(out)) == lines
+    deep = spark.sql(f"SELECT struct({big}L AS x, array({big}L, 1L, NULL) AS y) AS s, {-2**63 + 1}L AS m")
+    text = writers.json_lines(deep).first().value
+    assert json.loads(text) == {"s": {"x": str(big), "y": [str(big), 1, None]}, "m": str(-2**63 + 1)}
     writers.write_json_array(df.limit(0), str(tmp_path / "none"), single_file=True)
     assert json.loads(parts(tmp_path / "none")) == []
 
