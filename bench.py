@@ -16,8 +16,8 @@ from tablewright import session  # noqa: E402
 
 HEADLINE = (
     "a01_parquet", "a02_csv", "a11_parquet_footer", "a13_markdown_tables", "b01_write_parquet",
-    "c07_facet", "d00_pipeline", "d01_cast", "d10_hash", "d12_synth_consistent", "d15_shuffle",
-    "d19_coarsen", "d20_recalc_balance", "d24_dedup_keys", "e09_pipeline_summary", "e10_compare",
+    "c07_facet", "d00_step_fold", "d01_cast", "d10_hash", "d12_synth_consistent", "d15_shuffle",
+    "d19_coarsen", "d20_recalc_balance", "d24_dedup_keys", "e09_step_summary", "e10_compare",
     "f03_distinct_counts", "f04_numeric_stats", "f05_histogram", "f06_top_values", "f13_profile",
     "g02_mask_census", "g06_segments", "g07_substrings", "h02_unique", "h10_reference",
     "h13_validate", "h15_suggest", "i02_scan_clean", "i03_scan_pii", "i05_anonymise_2",

@@ -129,7 +129,7 @@ _GRAMS = (
 )
 def substring_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every substring that a tenth of the addresses holds."""
-    return patterns.substring_counts(load(spark, folder, "pages"), "url")
+    return patterns.substring_counts(load(spark, folder, "pages", heavy=True), "url")
 
 
 _MAXIMAL = (

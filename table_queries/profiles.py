@@ -74,7 +74,7 @@ _LINES = (
     ),
 )
 def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.distinct_counts(load(spark, folder, "lineitem"))
+    return profile.distinct_counts(load(spark, folder, "lineitem", heavy=True))
 
 
 @query(
@@ -84,7 +84,7 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT 'doc_id', count(DISTINCT doc_id) FROM documents",
 )
 def distinct_text(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.distinct_counts(load(spark, folder, "documents").select("text", "lang", "doc_id"))
+    return profile.distinct_counts(load(spark, folder, "documents", heavy=True).select("text", "lang", "doc_id"))
 
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_suppkey")
@@ -241,7 +241,7 @@ def _profile_sql() -> str:
 @query("f13_profile", _profile_sql())
 def full_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The whole profile; nested lists are shown by their size and first entry."""
-    found = profile.profile(load(spark, folder, "orders"))
+    found = profile.profile(load(spark, folder, "orders", heavy=True))
     top = F.get("top_values", F.lit(0))
     size = F.when(F.col("histogram").isNotNull(), F.size("histogram"))
     return found.select(

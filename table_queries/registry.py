@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.operators.distributed import shared_folder
+from tablewright.sources.readers import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,8 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table, whole; `heavy` for queries with much work per row."""
+    return read_parquet(spark, f"{folder}/{name}.parquet", spread=heavy)
 
 
 def scratch(spark: SparkSession) -> str:

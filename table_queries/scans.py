@@ -14,7 +14,7 @@ def dirty(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a careless export: dates and amounts as text, blanks, words for true and false."""
     key = F.col("o_orderkey")
     price = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,")
-    return load(spark, folder, "orders").select(
+    return load(spark, folder, "orders", heavy=True).select(
         "o_orderkey",
         F.when(key % 10 == 0, "").otherwise(F.concat("o_orderpriority", F.lit("  x"))).alias("note"),
         F.when(key % 2 == 0, "ja").otherwise("nein").alias("paid"),
@@ -60,7 +60,7 @@ def scan_clean(spark: SparkSession, folder: str) -> DataFrame:
     "'^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS untrimmed FROM documents",
 )
 def clean_votes(spark: SparkSession, folder: str) -> DataFrame:
-    votes = scan.clean_votes(load(spark, folder, "documents").select("text"))
+    votes = scan.clean_votes(load(spark, folder, "documents", heavy=True).select("text"))
     return votes.select("total", "filled", "untrimmed")
 
 
@@ -74,7 +74,7 @@ def personal(spark: SparkSession, folder: str) -> DataFrame:
     code = F.md5(name)
     uuid = F.concat_ws("-", *[F.substring(code, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     ip = F.concat_ws(".", *[draw(name, 300, "", str(i)).cast("string") for i in range(4)])
-    return load(spark, folder, "customer").select(
+    return load(spark, folder, "customer", heavy=True).select(
         "c_custkey",
         name.alias("kunde"),
         synth.synthetic("email", d).alias("contact"),

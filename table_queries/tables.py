@@ -174,7 +174,7 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
     def after(n):
         return date + F.make_dt_interval(F.lit(0), n.cast("int"))
 
-    return load(spark, folder, "orders").select(
+    return load(spark, folder, "orders", heavy=True).select(
         key.alias("trip_id"),
         country.alias("country"),
         after(hours).alias("start"),
@@ -188,7 +188,7 @@ def meals(spark: SparkSession, folder: str) -> DataFrame:
     """Provided meals on the second day."""
     key = F.col("o_orderkey")
     second = F.date_add(F.to_date(F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (8 + key % 5).cast("int"))), 1)
-    return load(spark, folder, "orders").select(
+    return load(spark, folder, "orders", heavy=True).select(
         key.alias("trip_id"),
         second.alias("day"),
         (key % 2 == 1).alias("breakfast"),
@@ -235,7 +235,7 @@ def settled(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit("travel"), F.lit("lodging"), F.lit("extra")), F.col("l_linenumber") % 3 + 1
     )
     mode = F.element_at(F.array(F.lit("km"), F.lit("flat"), F.lit("amount")), F.col("l_linenumber") % 3 + 1)
-    positions = load(spark, folder, "lineitem").select(
+    positions = load(spark, folder, "lineitem", heavy=True).select(
         F.col("l_orderkey").alias("trip_id"),
         kind.alias("kind"),
         mode.alias("mode"),
@@ -329,7 +329,7 @@ def receipt_fields(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("-" * 100)),
         F.concat(F.lit("Gesamtbetrag EUR "), german(price)),
     )
-    found = receipts.extract_receipt_fields(load(spark, folder, "orders").withColumn("text", text), "text")
+    found = receipts.extract_receipt_fields(load(spark, folder, "orders", heavy=True).withColumn("text", text), "text")
     return found.select(
         "o_orderkey", "total", "kind", F.array_join("dates", " ").alias("dates"), "check_out", "nights",
         "breakfast", "round_trip", "origin", "destination",
@@ -345,6 +345,6 @@ def receipt_fields(spark: SparkSession, folder: str) -> DataFrame:
 )
 def receipt_dates(spark: SparkSession, folder: str) -> DataFrame:
     """The extractor over whole free texts; ISO dates are counted on both sides."""
-    found = receipts.extract_receipt_fields(load(spark, folder, "documents").select("doc_id", "text"), "text")
+    found = receipts.extract_receipt_fields(load(spark, folder, "documents", heavy=True).select("doc_id", "text"), "text")
     written = F.filter("dates", lambda d: F.contains(F.col("text"), d))
     return found.select("doc_id", big(F.size(written), "iso_dates"))
