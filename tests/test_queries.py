@@ -13,7 +13,7 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, folder, name):
     difference = compare(spark, con, QUERIES[name], ORACLES[name], folder)
     assert difference is None, difference
