@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import pivots, simhash, topk
-from tablewright.llm.common import table
+from public_tokenizers import path as tokenizer_path
+
+from tablewright.llm import mixing, pieces, pivots, simhash, tokenfile, topk
+from tablewright.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +27,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op2_token_file")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/llm-ids-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents")
+    tokenfile.write_ids(docs, path, tokenizer_path("word_bpe_49k.json"), end=2)
+    return tokenfile.read_digests(spark, path)
+
+
+@query("op5_pareto_mix", mixing.ORACLE)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mix(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query(
     "op6_exact_topk",
     """
@@ -47,6 +64,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op7_pieces")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", "ids", "decoded")
+
+
 @query("op9_pivot_near_vectors")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_vectors(table(spark, folder, "embeddings"))
