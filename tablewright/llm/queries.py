@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from tablewright.llm import mixing, pieces, pivots, simhash, tokenfile, topk
-from tablewright.llm.common import shared_folder, table
+from tablewright.llm import language, mixing, pieces, pivots, simhash, tokenfile, topk, toxicity
+from tablewright.llm.common import fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_digests(spark, path)
 
 
+@query("op3_language")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = fold("doc_id", 5) == 0
+    classifier = language.train(docs, ~held)
+    out = language.identify(docs.select("doc_id", "text"), classifier)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = fold("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~held)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query("op5_pareto_mix", mixing.ORACLE)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     out = mixing.mix(table(spark, folder, "documents"))
