@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from tablewright.llm import language, mixing, pieces, pivots, simhash, tokenfile, topk, toxicity
+from tablewright.llm import html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity
 from tablewright.llm.common import fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_html_text")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text")
+
+
 @query("op2_token_file")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-ids-{uuid.uuid4().hex}"
@@ -89,6 +94,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_ids", "ids", "decoded")
 
 
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.train(docs))
+
+
 @query("op9_pivot_near_vectors")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_vectors(table(spark, folder, "embeddings"))
