@@ -6,16 +6,17 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-SIGNS = ".,!?;:|*&%$#()\"+=/-"
-CACHE = 500_000  # distinct units, and stretches of them, a task remembers
+CACHE = 800_000  # distinct units a task remembers
 PAIRS = 1_000_000  # neighbouring pieces a task remembers
 NORMAL, CONTROL, BYTE = 1, 3, 6
+SIGNS = ".,!?;:|*&%$#()\"-"
 
 
 class Transducer:
@@ -49,7 +50,6 @@ class Transducer:
             int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE
         }
         self.unknown = model.trainer_spec.unk_id
-        self.longest = max(map(len, self.score))
         self.kind = "H" if len(model.pieces) <= 1 << 16 else "I"
         self.written: list[str | bytes] = [
             p.piece if p.type == NORMAL
@@ -57,18 +57,29 @@ class Transducer:
             else "" if p.type == CONTROL else model.trainer_spec.unk_surface
             for p in model.pieces
         ]
-        inner = {c for p in self.score if len(p) > 1 for c in p}
-        whole = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        cut = "".join(c for c in "\n\t\r" if c not in inner)
-        self.units = re.compile(
-            f"[{cut}]|{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" if whole and cut else r"(?s).+"
-        )
-        self.inside = {a + b for p in self.score for a, b in zip(p, p[1:], strict=False)}
-        signs = re.escape(SIGNS)
-        self.stretch = re.compile(f"[{signs}]+|[^{signs}]+")
+        inside = {a + b for p in self.score for a, b in zip(p, p[1:], strict=False)}
+        alone = "".join(c for c in "\n\t\r" if not any(c in two for two in inside))
+        free = re.escape("".join(
+            c for c in SIGNS
+            if not any(c in two and (two[0].isalpha() or two[1].isalpha()) for two in inside)
+        ))
+        letters, stop = r"[^\W\d_]", f"[{free}{SPACE}{alone}]|\\Z"
+        cut = [
+            f"{SPACE}*{letters}++(?={stop})",  # no piece spans a letter and a free sign
+            f"{SPACE}*[{free}]++(?=[{SPACE}{alone}]|{letters}|\\Z)",
+            f"{SPACE}*[^{SPACE}{alone}]+", f"{SPACE}+", f"[{alone}]",
+        ]
+        ends = free and alone and not any(SPACE in p.lstrip(SPACE) for p in self.score)
+        self.units = re.compile("|".join(cut) if ends else r"(?s).+")
+        self.arcs: dict = {}  # by character; a state where a piece ends holds the empty text too
+        for p in self.score:
+            state = self.arcs
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = True
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Characters merged while two neighbours are a piece: best score first, then leftmost."""
@@ -86,25 +97,33 @@ class Transducer:
 
     def follows(self, before: str, piece: str) -> bool:
         """Whether the weight of this pair is finite."""
-        key = (before, piece)
-        out = self.pairs.get(key)
-        if out is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs = {}
-            want = [before, piece] if before else [piece]
-            out = self.pairs[key] = self.merged(before + piece) == want
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.after, self.pairs = {}, 1
+        want = [before, piece] if before else [piece]
+        out = self.merged(before + piece) == want
+        self.after.setdefault(before, {})[piece] = out
         return out
 
     def shortest(self, unit: str) -> list[str]:
         """The pieces on the shortest path of a unit."""
-        last: list[str] = [""] * (len(unit) + 1)
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = unit[start:end]
-                if (piece in self.score or end - start == 1) and self.follows(last[start], piece):
-                    last[end] = piece
-                    break
-        out, end = [], len(unit)
+        size = len(unit)
+        last: list[str] = [""] * (size + 1)
+        for start in range(size):
+            before = last[start]
+            allowed = self.after.get(before) or {}
+            state, end = self.arcs, start
+            while end < size and state is not None:
+                state = state.get(unit[end])
+                end += 1
+                if last[end] == "" and (end == start + 1 or state and "" in state):
+                    piece = unit[start:end]
+                    finite = allowed.get(piece)
+                    if finite is None:
+                        finite = self.follows(before, piece)
+                    if finite:
+                        last[end] = piece
+        out, end = [], size
         while end:
             out.append(last[end])
             end -= len(last[end])
@@ -121,36 +140,16 @@ class Transducer:
                 out.append(self.unknown)
         return array(self.kind, out).tobytes()
 
-    def unit(self, unit: str) -> bytes:
-        """The ids of a unit, cut once more between letters and signs that no piece spans."""
-        parts = self.stretch.findall(unit)
-        at = 1
-        while at < len(parts):  # a cut holds only where no piece spans it
-            if parts[at - 1][-1] + parts[at][0] in self.inside:
-                parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
-            else:
-                at += 1
-        out = []
-        for p in parts:
-            ids = self.parts.get(p)
-            if ids is None:
-                if len(self.parts) > CACHE:
-                    self.parts = {}
-                ids = self.parts[p] = self.numbers(p)
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, f"={self.kind}")
         units = self.units.findall(self.prefix + text.replace(" ", SPACE))
-        distinct = set(units)
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        for u in distinct.difference(known):
-            known[u] = self.unit(u)
-        return np.frombuffer(b"".join([known[u] for u in units]), f"={self.kind}")
+        for u in set(filterfalse(known.__contains__, units)):
+            known[u] = self.numbers(u)
+        return np.frombuffer(b"".join(map(known.__getitem__, units)), f"={self.kind}")
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: pieces to text, runs of byte pieces as UTF-8, the front space taken away."""
