@@ -9,7 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ MAGIC = b"PFR1"
 BLOCK = 128  # ids of a block
 PACKED = 90  # percentile of a block that its width holds
 SEGMENT = 1 << 20  # ids from which a segment is closed
-CACHE = 500_000  # distinct words, and runs, a task remembers
-RUN = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
+CACHE = 600_000  # distinct words a task remembers
+USUAL = 10  # longest word it remembers
+# fixed value: the words of the tokenizer's pattern
+RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split only
 HEAD = struct.Struct("<4sIIQQ")  # magic, block, documents, ids, bytes of blocks
 
@@ -45,22 +47,41 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     cut = max(0, block * PACKED // 100 - 1)
     usual = np.partition(above, cut, axis=1)[:, cut] if n else least
     width = np.ceil(np.log2(usual + 1)).astype(np.int64)
-    out: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    far = above >= (1 << width)[:, None]
+    outliers = far.sum(axis=1)
+    body = -(-width * block // 8)
+    size = 6 + body + 5 * outliers
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = least.astype("<u4")[:, None].view(np.uint8)
+    out[starts + 4], out[starts + 5] = width, outliers
+    for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        bits = ((above[at][:, :, None] >> np.arange(w)) & 1).astype(np.uint8)
-        body = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-        far = above[at] >= (1 << w)
-        for i, b in enumerate(at):
-            places = np.flatnonzero(far[i])
-            out[b] = b"".join(
-                (
-                    struct.pack("<IBB", least[b], w, len(places)), body[i].tobytes(),
-                    places.astype(np.uint8).tobytes(), above[b][places].astype("<u4").tobytes(),
-                )
-            )
-    starts = np.cumsum([0, *map(len, out)])[:-1] if n else np.zeros(0, np.int64)
-    return b"".join(out), starts.astype("<u4")
+        for part in (at[s : s + 1024] for s in range(0, len(at), 1024)):
+            packed = np.packbits(_bits(above[part], int(w)), axis=1, bitorder="little")
+            out[starts[part][:, None] + 6 + np.arange(packed.shape[1])] = packed
+    run, place = np.nonzero(far)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(outliers) - outliers, outliers)
+    base = (starts + 6 + body)[run]
+    out[base + nth] = place
+    value = above[run, place].astype("<u4")[:, None].view(np.uint8)
+    out[(base + outliers[run] + 4 * nth)[:, None] + np.arange(4)] = value
+    return out.tobytes(), starts.astype("<u4")
+
+
+def _bits(rows: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bits of each number, low bit first, a row for each row."""
+    size = 2 if width <= 16 else 4
+    raw = rows.astype(f"<u{size}").view(np.uint8).reshape(*rows.shape, size)
+    return np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width].reshape(len(rows), -1)
+
+
+def _numbers(bits: np.ndarray, width: int) -> np.ndarray:
+    """The inverse: bits (rows, numbers, width) as numbers."""
+    size = 2 if width <= 16 else 4
+    full = np.zeros((*bits.shape[:2], 8 * size), np.uint8)
+    full[:, :, :width] = bits
+    return np.packbits(full, axis=2, bitorder="little").view(f"<u{size}")[:, :, 0]
 
 
 def unpack(data: bytes, starts: np.ndarray, count: int, block: int = BLOCK) -> np.ndarray:
@@ -74,9 +95,10 @@ def unpack(data: bytes, starts: np.ndarray, count: int, block: int = BLOCK) -> n
     body = -(-width * block // 8)
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        packed = raw[starts[at][:, None] + 6 + np.arange(-(-w * block // 8))]
-        bits = np.unpackbits(packed, axis=1, bitorder="little", count=block * w)
-        rows[at] = bits.reshape(len(at), block, w) @ (1 << np.arange(w))
+        for part in (at[s : s + 1024] for s in range(0, len(at), 1024)):
+            packed = raw[starts[part][:, None] + 6 + np.arange(-(-w * block // 8))]
+            bits = np.unpackbits(packed, axis=1, bitorder="little", count=block * w)
+            rows[part] = _numbers(bits.reshape(len(part), block, w), int(w))
     run = np.repeat(np.arange(n), outliers)
     nth = np.arange(len(run)) - np.repeat(np.cumsum(outliers) - outliers, outliers)
     base = (starts + 6 + body)[run]
@@ -120,12 +142,38 @@ def parse(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ tokens
 
 
+class Words(dict):
+    """Ids by word; a word not met before is asked of the tokenizer's model.
+
+    The model reads bytes as letters, as its pre-tokenizer writes them.
+    """
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.kind, self.ask, self.whole = kind, tokenizer.model.tokenize, tokenizer.encode
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            ids = [t.id for t in self.ask(word)]
+        elif word.isalpha():
+            ids = [t.id for t in self.ask(self.letters(word)[0][0])]
+        else:
+            ids = self.whole(word, add_special_tokens=False).ids
+        out = array(self.kind, ids).tobytes()
+        if len(word) <= USUAL:
+            self[word] = out
+        return out
+
+
 class Encoder:
-    """A tokenizer that drops white space, asked once per distinct run of letters or signs.
+    """A tokenizer of lower-cased words, asked once per distinct word.
 
-    It lower-cases, and cuts texts at white space and between letters, digits and signs, so a text's
-    ids are those of its words in turn.  Words with an apostrophe (contractions), with what may be a
-    special token, or not in composed form are left whole.
+    Its own pattern cuts a text into words that it encodes one by one (white space is dropped), so a
+    text's ids are those of its words in turn.  Texts that may hold a special token or separators
+    that only Python takes for white space go to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -134,46 +182,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Takes in the ids of words not yet known."""
-        if len(self.known) + len(words) > CACHE:
-            self.known = {}
-        if len(self.runs) > CACHE:
-            self.runs = {}
-        cut = {
-            w: [r.lower() if r.isascii() else r for r in RUN.findall(w)]
-            if "'" not in w and "<|" not in w and is_normalized("NFC", w) else [w]
-            for w in words
-        }
-        runs = self.runs
-        new = list({r for parts in cut.values() for r in parts if r not in runs})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            runs.update((r, array(self.kind, e.ids).tobytes()) for r, e in zip(part, found, strict=True))
-        for w, parts in cut.items():
-            self.known[w] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[r] for r in parts])
-
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        """The ids of each text, then `end`."""
-        split = [
-            [t] if any(c in t for c in ODD_SPACE) else t.split() for t in (x or "" for x in texts)
-        ]
-        words = set().union(*split)
-        missing = words.difference(self.known)
-        if len(self.known) + len(missing) > CACHE:
-            missing = words
-        if missing:
-            self.learn(missing)
-        known = self.known
+        self.known = Words(self.tokenizer, self.kind)
+
+    def split(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = normalize("NFC", text).replace("\u03a3", "\u03c3")  # no final sigma
+        return RUN.findall(text.lower())
+
+    def encode(self, text: str | None, end: int) -> np.ndarray:
+        """The ids of a text, then `end`."""
+        text = text or ""
         tail = array(self.kind, [end]).tobytes()
-        dtype = np.dtype(f"={self.kind}")
-        return [
-            np.frombuffer(b"".join([*map(known.__getitem__, words), tail]), dtype) for words in split
-        ]
+        if "<|" in text or any(c in text for c in ODD_SPACE):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            data = array(self.kind, ids).tobytes() + tail
+        else:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            data = b"".join([*map(self.known.__getitem__, self.split(text)), tail])
+        return np.frombuffer(data, np.dtype(f"={self.kind}"))
 
 
 @lru_cache(maxsize=2)
@@ -202,16 +229,15 @@ def _encode(path: str, end: int):
 
         for b in batches:
             texts, names = b.column("text"), b.column("doc_id")
-            for at in range(0, b.num_rows, 512):
-                found = tool.encode(texts.slice(at, 512).to_pylist(), end)
-                for name, ids in zip(names.slice(at, 512).to_pylist(), found, strict=True):
-                    doc_ids.append(name)
-                    rows.append(ids)
-                    held += len(ids)
-                    if held >= SEGMENT:
-                        yield close()
-                        seq, before = seq + 1, before + held
-                        doc_ids, rows, held = [], [], 0
+            for name, text in zip(names.to_pylist(), texts, strict=True):
+                ids = tool.encode(text.as_py(), end)
+                doc_ids.append(name)
+                rows.append(ids)
+                held += len(ids)
+                if held >= SEGMENT:
+                    yield close()
+                    seq, before = seq + 1, before + held
+                    doc_ids, rows, held = [], [], 0
         if rows:
             yield close()
 
