@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.llm.common import settled
 from tablewright.llm.language import logistic
 
 SUBSEQUENCE = 3  # characters of a subsequence
@@ -95,27 +96,49 @@ def by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.array(flat, np.int64).reshape(len(part), n)
 
 
-def feature_matrix(units: list[str]) -> np.ndarray:
-    """Explicit kernel features of a few units, each of length 1."""
-    out = np.zeros((len(units), ALPHABET**SUBSEQUENCE), np.float32)
+def listed(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, key and weight of every subsequence of the units, each unit of length 1."""
+    rows, keys, weights = [], [], []
     for at, codes in by_length(units):
         key, w = subsequences(codes)
-        for i, row in enumerate(at):
-            np.add.at(out[row], key[i], w[i])
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(length, 1e-12)
+        w = w / np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-12)
+        i, j = np.nonzero(w)
+        rows.append(at[i])
+        keys.append(key[i, j])
+        weights.append(w[i, j])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(weights)
 
 
-def kernel(units: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Normalised kernel of units against landmarks' features."""
-    out = np.zeros((len(units), len(landmarks)), np.float32)
-    columns = np.ascontiguousarray(landmarks.T)
-    for at, codes in by_length(units):
-        key, w = subsequences(codes)
-        length = np.sqrt((w * w).sum(axis=1))
-        for i, row in enumerate(at):
-            some = w[i] > 0
-            out[row] = w[i][some] @ columns[key[i][some]] / max(length[i], 1e-12)
+@dataclass
+class Marks:
+    """Explicit kernel features of a few units, over the subsequences that any of them holds."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, units: list[str]) -> Marks:
+        row, key, weight = listed(units)
+        keys, place = np.unique(key, return_inverse=True)
+        out = np.zeros((len(units), len(keys)), np.float32)
+        out[row, place] = weight
+        return cls(keys, out)
+
+
+def kernel(units: list[str], marks: Marks) -> np.ndarray:
+    """Normalised kernel of units against marks."""
+    out = np.zeros((len(units), len(marks.rows)), np.float32)
+    if not len(marks.keys):
+        return out
+    for s in range(0, len(units), 512):
+        row, key, weight = listed(units[s : s + 512])
+        place = np.minimum(np.searchsorted(marks.keys, key), len(marks.keys) - 1)
+        hit = marks.keys[place] == key
+        part = np.zeros((len(units[s : s + 512]), len(marks.keys)), np.float32)
+        part[row[hit], place[hit]] = weight[hit]
+        out[s : s + 512] = part @ marks.rows.T
     return out
 
 
@@ -219,8 +242,8 @@ def fit(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) ->
     """
     half = landmarks // 2
     chosen = [*spread(positive, half), *spread(negative, landmarks - half)]
-    marks = feature_matrix(chosen)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = Marks.of(chosen)
+    values, vectors = np.linalg.eigh((marks.rows @ marks.rows.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     x = np.concatenate([kernel(positive, marks), kernel(negative, marks)]).astype(np.float64) @ root
@@ -228,7 +251,9 @@ def fit(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) ->
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 4.0 * len(y) / max(len(positive), 1), 4.0 * len(y) / max(len(negative), 1)) / 10
     w = squared_hinge(x, y, cost)
-    return (marks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+    weight = np.zeros(ALPHABET**SUBSEQUENCE, np.float32)
+    weight[marks.keys] = marks.rows.T @ (root @ w[:-1])
+    return weight, float(w[-1])
 
 
 def spread(units: list[str], count: int) -> list[str]:
@@ -237,7 +262,7 @@ def spread(units: list[str], count: int) -> list[str]:
     if len(pool) <= count:
         return pool
     picked = [0]
-    marks = feature_matrix(pool)
+    marks = Marks.of(pool).rows
     near = marks @ marks[0]
     while len(picked) < count:
         at = int(np.argmin(near))
@@ -305,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     spark = docs.sparkSession
     chosen = spark.createDataFrame(list(role.values()), "doc_id long, toxic int, held boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counts = _counts(texts.filter(~F.col("held")).select("toxic", "text")).cache()
+    counts = settled(_counts(texts.filter(~F.col("held")).select("toxic", "text")), "units")
     n_toxic = sum(x[1] == 1 and not x[2] for x in role.values())
     n_clean = sum(x[1] == 0 and not x[2] for x in role.values())
     rate = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
