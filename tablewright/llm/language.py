@@ -294,11 +294,12 @@ def train(
     `calibration` ones the score: whole texts, a bounded number of them.  None without any.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    picked = (
-        rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash))
-        .filter(F.col("nth") <= sample + calibration)
-    )
+    picked = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):  # a language may hold most rows: first in its parts
+        by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+        picked = picked.withColumn("nth", F.row_number().over(by_hash))
+        picked = picked.filter(F.col("nth") <= sample + calibration)
+    picked = picked.select("doc_id", "lang", "nth")
     texts = rows.select("doc_id", "lang", "text").join(
         F.broadcast(picked), ["doc_id", "lang"]  # at most sample + calibration rows per language
     )
