@@ -16,7 +16,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node with a link, component the smallest node reachable.
+    """(node, component) of every node with a smaller one in reach, component the smallest of them.
 
     Each round hangs the neighbours of a node on the smallest of them, first the larger ones, then
     the smaller ones, until only stars are left.  A round is two aggregations with map-side minima

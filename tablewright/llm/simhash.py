@@ -260,7 +260,7 @@ def plan(fps: DataFrame, distance: int) -> tuple[list[tuple[int, list[int], int]
 
 
 def near_fingerprints(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """(node, component) of distinct fingerprints with another within `distance` bits.
+    """(node, component) of distinct fingerprints that links of `distance` bits tie to a smaller one.
 
     Bits that go together share a part; thresholds per part, and the number of parts, are the ones
     of least estimated work by dynamic programming on counts over all fingerprints.  Every
