@@ -58,7 +58,7 @@ _TEXTS = (
     "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS dated FROM orders",
 )
 def cast(spark: SparkSession, folder: str) -> DataFrame:
-    orders = load(spark, folder, "orders", heavy=True)
+    orders = load(spark, folder, "orders")
     text = F.expr(_TEXTS.replace("VARCHAR", "STRING"))
     german = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d.M.yyyy"))
     german = german.otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
@@ -90,7 +90,7 @@ def spelled(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("o_orderpriority")
     for rest, form in ((3, "MM/dd/yyyy"), (2, "dd.MM.yyyy"), (1, "yyyy-MM-dd HH:mm:ss"), (0, "yyyy-MM-dd")):
         text = F.when(key == rest, F.date_format(date, form)).otherwise(text)
-    return load(spark, folder, "orders", heavy=True).select("o_orderkey", text.alias("spelled"))
+    return load(spark, folder, "orders").select("o_orderkey", text.alias("spelled"))
 
 
 @query(
@@ -109,7 +109,7 @@ def date_formats(spark: SparkSession, folder: str) -> DataFrame:
     "FROM documents",
 )
 def trim(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents", heavy=True)
+    docs = load(spark, folder, "documents")
     padded = docs.select("doc_id", F.concat(F.lit("  "), "text", F.lit("  ")).alias("text"))
     return run(padded, S.Trim("text"))
 
@@ -169,7 +169,7 @@ def parse_number(spark: SparkSession, folder: str) -> DataFrame:
     english = F.format_string("$ %s", F.format_number(price, 2))
     german = F.translate(F.format_number(price, 2), ",.", ".,")
     german = F.when(F.col("o_orderkey") % 9 == 0, "--").otherwise(F.concat(german, F.lit(" €")))
-    raw = load(spark, folder, "orders", heavy=True).select("o_orderkey", german.alias("german"), english.alias("english"))
+    raw = load(spark, folder, "orders").select("o_orderkey", german.alias("german"), english.alias("english"))
     return run(raw, S.ParseNumber("german", ","), S.ParseNumber("english", "."))
 
 
@@ -247,7 +247,7 @@ SYNTH_SQL = {
 def synth_values(spark: SparkSession, folder: str) -> DataFrame:
     """All categories of deterministic made-up values, one column each."""
     name = F.col("c_name")
-    raw = load(spark, folder, "customer", heavy=True).select("c_custkey", *[name.alias(k) for k in SYNTH_SQL])
+    raw = load(spark, folder, "customer").select("c_custkey", *[name.alias(k) for k in SYNTH_SQL])
     return run(raw, *[S.Synth(k, k, "det") for k in SYNTH_SQL])
 
 
@@ -464,11 +464,19 @@ def coarsen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "d20_recalc_balance",
-    "SELECT o_orderkey, CAST(100.5 + sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER "
-    "(ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM orders",
+    "SELECT o_orderkey, CAST(100.5 + sum(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS "
+    "DECIMAL(18,2)) END) OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END NULLS LAST, "
+    "o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM orders",
 )
 def recalc_balance(spark: SparkSession, folder: str) -> DataFrame:
-    orders = load(spark, folder, "orders").withColumn("balance", F.lit(0.0))
+    """Amounts and dates with NULLs."""
+    orders = load(spark, folder, "orders").withColumns(
+        {
+            "balance": F.lit(0.0),
+            "o_totalprice": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")),
+            "o_orderdate": F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")),
+        }
+    )
     step = S.RecalcBalance("balance", "o_totalprice", "o_orderdate", 100.5, ("o_orderkey",))
     return run(orders, step).select("o_orderkey", "balance")
 

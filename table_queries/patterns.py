@@ -108,14 +108,14 @@ def outlier_rows(spark: SparkSession, folder: str) -> DataFrame:
     "UNION ALL SELECT 'token', unnest(regexp_split_to_array(regexp_replace(url, '([a-z])([A-Z])', '\\1 \\2', "
     "'g'), '[^[:alnum:]]+')), url FROM pages), g AS (SELECT kind, value, count(*) AS c, min(ex) AS example "
     "FROM s WHERE value <> '' AND (kind <> 'token' OR length(value) >= 2) GROUP BY ALL HAVING count(*) >= 2) "
-    "SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c DESC, value) <= 200",
+    "SELECT * FROM g",
 )
 def segments(spark: SparkSession, folder: str) -> DataFrame:
     return patterns.segments(load(spark, folder, "pages"), "url")
 
 
 _GRAMS = (
-    "WITH v AS (SELECT left({c}, 40) AS v FROM {t} WHERE {c} IS NOT NULL), n AS (SELECT greatest(2, "
+    "WITH v AS (SELECT {c} AS v FROM {t} WHERE {c} IS NOT NULL), n AS (SELECT greatest(2, "
     "ceil(count(*) * 0.1::DOUBLE)) AS support FROM v), g AS (SELECT substring(v, pos, len) AS gram, v FROM "
     "(SELECT DISTINCT v FROM v), range(3, 25) AS l(len), range(1, length(v) - len + 2) AS p(pos) WHERE "
     "length(v) >= len), f AS (SELECT gram, count(DISTINCT v) AS c, min(v) AS example FROM g GROUP BY gram "
@@ -129,11 +129,11 @@ _GRAMS = (
 )
 def substring_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every substring that a tenth of the addresses holds."""
-    return patterns.substring_counts(load(spark, folder, "pages", heavy=True), "url")
+    return patterns.substring_counts(load(spark, folder, "pages"), "url")
 
 
 _MAXIMAL = (
-    ", top AS (SELECT * FROM f ORDER BY length(gram) DESC, c DESC, gram LIMIT 400), sets AS (SELECT "
+    ", top AS (SELECT * FROM f), sets AS (SELECT "
     "length(gram) AS len, list({{'g': gram, 'c': c}}) AS items FROM top GROUP BY 1), walk AS (SELECT 25 AS "
     "len, [{{'g': '', 'c': 0::BIGINT}}] AS kept UNION ALL SELECT len - 1, kept || coalesce(list_filter((SELECT "
     "items FROM sets WHERE sets.len = walk.len - 1), lambda x: len(list_filter(kept, lambda k: contains(k.g, "
@@ -148,4 +148,4 @@ _MAXIMAL = (
     "WITH RECURSIVE " + _GRAMS.format(c="p_name", t="part")[5:] + _MAXIMAL,
 )
 def substrings(spark: SparkSession, folder: str) -> DataFrame:
-    return patterns.substrings(load(spark, folder, "part"), "p_name")
+    return patterns.substrings(load(spark, folder, "part"), "p_name", limit=40)

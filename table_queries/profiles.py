@@ -74,7 +74,7 @@ _LINES = (
     ),
 )
 def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.distinct_counts(load(spark, folder, "lineitem", heavy=True))
+    return profile.distinct_counts(load(spark, folder, "lineitem"))
 
 
 @query(
@@ -84,7 +84,7 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT 'doc_id', count(DISTINCT doc_id) FROM documents",
 )
 def distinct_text(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.distinct_counts(load(spark, folder, "documents", heavy=True).select("text", "lang", "doc_id"))
+    return profile.distinct_counts(load(spark, folder, "documents").select("text", "lang", "doc_id"))
 
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_suppkey")
@@ -241,7 +241,7 @@ def _profile_sql() -> str:
 @query("f13_profile", _profile_sql())
 def full_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The whole profile; nested lists are shown by their size and first entry."""
-    found = profile.profile(load(spark, folder, "orders", heavy=True))
+    found = profile.profile(load(spark, folder, "orders"))
     top = F.get("top_values", F.lit(0))
     size = F.when(F.col("histogram").isNotNull(), F.size("histogram"))
     return found.select(
@@ -254,6 +254,22 @@ def full_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "f13_profile_bins",
+    "WITH t AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS x FROM orders), m AS (SELECT "
+    "min(x) AS lo, max(x) AS hi FROM t), b AS (SELECT CAST(least(30, greatest(1, floor((x - lo) / (hi - lo) "
+    "* 30) + 1)) AS BIGINT) AS bin, count(*) AS n FROM t, m WHERE x IS NOT NULL GROUP BY 1) "
+    "SELECT r AS bin, coalesce(n, 0) AS count FROM range(1, 31) AS s(r) LEFT JOIN b ON bin = r",
+)
+def profile_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Every bin of a column with NULLs."""
+    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price")
+    found = profile.profile(load(spark, folder, "orders").select(price))
+    return found.select(F.posexplode("histogram").alias("bin", "h")).select(
+        (F.col("bin") + 1).cast("bigint").alias("bin"), F.col("h.count").alias("count")
+    )
+
+
 @query(
     "k04_summarize",
     " UNION ALL ".join(

@@ -25,9 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def load(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
-    """A given table, whole; `heavy` for queries with much work per row."""
-    return read_parquet(spark, f"{folder}/{name}.parquet", spread=heavy)
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, whole."""
+    return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:

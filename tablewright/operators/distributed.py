@@ -2,14 +2,12 @@
 
 Ranks and running sums split the order into buckets, add up each bucket, and
 add the few bucket totals to a window inside the bucket.  Lookups keep hot
-keys away from the shuffle.  Nothing is capped or sampled away: samples only
-pick split points, which change the balance and never the result.
+keys away from the shuffle.  Nothing is capped or sampled away.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -18,7 +16,6 @@ from tablewright.functions.hashing import row_hash
 
 HEX_DIGITS = 3  # hash buckets: 16 ** 3, which bounds every offset table
 MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 32  # wanted; twice as many are drawn
 HOT_SHARE = 1000  # a key is hot from 1/1000 of all rows on, so at most 1000 keys are
 COPY_CHUNK = 10_000
 BLOCK_CHUNK = 65_536
@@ -26,11 +23,11 @@ SMALL_COUNT = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder; a folder of the warehouse, which is shared too, where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewright-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return context.getCheckpointDir()
 
 
@@ -83,45 +80,14 @@ def bucket_count(spark: SparkSession) -> int:
     return max(2, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def order_buckets(df: DataFrame, keys: list[str], buckets: int | None = None) -> Column:
-    """Bucket number of each row in the ascending order of `keys`.
+def range_buckets(df: DataFrame, keys: list[str], out: str = "_bucket") -> DataFrame:
+    """Rows dealt out by Spark's range partitioning in the ascending order of `keys`, NULLs last.
 
-    Split points come from a sample of about 64 rows per bucket, picked by key
-    hash and sorted by Spark; only the split candidates reach the driver.
+    `out` is the number of the range.  The rows are written out once, so a range keeps its number
+    and its rows whatever reads them, and however often.
     """
-    buckets = buckets or bucket_count(df.sparkSession)
-    size = buckets * SAMPLE_PER_BUCKET
-    rows_in_all = df.select(*[col(k) for k in keys]).count()
-    share = min(1_000_000, math.ceil(1e6 * 2 * size / max(1, rows_in_all)))
-    pick = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(1_000_000)) < share
-    picked = df.select(*[col(k) for k in keys]).where(pick)
-    texts = [col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = picked.orderBy(*[col(k) for k in keys]).limit(4 * size).select(*texts).collect()
-    step = len(rows) / buckets
-    splits = [rows[int(i * step)] for i in range(1, buckets)] if step >= 1 else rows
-    if not splits:
-        return F.lit(0)
-    types = [df.schema[k].dataType.simpleString() for k in keys]
-
-    def constant(value: str | None, dtype: str) -> str:
-        if value is None:
-            return f"CAST(NULL AS {dtype})"
-        quoted = value.replace("\\", "\\\\").replace("'", "\\'")
-        return f"CAST('{quoted}' AS {dtype})"
-
-    def struct_sql(values: list[str]) -> str:
-        return "named_struct(" + ", ".join(f"'k{i}', {v}" for i, v in enumerate(values)) + ")"
-
-    points = "array(" + ", ".join(
-        struct_sql([constant(v, t) for v, t in zip(row, types)]) for row in splits
-    ) + ")"
-    key = struct_sql(["`" + k.replace("`", "``") + "`" for k in keys])
-    steps = ", ".join(str(2**i) for i in range(len(splits).bit_length() - 1, -1, -1))
-    # binary search: how many split points are not above the key
-    return F.expr(
-        f"aggregate(array({steps}), 0, (at, s) -> "
-        f"if(coalesce({key} >= get({points}, at + s - 1), false), at + s, at))"
-    )
+    order = [col(k).asc_nulls_last() for k in keys]
+    return settle(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()))
 
 
 def running_sum(
@@ -131,42 +97,37 @@ def running_sum(
     out: str,
     partition_by: list[str] | None = None,
 ) -> DataFrame:
-    """Running sum of `value` in the ascending order of `order_by` (together unique).
+    """Running sum of `value` in the ascending order of `order_by` (together unique), NULLs last.
 
-    Works for one order over the whole table and for hot partitions alike:
-    buckets cut across partitions.
+    NULL values add nothing; the sum is NULL only until a value has been seen.  Works for one order
+    over the whole table and for hot partitions alike: ranges cut across partitions.
     """
     groups = partition_by or []
     group_cols = [col(g) for g in groups]
-    work = df.withColumn("_value", value).withColumn(
-        "_bucket", order_buckets(df, groups + order_by)
-    )
+    work = range_buckets(df.withColumn("_value", value), groups + order_by)
     totals = work.groupBy("_bucket", *group_cols).agg(F.sum("_value").alias("_total"))
-    if groups:
-        earlier = Window.partitionBy(*group_cols).orderBy("_bucket")
-    else:
-        earlier = Window.orderBy("_bucket")  # at most MAX_BUCKETS rows
+    earlier = Window.partitionBy(*group_cols).orderBy("_bucket")  # one row per range and group
+    if not groups:
+        earlier = Window.orderBy("_bucket")
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast(totals.schema["_total"].dataType)
     offsets = totals.select(
-        "_bucket",
+        F.col("_bucket").alias("_range"),
         *[col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.coalesce(F.sum("_total").over(before), zero).alias("_before"),
+        F.sum("_total").over(before).alias("_before"),
     )
-    same = [work["_bucket"] == offsets["_bucket"]] + [
-        work[f"`{g}`"].eqNullSafe(offsets[f"_g{i}"]) for i, g in enumerate(groups)
+    same = [F.col("_bucket") == F.col("_range")] + [
+        col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)
     ]
-    joined = work.join(offsets if groups else F.broadcast(offsets), same, "left").drop(
-        offsets["_bucket"], *[f"_g{i}" for i in range(len(groups))]
-    )
+    joined = work.join(offsets, same, "left")
     inside = (
         Window.partitionBy("_bucket", *group_cols)
-        .orderBy(*[col(k) for k in order_by])
+        .orderBy(*[col(k).asc_nulls_last() for k in order_by])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return joined.withColumn(out, F.sum("_value").over(inside) + F.col("_before")).drop(
-        "_value", "_bucket", "_before"
-    )
+    upto = F.sum("_value").over(inside)
+    total = F.coalesce(upto + F.col("_before"), upto, F.col("_before"))
+    drop = ["_value", "_bucket", "_range", "_before", *[f"_g{i}" for i in range(len(groups))]]
+    return joined.withColumn(out, total).drop(*drop)
 
 
 # ---------------------------------------------------------------- row identity

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.functions.casts import convert
 from tablewright.functions.columns import all_of, col, text_of
 
-FACET_CAP = 5000
 
 
 def filter_sql(df: DataFrame, where: str) -> DataFrame:
@@ -92,20 +91,19 @@ def build_filter(
     return all_of([f.condition(df) for f in filters if f.column != exclude])
 
 
-def facet(df: DataFrame, column: str, filters: list = (), cap: int = FACET_CAP) -> DataFrame:
+def facet(df: DataFrame, column: str, filters: list = (), cap: int | None = None) -> DataFrame:
     """(value, count, truncated): values under the other columns' filters, most frequent first.
 
-    NULL is a value of its own; the cap is part of the facet list, and
-    `truncated` says whether it cut.
+    NULL is a value of its own; `cap` asks for the first values only, and `truncated` says whether
+    it cut.
     """
     rows = df.where(build_filter(df, list(filters), exclude=column))
     counts = rows.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    ordered = counts.orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
+    if cap is None:
+        return ordered.withColumn("truncated", F.lit(False))
     distinct = counts.agg(F.count(F.lit(1))).scalar()
-    return (
-        counts.orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
-        .limit(cap)
-        .withColumn("truncated", distinct > cap)
-    )
+    return ordered.limit(cap).withColumn("truncated", distinct > cap)
 
 
 def filtered_count(df: DataFrame, filters: list) -> DataFrame:

@@ -219,12 +219,12 @@ def diff(
     pipeline: Pipeline,
     df: DataFrame,
     index: int,
-    limit: int | None = 60,
+    limit: int | None = None,
     order_by: list[str] | None = None,
 ) -> DataFrame:
     """(order columns, before, after, cls): what one step does to its column, row by row.
 
-    cls: ok, failed (became NULL) or noeffect.  `limit` None compares all rows.
+    cls: ok, failed (became NULL) or noeffect.  `limit` asks for some rows only.
     """
     step, ctx = pipeline.entries[index].step, pipeline.context
     source = pipeline.apply(df, index)
@@ -250,13 +250,13 @@ def example(
 ) -> DataFrame:
     """(before, after): a few distinct pairs of what a step would do to a column.
 
-    Parse steps first read the notation off 30 values.
+    Parse steps first count the notations of the whole column.
     """
     from tablewright.operators.scan import decimal_sign, looks_numeric
 
     ctx = ctx or S.Context()
     known = col(column).isNotNull()
-    values = df.where(known).select(text_of(df, column).alias("v")).orderBy("v").limit(30)
+    values = df.where(known).select(text_of(df, column).alias("v"))
     values = values.where(F.trim("v") != "")
     if kind == "parseDate":
         fmt = S.date_format_of(F.trim("v")).alias("f")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import col, text_of
@@ -9,8 +13,8 @@ from tablewright.functions.masks import compact_display, mask, mask_regex
 
 DOMINANT_SHARE = 0.4
 NORMAL_SHARE = 0.15
-CANDIDATES = 400
 MERGE_RATIO = 0.8
+EXAMPLES_AT_ONCE = 200
 
 
 def _mask_counts(df: DataFrame, column: str) -> DataFrame:
@@ -133,8 +137,11 @@ def outlier_rows(
     return odd.orderBy("value", "mask").limit(limit) if limit else odd
 
 
-def segments(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
-    """(kind, value, c, example): prefixes, suffixes and tokens that occur at least twice."""
+def segments(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """(kind, value, c, example): prefixes, suffixes and tokens that occur at least twice.
+
+    `limit` asks for the most frequent of each kind only.
+    """
     v = F.col("ex")
     words = F.split(F.regexp_replace(v, "([a-z])([A-Z])", "$1 $2"), r"[^\p{Alnum}]+")
 
@@ -159,57 +166,79 @@ def segments(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"), F.min("ex").alias("example"))
         .where(F.col("c") >= 2)
     )
+    if limit is None:
+        return counted
     top = top_per_group(counted, "kind", [F.col("c").desc(), F.col("value")], limit, "rank")
     return top.drop("rank")
 
 
-def substring_counts(
-    df: DataFrame,
-    column: str,
-    min_len: int = 3,
-    max_len: int = 24,
-    min_share: float = 0.1,
-    cap_len: int = 40,
-) -> DataFrame:
-    """(gram, c): substrings of the first `cap_len` characters that enough distinct values hold.
+def _grams_of_length(values: DataFrame, size: int, parts: set[str] | None) -> DataFrame:
+    """(gram, c): values per substring of this length; only those whose two halves, each one
+    character shorter, are in `parts`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                grams = {text[i : i + size] for i in range(len(text) - size + 1)}
+                if parts is not None:
+                    grams = {g for g in grams if g[1:] in parts and g[:-1] in parts}
+                found.update(grams)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "gram": pa.array(list(found), pa.string()),
+                    "c": pa.array(list(found.values()), pa.int64()),
+                }
+            )
+
+    return values.mapInArrow(cut, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
-    Values are made distinct first, so every value adds one per gram and the
-    count is a plain map-side sum.  `cap_len` is part of the definition.
+
+def _frequent(
+    df: DataFrame, column: str, min_len: int, max_len: int, min_share: float
+) -> list[tuple[str, int]]:
+    """Substrings that enough distinct values hold, with the number of those values.
+
+    Grown by length: a substring can only be frequent if its two shorter ones are.  What reaches the
+    driver is bounded by the share: there are at most (mean length / share) of one length.
     """
-    values = df.where(col(column).isNotNull()).select(
-        F.substring(text_of(df, column), 1, cap_len).alias("v")
-    )
+    values = df.where(col(column).isNotNull()).select(text_of(df, column).alias("v"))
     rows = values.agg(F.count(F.lit(1))).scalar()
     support = F.greatest(F.lit(2), F.ceil(rows * F.lit(min_share)))
-    size = F.char_length("v")
-    lengths = F.sequence(F.lit(min_len), F.least(F.lit(max_len), size))
-    grams = F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), size - n + 1), lambda at: F.substr(F.col("v"), at, n)
-            ),
-        )
-    )
-    return (
-        values.distinct()
-        .where(size >= min_len)
-        .select(F.explode(F.array_distinct(grams)).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= support)
-    )
+    least = values.agg(support).first()[0]
+    distinct = values.distinct().where(F.char_length("v") >= min_len)
+    out: list[tuple[str, int]] = []
+    parts: set[str] | None = None
+    for size in range(min_len, max_len + 1):
+        grown = _grams_of_length(distinct, size, parts).where(F.col("c") >= least)
+        found = [(r["gram"], r["c"]) for r in grown.collect()]
+        if not found:
+            break
+        out += found
+        parts = {g for g, _ in found}
+    return out
 
 
-def maximal(grams: list[tuple[str, int]], ratio: float = MERGE_RATIO) -> list[tuple[str, int]]:
-    """Drop a gram when a kept longer one holds it with nearly all of its count.
+def substring_counts(
+    df: DataFrame, column: str, min_len: int = 3, max_len: int = 24, min_share: float = 0.1
+) -> DataFrame:
+    """(gram, c): substrings of whole values that enough distinct values hold.  Eager."""
+    found = _frequent(df, column, min_len, max_len, min_share)
+    return df.sparkSession.createDataFrame(found, "gram string, c bigint")
 
-    Takes the top candidates only (at most 400).
-    """
+
+def maximal(grams: list[tuple[str, int]], ratio: float = MERGE_RATIO) -> list[tuple[str, int]]:
+    """Drop a gram when a kept longer one holds it with nearly all of its count."""
     kept: list[tuple[str, int]] = []
+    inside: dict[str, int] = {}  # highest count of a kept gram that holds this shorter one
     for gram, c in sorted(grams, key=lambda g: (-len(g[0]), -g[1], g[0])):
-        if not any(len(k) > len(gram) and gram in k and n >= c * ratio for k, n in kept):
-            kept.append((gram, c))
+        if inside.get(gram, 0) >= c * ratio and gram in inside:
+            continue
+        kept.append((gram, c))
+        for size in range(1, len(gram)):
+            for i in range(len(gram) - size + 1):
+                part = gram[i : i + size]
+                inside[part] = max(c, inside.get(part, 0))
     return sorted(kept, key=lambda g: (-g[1], -len(g[0]), g[0]))
 
 
@@ -219,27 +248,23 @@ def substrings(
     min_len: int = 3,
     max_len: int = 24,
     min_share: float = 0.1,
-    cap_len: int = 40,
-    limit: int = 40,
+    limit: int | None = None,
 ) -> DataFrame:
     """(value, c, example): recurring motifs, fragments folded into the longest one.
 
-    Eager: brings the 400 longest candidates to the driver, then finds the
-    smallest example of each kept motif in one aggregate.
+    Eager: the frequent substrings reach the driver; the smallest example of each kept motif is
+    found in aggregates of a few hundred at a time.  `limit` asks for the first motifs only.
     """
-    counts = substring_counts(df, column, min_len, max_len, min_share, cap_len)
-    ranked = counts.orderBy(F.char_length("gram").desc(), F.col("c").desc(), "gram")
-    found = [(r["gram"], r["c"]) for r in ranked.limit(CANDIDATES).collect()]
-    kept = maximal(found)[:limit]
-    schema = "value string, c bigint, example string"
-    if not kept:
-        return df.sparkSession.createDataFrame([], schema)
-    v = F.substring(text_of(df, column), 1, cap_len)
-    examples = df.select(v.alias("v")).agg(
-        *[F.min(F.when(F.contains(F.col("v"), F.lit(g)), F.col("v"))) for g, _ in kept]
-    )
-    rows = [(g, c, e) for (g, c), e in zip(kept, examples.first())]
-    return df.sparkSession.createDataFrame(rows, schema)
+    kept = maximal(_frequent(df, column, min_len, max_len, min_share))[:limit]
+    v = text_of(df, column)
+    rows = []
+    for at in range(0, len(kept), EXAMPLES_AT_ONCE):
+        part = kept[at : at + EXAMPLES_AT_ONCE]
+        found = df.select(v.alias("v")).agg(
+            *[F.min(F.when(F.contains(F.col("v"), F.lit(g)), F.col("v"))) for g, _ in part]
+        )
+        rows += [(g, c, e) for (g, c), e in zip(part, found.first())]
+    return df.sparkSession.createDataFrame(rows, "value string, c bigint, example string")
 
 
 def match_records(df: DataFrame, column: str, kind: str, value: str) -> DataFrame:

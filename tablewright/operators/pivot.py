@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import categories, col, text_of
 
-COLUMN_CAP = 100
 NULL_LABEL = "(leer)"
 
 _ANY = ("integer", "numeric", "string", "temporal", "boolean", "binary", "other")
@@ -70,12 +69,15 @@ class Matrix:
 
 
 def pivot_matrix(
-    df: DataFrame, rows: list[str], column: str, values: list[Value], cap: int = COLUMN_CAP
+    df: DataFrame, rows: list[str], column: str, values: list[Value], cap: int | None = None
 ) -> Matrix:
     """Row fields down, values of `column` across (numbers by size, text by code point).
 
-    Only the first `cap` values are kept, with a flag and the true number;
-    NULL shows as "(leer)".  Eager for the list of column values.
+    All values get a column, up to what Spark allows for a pivot
+    (spark.sql.pivotMaxValues), beyond which it raises with the number;
+    pivot_flat with the column among the row fields has no such bound.  `cap`
+    asks for the first values only, with a flag and the true number.  NULL shows
+    as "(leer)".  Eager for the list of column values.
     """
     label = F.coalesce(text_of(df, column), F.lit(NULL_LABEL))
     labels = df.select(label.alias("label")).distinct()
@@ -83,7 +85,11 @@ def pivot_matrix(
     plain = (number.isNotNull()) | (F.col("label") == NULL_LABEL)
     total, numeric = labels.agg(F.count(F.lit(1)), F.bool_and(plain)).first()
     order = [number.asc_nulls_first()] if numeric else []
-    kept = [r["label"] for r in labels.orderBy(*order, "label").limit(cap).collect()]
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    if cap is None and total > most:
+        raise ValueError(f"{column} has {total} values, more than the {most} columns of a pivot")
+    wanted = labels.orderBy(*order, "label").limit(most if cap is None else cap)
+    kept = [r["label"] for r in wanted.collect()]
     aggregates = [v.column(df) for v in values]
     out = df.withColumn("_label", label)
     if total > len(kept):

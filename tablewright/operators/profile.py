@@ -10,7 +10,6 @@ from tablewright.operators.patterns import top_per_group
 
 HISTOGRAM_BINS = 30
 TOP_VALUES = 20
-TIME_BUCKETS = 200
 SHORT_TEXT = 64
 
 # Span in days up to which a bucket is used, and the label of a bucket.
@@ -134,8 +133,10 @@ def _numeric_rows(df: DataFrame, names: list[str]) -> dict[str, tuple]:
 
 
 def _bin(c: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of a value, from 1; NULL has none."""
     place = F.floor((c.cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins) + 1
-    return F.least(F.lit(bins), F.greatest(F.lit(1), place)).cast("int")
+    inside = F.least(F.lit(bins), F.greatest(F.lit(1), place)).cast("int")
+    return F.when(c.isNotNull(), inside)
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -221,18 +222,18 @@ def _bucket_label(c: Column, bucket: Column) -> Column:
     return out
 
 
-def time_buckets(df: DataFrame, column: str, cap: int = TIME_BUCKETS) -> DataFrame:
-    """(bucket, label, count): rows per hour, day, month or year, in order, first `cap` labels."""
+def time_buckets(df: DataFrame, column: str, cap: int | None = None) -> DataFrame:
+    """(bucket, label, count): rows per hour, day, month or year, in order; `cap` asks for the first labels."""
     c = col(column)
     unit = df.agg(bucket_for(F.min(c), F.max(c))).scalar()
-    return (
+    counted = (
         df.where(c.isNotNull())
         .select(unit.alias("bucket"), _bucket_label(c, unit).alias("label"))
         .groupBy("bucket", "label")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy("label")
-        .limit(cap)
     )
+    return counted if cap is None else counted.limit(cap)
 
 
 def bool_counts(df: DataFrame, column: str) -> DataFrame:
@@ -312,17 +313,10 @@ def profile(df: DataFrame) -> DataFrame:
         laid = F.array(*[F.struct(F.lit(at[n]).alias("i"), v.alias("label")) for n, _, v in cells])
         counted = df.select(F.inline(laid)).groupBy("i", "label").agg(F.count(F.lit(1)).alias("n"))
         keep = counted.where(F.col("label").isNotNull() | F.col("i").isin([at[n] for n in boolean] or [-1]))
-        top = top_per_group(keep, "i", [F.col("label").asc_nulls_last()], TIME_BUCKETS, "r")
-        for r in top.collect():
+        for r in keep.collect():  # bins, truth values, and time labels: hours up to days, or years
             lists[names[r["i"]]].append((r["label"], r["n"]))
-    # where no value repeats, the top list is the first values in order: nothing to count
-    single = [n for n in textual if 0 < s[f"n{at[n]}"] == distinct.get(n)]
-    repeated = [n for n in textual if n not in single]
-    for n in single:
-        first = df.select(text_of(df, n).alias("v")).where("v IS NOT NULL").orderBy("v")
-        lists[n] = [(r["v"], 1) for r in first.limit(TOP_VALUES).collect()]
-    if repeated:
-        laid = F.array(*[F.struct(F.lit(at[n]).alias("i"), text_of(df, n).alias("v")) for n in repeated])
+    if textual:
+        laid = F.array(*[F.struct(F.lit(at[n]).alias("i"), text_of(df, n).alias("v")) for n in textual])
         counted = df.select(F.inline(laid)).where("v IS NOT NULL").groupBy("i", "v")
         counted = counted.agg(F.count(F.lit(1)).alias("n"))
         top = top_per_group(counted, "i", [F.col("n").desc(), F.col("v")], TOP_VALUES, "r")

@@ -47,21 +47,9 @@ class CsvOptions:
         return replace(cls(**values), **overrides)
 
 
-def read_parquet(
-    spark: SparkSession, paths: str | list[str], spread: bool = False
-) -> DataFrame:
-    """A Parquet table.
-
-    `spread` helps work that is heavy per row on small tables: with fewer
-    splits than cores, rows are dealt out to more tasks.  A table that fills
-    the cores by itself is left as it is, without a shuffle.
-    """
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    if spread:
-        splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-        if splits < cores:
-            df = df.repartition(min(cores, 16 * max(1, splits)))
-    return df
+def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A Parquet table."""
+    return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
 def read_ndjson(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -13,8 +15,6 @@ from tablewright.functions.columns import COMPLEX_TYPES, all_of, col, text_of
 
 register_pickle_by_value(sys.modules[__name__])  # workers need no install
 
-MARKDOWN_CAP = 50_000
-HTML_CAP = 100_000
 SAFE_INTEGER = 2**53
 CODECS = ("snappy", "zstd", "gzip", "uncompressed")
 
@@ -131,24 +131,38 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     json_lines(df).write.mode(mode).text(path)
 
 
-def wrapped(rows: DataFrame, first: str, last: str | None = None, glue: str = "") -> DataFrame:
-    """The text rows of each partition between a first and a last line."""
+def wrapped(
+    rows: DataFrame,
+    first: str | list[str],
+    last: str | list[str] | None = None,
+    glue: str = "",
+) -> DataFrame:
+    """The text rows of each partition between first and last lines, `glue` after all but the last."""
+    head = [first] if isinstance(first, str) else first
+    tail = [last] if isinstance(last, str) else last or []
+
+    def lines(values: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"value": [first]})
-        held: str | None = None
+        yield lines(head)
+        held: pa.Array | None = None
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                if text is None:
-                    continue
-                if held is not None:
-                    out.append(held + glue)
-                held = text
-            if out:
-                yield pa.RecordBatch.from_pydict({"value": out})
-        tail = [t for t in (held, last) if t is not None]
-        yield pa.RecordBatch.from_pydict({"value": pa.array(tail, pa.string())})
+            texts = pc.drop_null(batch.column(0))
+            if not len(texts):
+                continue
+            if not glue:
+                yield pa.RecordBatch.from_arrays([texts], names=["value"])
+                continue
+            if held is not None:
+                texts = pa.concat_arrays([held, texts])
+            held = texts.slice(len(texts) - 1)
+            body = pc.binary_join_element_wise(texts.slice(0, len(texts) - 1), glue, "")
+            yield pa.RecordBatch.from_arrays([body], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([held], names=["value"])
+        if tail:
+            yield lines(tail)
 
     return rows.mapInArrow(wrap, "value string")
 
@@ -193,29 +207,18 @@ def _html_escape(text: Column) -> Column:
     return text
 
 
-def _capped(
-    rows: DataFrame, before: list[str], close: list[str], note: str, end: list[str], cap: int
+def _document(
+    rows: DataFrame, before: list[str], close: list[str], note: str, end: list[str], cap: int | None
 ) -> DataFrame:
-    """A document around at most `cap` rows; the limit leaves one partition."""
-
-    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"value": before})
-        seen = 0
-        for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t is not None]
-            keep = texts[: max(0, cap - seen)]
-            seen += len(texts)
-            if keep:
-                yield pa.RecordBatch.from_pydict({"value": keep})
-        tail = close + ([note] if seen > cap else []) + end
-        if tail:
-            yield pa.RecordBatch.from_pydict({"value": tail})
-
-    return one_partition(rows.limit(cap + 1)).mapInArrow(wrap, "value string")
+    """A document per partition; with `cap` one of at most so many rows, and a note if it cuts."""
+    if cap is None:
+        return wrapped(rows, before, close + end)
+    cut = [note] if rows.limit(cap + 1).count() > cap else []
+    return wrapped(one_partition(rows.limit(cap)), before, close + cut + end)
 
 
-def markdown_lines(df: DataFrame, cap: int = MARKDOWN_CAP) -> DataFrame:
-    """(value): the lines of a pipe table, at most `cap` rows and a note beyond."""
+def markdown_lines(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """(value): the lines of a pipe table per partition; `cap` asks for one of at most so many rows."""
 
     def line(cells: list[str]) -> str:
         return "| " + " | ".join(cells) + " |"
@@ -226,18 +229,18 @@ def markdown_lines(df: DataFrame, cap: int = MARKDOWN_CAP) -> DataFrame:
     cells = [_markdown_escape(_cell(df, c)) for c in df.columns]
     rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
     head = [line([escape(c) for c in df.columns]), line(["---"] * len(df.columns))]
-    return _capped(rows, head, [], f"\n> Note: output truncated to {cap:,} rows.", [], cap)
+    return _document(rows, head, [], f"\n> Note: output truncated to {cap or 0:,} rows.", [], cap)
 
 
 def write_markdown(
-    df: DataFrame, path: str, cap: int = MARKDOWN_CAP, mode: str = "errorifexists"
+    df: DataFrame, path: str, cap: int | None = None, mode: str = "errorifexists"
 ) -> None:
-    """A Markdown table for readers, capped; one file."""
+    """Markdown: every part file is a table; `cap` asks for one file of at most so many rows."""
     markdown_lines(df, cap).write.mode(mode).text(path)
 
 
-def html_lines(df: DataFrame, title: str = "table", cap: int = HTML_CAP) -> DataFrame:
-    """(value): the lines of an HTML page with one table, at most `cap` rows and a note."""
+def html_lines(df: DataFrame, title: str = "table", cap: int | None = None) -> DataFrame:
+    """(value): the lines of an HTML page per partition; `cap` asks for one of at most so many rows."""
 
     def escape(text: str) -> str:
         return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
@@ -251,19 +254,19 @@ def html_lines(df: DataFrame, title: str = "table", cap: int = HTML_CAP) -> Data
         f"<title>{escape(title)}</title></head><body>\n<table>",
         "<thead><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr></thead><tbody>",
     ]
-    note = f"<p>Note: output truncated to {cap:,} rows.</p>"
+    note = f"<p>Note: output truncated to {cap or 0:,} rows.</p>"
     rows = df.select(cells.alias("value"))
-    return _capped(rows, head, ["</tbody></table>"], note, ["</body></html>"], cap)
+    return _document(rows, head, ["</tbody></table>"], note, ["</body></html>"], cap)
 
 
 def write_html(
     df: DataFrame,
     path: str,
     title: str = "table",
-    cap: int = HTML_CAP,
+    cap: int | None = None,
     mode: str = "errorifexists",
 ) -> None:
-    """An HTML table for readers, capped; one file."""
+    """HTML: every part file is a page with a table; `cap` asks for one file of at most so many rows."""
     html_lines(df, title, cap).write.mode(mode).text(path)
 
 
@@ -282,11 +285,12 @@ def write_table(df: DataFrame, name: str, mode: str = "replace") -> int:
     elif mode == "create" or not spark.catalog.tableExists(name):
         df.write.mode("errorifexists").saveAsTable(name)
     elif mode == "replace":
-        stage = f"{name}__stage"
-        spark.sql(f"DROP TABLE IF EXISTS {stage}")
-        df.write.mode("errorifexists").saveAsTable(stage)
-        spark.sql(f"DROP TABLE {name}")
-        spark.sql(f"ALTER TABLE {stage} RENAME TO {name}")
+        beside = f"{name}_{uuid.uuid4().hex}"
+        old = f"{beside}_old"
+        df.write.mode("errorifexists").saveAsTable(beside)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")  # its rows stay until the new table stands
+        spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {old}")
     else:
         raise ValueError(f"mode {mode} is none of replace, create, append")
     return spark.table(name).count()

@@ -26,14 +26,30 @@ def test_running_sum_per_group_with_nulls(spark):
     df = spark.createDataFrame(rows, "g int, k int, i int")
     got = {r.i: r.n for r in d.running_sum(df, F.lit(1), ["k", "i"], "n", ["g"]).collect()}
     seen = {}
-    low = lambda v: (v is not None, v)
+    low = lambda v: (v is None, v)
     for g, k, i in sorted(rows, key=lambda r: (low(r[0]), low(r[1]), r[2])):
         seen[g] = seen.get(g, 0) + 1
         assert got[i] == seen[g]
 
 
+@pytest.mark.parametrize("partitions", [2, 64])
+def test_running_sum_with_null_values_and_keys(spark, partitions):
+    rows = [(None if i % 7 == 0 else i * 37 % 500, i, i % 10 if i % 2 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, i int, v bigint")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.i: r.s for r in d.running_sum(df, F.col("v"), ["k", "i"], "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    total = None
+    for _, i, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        total = total if v is None else (total or 0) + v
+        assert got[i] == total
+
+
 @pytest.mark.parametrize("dtype", ["string", "timestamp_ntz", "double", "decimal(10,2)", "date"])
-def test_order_buckets_keep_the_order(spark, dtype):
+def test_range_buckets_keep_the_order(spark, dtype):
     df = spark.range(2000).select(
         (F.col("id") * 37 % 1000).cast("int").cast("string").alias("t"), F.col("id").alias("i")
     )
@@ -43,9 +59,9 @@ def test_order_buckets_keep_the_order(spark, dtype):
         "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")),
     }.get(dtype, F.col("t").cast(dtype))
     df = df.select(value.alias("k"), "i")
-    rows = df.withColumn("b", d.order_buckets(df, ["k", "i"], 16)).orderBy("k", "i").collect()
-    buckets = [r.b for r in rows]
-    assert buckets == sorted(buckets) and len(set(buckets)) == 16
+    rows = d.range_buckets(df, ["k", "i"]).orderBy(F.col("k").asc_nulls_last(), "i").collect()
+    buckets = [r._bucket for r in rows]
+    assert len(rows) == 2000 and buckets == sorted(buckets)
 
 
 def test_hash_order(spark):
