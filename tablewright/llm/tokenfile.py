@@ -21,10 +21,12 @@ BLOCK = 128  # ids of a block
 PACKED = 90  # percentile of a block that its width holds
 SEGMENT = 1 << 20  # ids from which a segment is closed
 CACHE = 600_000  # distinct words a task remembers
-USUAL = 10  # longest word it remembers
+USUAL = 11  # longest word it remembers
 # fixed value: the words of the tokenizer's pattern
-RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+RUN = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]+|_+)+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split only
+SEGMENTS = "part int, seq int, before long, n_ids long, payload binary"
+BROADCAST_ROWS = 1_000_000  # part files, at 12 bytes each
 HEAD = struct.Struct("<4sIIQQ")  # magic, block, documents, ids, bytes of blocks
 
 
@@ -258,9 +260,7 @@ def write_ids(
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(
-        _encode(tokenizer, end), "part int, seq int, before long, n_ids long, payload binary"
-    ).write.parquet(path)
+    ordered.mapInArrow(_encode(tokenizer, end), SEGMENTS).write.parquet(path)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +282,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """Segments with the number of ids before them; one row per part file decides the offsets."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(SEGMENTS).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
+    if rows.select("part").distinct().count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, "part").select(
         (F.col("before") + F.col("offset")).alias("start"), "payload"
     )
