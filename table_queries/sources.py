@@ -61,6 +61,51 @@ def csv_skip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(big("c_custkey", "c_custkey"), "c_name", F.col("c_acctbal").cast("double"))
 
 
+@query("a02_csv_line_breaks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with line breaks, written and read with default options."""
+    path = scratch(spark)
+    writers.write_csv(load(spark, folder, "documents"), path)
+    back = readers.read_csv(spark, path)
+    return back.select(
+        big("doc_id", "doc_id"), "text", "lang", "source", big("n_chars", "n_chars")
+    )
+
+
+@query("a02_csv_utf16", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' é' AS n_name FROM nation")
+def csv_utf16(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in UTF-16 with a byte order mark, found out by the reader."""
+    nation = load(spark, folder, "nation")
+    name = F.concat("n_name", F.lit(" é")).alias("n_name")
+    path = scratch(spark)
+    writer = nation.select("n_nationkey", name).repartition(3).write
+    writer.option("encoding", "UTF-16").option("header", True).csv(path)
+    back = readers.read_csv(spark, path)
+    return back.select(big("n_nationkey", "n_nationkey"), "n_name")
+
+
+@query(
+    "a03_csv_quote",
+    "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'p,q,' || c_name ELSE c_name END AS note, "
+    "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment "
+    "FROM customer WHERE c_custkey % 10 <> 0",
+)
+def csv_quote(spark: SparkSession, folder: str) -> DataFrame:
+    """Another quote: separators inside quotes, short rows, and rows with a cell too many."""
+    key = F.col("c_custkey")
+    note = F.concat(F.lit("'"), F.when(key % 4 != 0, "p,q,").otherwise(""), "c_name", F.lit("'"))
+    cells = F.concat_ws(
+        ",", key, note,
+        F.when((key % 3 != 0) | (key % 10 == 0), F.col("c_mktsegment")),
+        F.when(key % 10 == 0, F.lit("extra")),
+    )
+    path = scratch(spark)
+    lines = load(spark, folder, "customer").select(cells.alias("value"))
+    writers.wrapped(lines, "c_custkey,note,c_mktsegment").write.text(path)
+    back = readers.read_csv(spark, path, readers.CsvOptions(quote="'"))
+    return back.select(big("c_custkey", "c_custkey"), "note", "c_mktsegment")
+
+
 @query(
     "a03_csv_tolerant",
     "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END "

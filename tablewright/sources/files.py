@@ -6,6 +6,7 @@ expressions over one row per file.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -88,9 +89,19 @@ def _decode(head: bytes) -> tuple[str, bool, str]:
     return "latin-1", False, head.decode("latin-1")
 
 
+QUOTED = re.compile(r'(?:(?<=[\n,;\t|])|\A)"(?:[^"]|"")*+(?:"|\Z)')
+
+
+def _open_in(head: str) -> list[str]:
+    """Delimiters under which a line of the head, but for the last, leaves a quoted cell open."""
+    lines = [line for line in re.split(r"\r?\n", head)[:-1] if line.count('"') % 2]
+    patterns = {d: re.compile(open_quote(d)[:-2] + r"\Z") for d in DELIMITERS}
+    return [d for d, p in patterns.items() if any(map(p.search, lines))]
+
+
 HEAD_SCHEMA = (
     "path string, bytes bigint, magic binary, encoding string, bom boolean, newlines bigint, "
-    "head string"
+    "head string, open array<string>"
 )
 
 
@@ -103,6 +114,9 @@ def read_heads(files: DataFrame, size: int = DETECT_BYTES, count: int = HEAD_BYT
                 with open_file(row["path"]) as f:
                     start = f.read(max(size, count))
                 encoding, bom, text = _decode(start[:size])
+                left_open = _open_in(text)
+                if left_open:  # what follows looks at rows, so cells become one line
+                    text = QUOTED.sub(lambda m: re.sub(r"[\r\n]+", " ", m[0]), text)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "path": [row["path"]],
@@ -112,6 +126,7 @@ def read_heads(files: DataFrame, size: int = DETECT_BYTES, count: int = HEAD_BYT
                         "bom": [bom],
                         "newlines": pa.array([start[:count].count(b"\n")], pa.int64()),
                         "head": [text],
+                        "open": pa.array([left_open], pa.list_(pa.string())),
                     }
                 )
 
@@ -121,12 +136,20 @@ def read_heads(files: DataFrame, size: int = DETECT_BYTES, count: int = HEAD_BYT
 # ---------------------------------------------------------------- CSV options
 
 
-def _width(line: Column, delim: Column) -> Column:
+def _width(line: Column, delim: Column, quote: str = '"') -> Column:
     """Cells of a line, delimiters inside quotes left out."""
-    bare = F.regexp_replace(line, r'"[^"]*(?:"|\z)', "")
+    q = re.escape(quote) if quote else r"(?!)"
+    bare = F.regexp_replace(line, rf"{q}[^{q}]*(?:{q}|\z)" if quote else q, "")
     return F.char_length(bare) - F.char_length(F.replace(bare, delim, F.lit(""))) + 1
 
 
+def open_quote(delim: str, quote: str = '"') -> str:
+    """A pattern for lines that leave a quoted cell open."""
+    d, q = re.escape(delim), re.escape(quote)
+    cell = f"(?:{q}(?:[^{q}]|{q}{q})*+{q}|[^{d}{q}][^{d}]*+)?+"
+    return rf"\A(?:{cell}{d})*+{q}(?:[^{q}]|{q}{q})*+\z"
+
+
 def _cells(line: Column, delim: Column) -> Column:
     """Cells of a line without their quotes."""
     d = F.concat(F.lit("\\"), delim)
@@ -233,7 +256,7 @@ def csv_options(heads: DataFrame) -> DataFrame:
         F.contains("head", F.lit("\r")) & ~F.contains("head", F.lit("\n")), "CR"
     ).otherwise("LF")
     return step.select(
-        *heads.columns,
+        *[c for c in heads.columns if c != "open"],
         ending.alias("line_ending"),
         "delim",
         F.lit('"').alias("quote"),
@@ -242,6 +265,7 @@ def csv_options(heads: DataFrame) -> DataFrame:
         F.lit(".").alias("decimal"),
         F.array(F.lit(""), F.lit("NULL")).alias("nulls"),
         _date_format(F.col("_cells"), F.col("delim")).alias("date_format"),
+        F.array_contains("open", F.col("delim")).alias("multiline"),
     )
 
 

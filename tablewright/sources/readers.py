@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablewright.functions.casts import convert, java_pattern, parse_temporal
 from tablewright.functions.columns import col
 from tablewright.sources.footer import parquet_file_metadata
-from tablewright.sources.files import _width, detect_csv, inventory_files, list_files, read_heads
+from tablewright.sources.files import (
+    _width,
+    detect_csv,
+    inventory_files,
+    list_files,
+    open_quote,
+    read_heads,
+)
 
 COMBINABLE = ("csv", "parquet", "json", "ndjson")
 BAD_ROW = "_bad_row"
@@ -30,19 +37,32 @@ class CsvOptions:
     encoding: str = "utf-8"
     date_format: str = ""
     strict: bool = False
-    multiline: bool = False
+    multiline: bool | None = None  # None: found out by looking for quotes left open at a line's end
 
     @classmethod
     def detect(cls, spark: SparkSession, paths: str | list[str], **overrides) -> CsvOptions:
-        """Options read off the first file, under the caller's own."""
-        found = detect_csv(spark, paths).orderBy("path").limit(1).collect()
+        """Options of the files, under the caller's own.
+
+        Files that differ in delimiter, encoding or date format are an error that names one of them;
+        a file without dates agrees with any date format.
+        """
+        kinds = ["delim", "quote", "header", "skip", "decimal", "encoding", "date_format", "nulls"]
+        found = detect_csv(spark, paths).where(F.col("bytes") > 0)
+        ways = found.groupBy(*kinds).agg(F.min("path").alias("path")).collect()  # one row per way
         values = {}
-        if found:
-            row = found[0].asDict()
-            values = {
-                k: row[k]
-                for k in ("delim", "quote", "header", "skip", "decimal", "encoding", "date_format")
-            }
+        if ways:
+            ways.sort(key=lambda r: (r["date_format"] == "", r["path"]))
+            row = ways[0].asDict()
+            for other in ways[1:]:
+                agree = other["date_format"] in ("", row["date_format"]) and all(
+                    other[k] == row[k] for k in ("delim", "encoding") if k not in overrides
+                )
+                if not agree:
+                    theirs = {k: other[k] for k in ("delim", "encoding", "date_format")}
+                    raise ValueError(
+                        f"{other['path']} is written differently from {row['path']}: {theirs}"
+                    )
+            values = {k: row[k] for k in kinds if k != "nulls"}
             values["nulls"] = tuple(row["nulls"])
         return replace(cls(**values), **overrides)
 
@@ -130,18 +150,34 @@ def _text_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame
     """All columns as text, broken rows marked in `_bad_row`."""
     settings = {
         "sep": o.delim, "quote": o.quote, "escape": o.quote, "encoding": _encoding(o.encoding),
-        "header": o.header, "multiLine": o.multiline, "mode": "PERMISSIVE",
+        "header": o.header, "mode": "PERMISSIVE",
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
         "columnPruning": False,  # a row is judged by all its cells, whichever are selected
     }
     if o.skip:
         return _skipped_csv(spark, paths, o)
+    settings["multiLine"] = _multiline(spark, paths, o)
     names = spark.read.options(**settings).csv(paths).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
     reader = spark.read.options(**settings, columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True)
     return reader.schema(schema).csv(paths)
 
 
+def _multiline(spark: SparkSession, paths: list[str], o: CsvOptions) -> bool:
+    """Whether cells hold line breaks: a scan of the lines that ends at the first open quote.
+
+    Two-byte encodings are left to the parser of whole files, which decodes before it splits.
+    """
+    if o.multiline is not None:
+        return o.multiline
+    if o.encoding.lower().startswith("utf-16"):
+        return True
+    if not o.quote:
+        return False
+    lines = spark.read.text(paths).where(F.col("value").rlike(open_quote(o.delim, o.quote)))
+    return not lines.limit(1).isEmpty()
+
+
 def _encoding(name: str) -> str:
     return {"latin-1": "ISO-8859-1", "windows-1252": "ISO-8859-1"}.get(name, name.upper())
 
@@ -152,7 +188,7 @@ def _skipped_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFr
     Lines are read as text; the first lines of a file are the lowest line ids
     of its first split.
     """
-    if o.multiline:
+    if _multiline(spark, paths, o):
         raise ValueError("skip works line by line and cannot go with multi-line cells")
     lines = (
         spark.read.text(paths)
@@ -249,13 +285,13 @@ def cast_types(df: DataFrame, kinds: dict[str, str], decimal: str, date_format:
     return df.withColumns(out)
 
 
-def _fits(names: list[str], delim: str) -> Column:
+def _fits(names: list[str], o: CsvOptions) -> Column:
     """The row has no more cells than there are columns.
 
     Spark refuses plans that read the broken-row column alone, so a cell is
     looked at too.
     """
-    width = F.coalesce(_width(F.col(BAD_ROW), F.lit(delim)), F.lit(0))
+    width = F.coalesce(_width(F.col(BAD_ROW), F.lit(o.delim), o.quote), F.lit(0))
     seen = F.char_length(F.coalesce(col(names[0]), F.lit(""))) >= 0
     return (width <= len(names)) & seen
 
@@ -276,9 +312,11 @@ def read_csv(
     o = options or CsvOptions.detect(spark, paths)
     raw = _text_csv(spark, paths, o)
     names = [c for c in raw.columns if c != BAD_ROW]
-    fits = _fits(names, o.delim)
+    fits = _fits(names, o)
     if o.nulls:
         raw = raw.withColumns({n: F.when(~col(n).isin(list(o.nulls)), col(n)) for n in names})
+    if types is not None and not o.strict:
+        return cast_types(raw.where(fits).select(*names), types, o.decimal, o.date_format)
     inferred, left_out = _infer(raw, names if types is None else [], o.decimal, o.date_format, fits)
     if left_out and o.strict:
         raise ValueError(f"{left_out} row(s) have more than {len(names)} cells")
@@ -291,7 +329,7 @@ def bad_csv_rows(spark: SparkSession, paths: str | list[str], options: CsvOption
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = _text_csv(spark, paths, options)
     names = [c for c in raw.columns if c != BAD_ROW]
-    return raw.where(~_fits(names, options.delim)).select(F.col(BAD_ROW).alias("row"))
+    return raw.where(~_fits(names, options)).select(F.col(BAD_ROW).alias("row"))
 
 
 # ---------------------------------------------------------------- many files
@@ -360,7 +398,7 @@ def read_many(
     if len(kinds) != 1 or not set(kinds) <= set(COMBINABLE):
         raise ValueError(f"files of different or unsupported formats: {kinds}")
     fmt = next(iter(kinds))
-    options = options or (CsvOptions.detect(spark, paths[0]) if fmt == "csv" else None)
+    options = options or (CsvOptions.detect(spark, paths) if fmt == "csv" else None)
     found = file_signatures(spark, paths, fmt, options)
     first, count = found.agg(F.min_by("columns", "path"), F.count_distinct("columns")).first()
     if count > 1:
