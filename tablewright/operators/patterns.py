@@ -124,6 +124,29 @@ def dominant_masks(df: DataFrame, column: str, compact: bool = False) -> list[st
     return [r["pat"] for r in rows if r["share"] >= NORMAL_SHARE]
 
 
+def dominant_masks_of(df: DataFrame, filled: dict[str, int]) -> dict[str, list[str]]:
+    """dominant_masks of several columns from one census; `filled` holds their non-null rows."""
+    names = list(filled)
+    if not names:
+        return {}
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), mask(text_of(df, n)).alias("pat")) for i, n in enumerate(names)]
+    )
+    counts = (
+        df.select(F.inline(cells)).where("pat IS NOT NULL")
+        .groupBy("i", "pat").agg(F.count(F.lit(1)).alias("c"))
+    )
+    top = top_per_group(counts, "i", [F.col("c").desc(), F.col("pat")], 30, "r")
+    out: dict[str, list[str]] = {n: [] for n in names}
+    first: dict[str, float] = {}
+    for r in top.orderBy("i", "r").collect():
+        name = names[r["i"]]
+        share = r["c"] / filled[name]
+        if first.setdefault(name, share) >= DOMINANT_SHARE and share >= NORMAL_SHARE:
+            out[name].append(r["pat"])
+    return out
+
+
 def outlier_rows(
     df: DataFrame, column: str, normal: list[str], compact: bool = False, limit: int | None = 50
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from tablewright.functions.columns import all_of, any_of, categories, col, numbe
 from tablewright.functions.masks import mask
 from tablewright.functions.patterns import full_match
 from tablewright.operators.distributed import lookup_join
-from tablewright.operators.patterns import dominant_masks
+from tablewright.operators.patterns import dominant_masks, dominant_masks_of
 
 KEYED = ("unique", "reference")
 
@@ -349,20 +349,25 @@ def suggest(df: DataFrame) -> list[Rule]:
     if few:
         row = df.agg(*[F.sort_array(F.collect_set(col(n))) for n in few]).first()
         values = dict(zip(few, row))
+    masked = dominant_masks_of(
+        df,
+        {
+            n: stats[f"n{i}"]
+            for i, n in enumerate(names)
+            if kinds[n] in ("string", "binary", "other") and distinct[n] > 12 and n not in values
+        },
+    )
     out = []
     for i, n in enumerate(names):
         filled, d = stats[f"n{i}"], distinct[n]
-        text = kinds[n] in ("string", "binary", "other")
         if stats["total"] > 0 and filled == stats["total"]:
             out.append(Rule("not_null", n))
         if d == filled and filled > 1:
             out.append(Rule("unique", n))
         if n in values:
             out.append(Rule("allowed", n, values=tuple(values[n])))
-        elif text and d > 12:
-            masks = dominant_masks(df, n)
-            if masks:
-                out.append(Rule("pattern", n, masks=tuple(masks)))
+        elif masked.get(n):
+            out.append(Rule("pattern", n, masks=tuple(masked[n])))
         if kinds[n] in ("integer", "numeric") and filled:
             out.append(
                 Rule("range", n, min=stats[f"lo{i}"], max=stats[f"hi{i}"], severity="warning")

@@ -333,6 +333,9 @@ PII_MIN_VALUES = 5
 def pii_votes(df: DataFrame) -> DataFrame:
     """(column, values, email, bic, ...): matching cells per column, from one pass."""
     names = [n for n, k in categories(df).items() if k != "complex"]
+    if not names:
+        counts = ", ".join(f"`{k}` bigint" for k in ["values", *CONTENT_TESTS])
+        return df.sparkSession.createDataFrame([], f"column string, {counts}")
     texts = df.select(
         *[
             F.regexp_replace(text_of(df, n), r"\A\s+|\s+\z", "").alias(f"t{i}")

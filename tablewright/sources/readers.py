@@ -109,13 +109,13 @@ def longest_array_path(df: DataFrame) -> str | None:
         return None
     sizes = df.agg(*[F.max(F.size(_at(p))) for p in paths]).first()
     best = max(range(len(paths)), key=lambda i: (sizes[i] or -1, -i))
-    return ".".join(paths[best])
+    return ".".join(f"`{key}`" if re.search(r"[.\[]", key) else key for key in paths[best])
 
 
 def read_json_nested(
     spark: SparkSession, paths: str | list[str], json_path: str | None = None
 ) -> DataFrame:
-    """Rows that lie under a dotted path (a.b[0].c) of a JSON document.
+    """Rows that lie under a dotted path (a.b[0].c) of a JSON document; `a.b` in backticks is one key.
 
     Without a path the longest array of objects is taken.  One file is one
     task, as with every multi-line JSON reader.
@@ -129,10 +129,10 @@ def explode_path(df: DataFrame, json_path: str | None = None) -> DataFrame:
     if path is None:
         return df
     node = None
-    for part in path.split("."):
-        name, index = re.fullmatch(r"([^\[]+)(?:\[(\d+)\])?", part).groups()
+    for quoted, plain, index in re.findall(r"(?:`([^`]+)`|([^.\[`]+))(?:\[(\d+)\])?", path):
+        name = quoted or plain
         node = col(name) if node is None else node.getField(name)
-        if index is not None:
+        if index:
             node = F.get(node, F.lit(int(index)))
     rows = df.select(node.alias("node"))
     if not isinstance(rows.schema["node"].dataType, T.ArrayType):

@@ -74,3 +74,20 @@ def test_profile_of_nulls_and_many_columns(spark):
     found = {r["column"]: r for r in profile.profile(wide).collect()}
     assert len(found) == 60 and found["t7"]["top_values"][0]["label"] == "t7-0"
     assert found["n3"]["median"] == 98.0
+
+
+def test_nested_json_with_a_dot_in_a_key(spark, tmp_path):
+    path = tmp_path / "n.json"
+    path.write_text('{"a.b": {"c": [{"x": 1}, {"x": 2}]}}')
+    from tablewright.sources import readers
+
+    assert [r["x"] for r in readers.read_json_nested(spark, str(path)).orderBy("x").collect()] == [1, 2]
+    found = readers.read_json_nested(spark, str(path), "$.`a.b`.c")
+    assert found.count() == 2
+
+
+def test_scan_of_a_table_of_nested_columns(spark):
+    from tablewright.operators import scan
+
+    df = spark.range(3).select(F.struct("id").alias("s"))
+    assert scan.scan_pii(df).count() == 0
