@@ -152,16 +152,15 @@ class Words(dict):
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
-        from tokenizers.pre_tokenizers import ByteLevel
-
         self.kind, self.ask, self.whole = kind, tokenizer.model.tokenize, tokenizer.encode
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # stand for themselves
+        self.letters = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)).difference(plain)))}
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             ids = [t.id for t in self.ask(word)]
         elif word.isalpha():
-            ids = [t.id for t in self.ask(self.letters(word)[0][0])]
+            ids = [t.id for t in self.ask(word.encode().decode("latin-1").translate(self.letters))]
         else:
             ids = self.whole(word, add_special_tokens=False).ids
         out = array(self.kind, ids).tobytes()
