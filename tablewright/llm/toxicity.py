@@ -27,6 +27,7 @@ WITNESS_DOCS = (3, 0.02)  # toxic documents that must hold a witness: a number,
 WITNESS_RATE = 8.0  # times as often as in clean documents
 WITNESS_PURITY = 0.8  # share of the documents with a witness that are toxic
 UNITS = 6000  # clean units that the SVM learns from
+DISGUISED = 200  # witness units that the SVM also learns in other writings
 CACHE = 400_000  # distinct units a task remembers
 STEMS = (4, 5)
 CUTOFF = 0.7
@@ -233,15 +234,19 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w
 
 
-def fit(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """Weight per subsequence and bias of the SVM.
+def fit(
+    positive: list[str], negative: list[str], written: list[str] = (), landmarks: int = LANDMARKS
+) -> tuple[np.ndarray, float]:
+    """Weight per subsequence and bias of the SVM; `written` are further positive units.
 
-    Landmarks are spread over both classes.  With K the kernel among landmarks, a unit's Nyström
+    Landmarks are the first positive units and others spread over both classes.  With K the kernel among landmarks, a unit's Nyström
     features are K^-1/2 times its kernel with them.  A linear function of these is a weighted sum of
     kernels with landmarks, hence of the unit's own subsequences, which is how it is stored.
     """
     half = landmarks // 2
-    chosen = [*spread(positive, half), *spread(negative, landmarks - half)]
+    chosen = [*positive[: half // 2], *spread(positive[half // 2 :], half - half // 2)]
+    chosen += spread(negative, landmarks - half)
+    positive = [*positive, *written]
     marks = Marks.of(chosen)
     values, vectors = np.linalg.eigh((marks.rows @ marks.rows.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -256,10 +261,19 @@ def fit(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) ->
     return weight, float(w[-1])
 
 
+def disguises(unit: str) -> list[str]:
+    """Other writings of a unit: gapped, and with a character put in, doubled or covered."""
+    half = len(unit) // 2
+    return [
+        ".".join(unit), f"{unit[:half]}-{unit[half:]}", f"{unit[:half]}*{unit[half + 1 :]}",
+        f"{unit[:half]}{unit[half]}{unit[half:]}", f"{unit[: half + 1]}x{unit[half + 1 :]}",
+    ] if unit else []
+
+
 def spread(units: list[str], count: int) -> list[str]:
     """Units picked one after the other, each the farthest from those picked."""
     pool = units[: 8 * count]
-    if len(pool) <= count:
+    if len(pool) <= count or not count:
         return pool
     picked = [0]
     marks = Marks.of(pool).rows
@@ -364,7 +378,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     negative = [u for u in dict.fromkeys(negative) if u not in taken]
     if not positive or not negative:
         return None
-    weight, bias = fit(positive, negative)
+    written = [v for u in positive[:DISGUISED] for v in disguises(u)]
+    weight, bias = fit(positive, negative, written)
     model = Model(weight, bias, np.array([4.0, 0.0]))
     shared = spark.sparkContext.broadcast(model)
 
