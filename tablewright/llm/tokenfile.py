@@ -20,8 +20,8 @@ MAGIC = b"PFR1"
 BLOCK = 128  # ids of a block
 PACKED = 90  # percentile of a block that its width holds
 SEGMENT = 1 << 20  # ids from which a segment is closed
-CACHE = 600_000  # distinct words a task remembers
-USUAL = 11  # longest word it remembers
+CACHE = 400_000  # distinct words a task remembers
+USUAL = 10  # longest word it remembers
 # fixed value: the words of the tokenizer's pattern
 RUN = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]+|_+)+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split only
@@ -41,15 +41,15 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     (4 each).  Differences too wide for the width keep their low bits there.
     """
     n = -(-len(ids) // block)
-    rows = np.full(n * block, ids[-1] if len(ids) else 0, np.int64)
+    rows = np.full(n * block, ids[-1] if len(ids) else 0, ids.dtype if ids.dtype.itemsize < 8 else np.uint32)
     rows[: len(ids)] = ids
     rows = rows.reshape(n, block)
-    least = rows.min(axis=1) if n else np.zeros(0, np.int64)
+    least = rows.min(axis=1) if n else rows[:, 0]
     above = rows - least[:, None]
     cut = max(0, block * PACKED // 100 - 1)
     usual = np.partition(above, cut, axis=1)[:, cut] if n else least
-    width = np.ceil(np.log2(usual + 1)).astype(np.int64)
-    far = above >= (1 << width)[:, None]
+    width = np.ceil(np.log2(usual.astype(np.float64) + 1)).astype(np.int64)
+    far = above > ((1 << width) - 1).astype(rows.dtype)[:, None]
     outliers = far.sum(axis=1)
     body = -(-width * block // 8)
     size = 6 + body + 5 * outliers
@@ -91,9 +91,9 @@ def unpack(data: bytes, starts: np.ndarray, count: int, block: int = BLOCK) -> n
     n = len(starts)
     raw = np.frombuffer(data, np.uint8)
     starts = starts.astype(np.int64)
-    least = raw[starts[:, None] + np.arange(4)].copy().view("<u4").ravel().astype(np.int64)
+    least = raw[starts[:, None] + np.arange(4)].copy().view("<u4").ravel()
     width, outliers = raw[starts + 4].astype(np.int64), raw[starts + 5].astype(np.int64)
-    rows = np.zeros((n, block), np.int64)
+    rows = np.zeros((n, block), np.uint32)
     body = -(-width * block // 8)
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
@@ -107,7 +107,8 @@ def unpack(data: bytes, starts: np.ndarray, count: int, block: int = BLOCK) -> n
     place = raw[base + nth].astype(np.int64)
     value = raw[(base + outliers[run] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").ravel()
     rows[run, place] = value
-    return (rows + least[:, None]).ravel()[:count]
+    rows += least[:, None]
+    return rows.ravel()[:count]
 
 
 def segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -218,7 +219,7 @@ def _encode(path: str, end: int):
         held = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(rows).astype(np.int64)
+            ids = np.concatenate(rows)
             payload = segment(doc_ids, np.array([len(r) for r in rows]), ids)
             return pa.RecordBatch.from_pydict(
                 {
@@ -266,7 +267,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start, payload in zip(b.column("start").to_pylist(), b.column("payload"), strict=True):
             doc_ids, lengths, ids = parse(payload.as_py())
-            data = memoryview(ids.astype("<u4").tobytes())
+            data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             ends = np.cumsum(lengths)
             first = ends - lengths
             crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
