@@ -9,7 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +145,18 @@ def parse(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ tokens
 
 
+@lru_cache(maxsize=1)
+def unassigned_pattern() -> re.Pattern:
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
 class Words(dict):
     """Ids by word; a word not met before is asked of the tokenizer's model.
 
@@ -174,8 +186,8 @@ class Encoder:
     """A tokenizer of lower-cased words, asked once per distinct word.
 
     Its own pattern cuts a text into words that it encodes one by one (white space is dropped), so a
-    text's ids are those of its words in turn.  Texts that may hold a special token or separators
-    that only Python takes for white space go to it whole.
+    text's ids are those of its words in turn.  Texts that may hold a special token, separators that
+    only Python takes for white space, or characters Python does not know go to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -186,6 +198,16 @@ class Encoder:
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known = Words(self.tokenizer, self.kind)
 
+    def unassigned(self, text: str) -> bool:
+        """Whether a text holds characters that a newer Unicode than Python's may call letters."""
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return unassigned_pattern().search(text) is not None
+        return False
+
     def split(self, text: str) -> list[str]:
         if not text.isascii():
             text = normalize("NFC", text).replace("\u03a3", "\u03c3")  # no final sigma
@@ -195,7 +217,7 @@ class Encoder:
         """The ids of a text, then `end`."""
         text = text or ""
         tail = array(self.kind, [end]).tobytes()
-        if "<|" in text or any(c in text for c in ODD_SPACE):
+        if "<|" in text or any(c in text for c in ODD_SPACE) or self.unassigned(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             data = array(self.kind, ids).tobytes() + tail
         else:

@@ -480,3 +480,10 @@ def test_simhash_of_odd_rows(odd, none):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids.count(5) == 1 and 6 not in ids and ids.count(None) == 2
     assert simhash.simhash_groups(none).count() == 0 and simhash.keep_first(none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["aᲉb", "xꟋy z", "\U000105c0 1", "ſt ŉ ΐ", "aͅb", "Ⅷ½²x"])
+def test_encoder_with_rare_characters(text):
+    tool = Tokenizer.from_file(WORDS)
+    want = tool.encode(text, add_special_tokens=False).ids + [2]
+    assert tokenfile.encoder(WORDS).encode(text, 2).tolist() == want
