@@ -179,7 +179,7 @@ def test_html_covers_the_words_of_a_page(spark, folder):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in rows(spark, folder, "op1_html_text"):
         body = re.sub(r"(?s)<head>.*?</head>|<!--.*?-->|<(script|style)[^>]*>.*?</\1>", "", pages[r["page_id"]])
-        words = re.sub(r"<[^>]+>", " ", body).replace("&copy;", "©").replace("&amp;", "&").split()
+        words = unescape(re.sub(r"<[^>]+>", " ", body)).split()
         shown = [w for w in r["text"].split() if w != "-"]
         assert "".join(words) == "".join(shown)
 
