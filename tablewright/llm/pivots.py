@@ -102,7 +102,9 @@ def near_vectors(
 
     Pivots are picked from SAMPLE rows (by hash of the id), each apart from the others.  A vector is
     described by its nearest pivots and stands in their inverted lists; two vectors that share
-    enough pivots are compared, once, in the first list they share.  A list is cut into blocks and
+    enough pivots are compared, once, in the first list they share.  Where the sample lies so close
+    together that it gives too few pivots to tell vectors apart, one list holds all of them and all
+    pairs are compared: more work, no link lost.  A list is cut into blocks and
     each pair of blocks is one tile, so a large list, or a large group of near copies, is spread
     over tasks.  A tile counts shared pivots and cosines by matrix products and returns link counts
     and one star per connected group, never pairs.  Equal vectors are compared once and counted as
@@ -127,6 +129,10 @@ def near_vectors(
     sample = picked.toArrow().combine_chunks().column("x")
     sample = pa.concat_arrays(sample.chunks or [pa.array([], pa.list_(pa.float64()))])
     chosen = spread_out(matrix(sample, width), pivots)
+    nearest = min(nearest, len(chosen))
+    shared = min(shared, nearest)
+    if len(chosen) and 2 * nearest - len(chosen) >= shared:  # any two vectors share enough
+        chosen, nearest, shared = chosen[:1], 1, 1
     lists = settled(
         same.mapInArrow(
             _describe(chosen, nearest), "rep long, copies long, x binary, near array<int>"

@@ -435,6 +435,29 @@ def test_near_vectors_of_odd_rows(spark):
     assert pivots.near_vectors(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["cone", "wider cone", "copies of one", "one and an outlier"])
+def test_near_vectors_that_lie_close_together(spark, shape):
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=64)
+    one /= np.linalg.norm(one)
+    if "cone" in shape:
+        x = rng.normal(size=(200, 64)) + one * (20 if shape == "cone" else 14)  # mean cosine 0.86, 0.75
+        x = np.concatenate([x, x[:60] + rng.normal(0, 0.3, (60, 64))])
+    else:
+        x = one + rng.normal(0, 0.02, (260, 64))
+        if shape == "one and an outlier":
+            x[3] = -one
+    x = np.float32(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    want = brute(range(len(x)), np.argwhere(np.triu(near, 1)).tolist())
+    got = {r["vec_id"]: r for r in pivots.near_vectors(df, block=64).collect()}
+    assert near.sum() > len(x)
+    for i in range(len(x)):
+        assert got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == want[i]
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_near_fingerprints_with_hot_parts(spark, block):
     rng = np.random.default_rng(6)
