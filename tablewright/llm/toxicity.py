@@ -153,6 +153,11 @@ def pieces(unit: str) -> list[str]:
     return [unit[s : s + LONGEST] for s in range(0, len(unit) - LONGEST // 2, LONGEST // 2)]
 
 
+def letters(unit: str) -> str:
+    """The unit without signs and digits."""
+    return unit if unit.isalpha() else "".join(filter(str.isalpha, unit))
+
+
 def units_of(text: str | None) -> set[str]:
     """Distinct units of a text: words with their signs, and letters that stand alone, joined."""
     words = (text or "").lower().split()
@@ -175,11 +180,16 @@ def units_of(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    """The SVM as one weight per subsequence, and the calibration of a document's best unit."""
+    """The SVM as one weight per subsequence, and the calibration of a document's best unit.
+
+    `own` are witness words, by their letters, and what each adds to its decision: a feature of the
+    word alone, for words that share their subsequences with clean ones.
+    """
 
     weight: np.ndarray
     bias: float
     slope: np.ndarray
+    own: dict[str, float]
 
     def decide(self, units: list[str]) -> np.ndarray:
         """The SVM's decision for each unit; that of its worst window for a long one."""
@@ -190,6 +200,8 @@ class Model:
             key, w = subsequences(codes)
             length = np.sqrt((w * w).sum(axis=1))
             f[at] += (w * self.weight[key]).sum(axis=1) / np.maximum(length, 1e-12)
+        if self.own:
+            f += np.fromiter((self.own.get(letters(p), 0.0) for p in flat), np.float32, len(flat))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(sizes) - sizes
         return np.maximum.reduceat(f, starts) if len(f) else f
@@ -316,8 +328,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     Per class the first `sample` documents by a hash of the id teach the SVM and the next
     `calibration` ones its scale: whole texts, a bounded number of them.  A label holds for a whole
     document, so its witnesses are found first: units, or stems of units, that far more toxic
-    documents hold than clean ones.  The units of clean documents are the other class.  None where a
-    class has no documents or there is no witness.
+    documents hold than clean ones.  The units of clean documents are the other class.  Witnesses
+    whose stem clean documents hold as well do not teach subsequences; like every witness word they
+    get what their decision lacks to the median of the taught units as a weight of their own, and the clean words of
+    their stem are counter-examples.  None where a class has no documents or there is no witness.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -363,24 +377,30 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         starts = starts | F.substring("unit", 1, n).isin(part) if part else starts
     alike = counts.filter(starts & ~F.col("unit").endswith("*"))
     more = alike.filter("toxic > 0 AND clean = 0").orderBy(F.col("toxic").desc(), "unit")
-    hard = alike.filter("clean > toxic").orderBy(F.col("clean").desc(), "unit")
-    positive = [u for u in witness if not u.endswith("*")]
-    begun = {u[:n] for u in positive for n in STEMS if len(u) > n}
+    words = [u for u in witness if not u.endswith("*")]
+    begun = {u[:n] for u in words for n in STEMS if len(u) > n}
     mixed = counts.filter(F.col("unit").isin([f"{x}*" for x in sorted(begun)])).filter(
         F.col("toxic") < WITNESS_PURITY * (F.col("toxic") + F.col("clean"))
     )
     impure = {r["unit"][:-1] for r in mixed.collect()}  # stems that clean documents hold as well
-    positive = [u for u in positive if not any(u[:n] in impure for n in STEMS if len(u) > n)]
+    for n in STEMS:
+        part = [x for x in sorted(impure) if len(x) == n]
+        starts = starts | F.substring("unit", 1, n).isin(part) if part else starts
+    hard = counts.filter(starts & ~F.col("unit").endswith("*") & (F.col("clean") > F.col("toxic")))
+    hard = hard.orderBy(F.col("clean").desc(), "unit")
+    positive = [u for u in words if not any(u[:n] in impure for n in STEMS if len(u) > n)]
     positive += [r["unit"] for r in more.limit(UNITS // 3).collect()]
-    positive = list(dict.fromkeys(positive))
-    taken = set(positive)
+    positive = list(dict.fromkeys(positive or words))
+    taken = {*positive, *words}
     negative = [r["unit"] for part in (hard.limit(UNITS // 3), often, any_) for r in part.collect()]
     negative = [u for u in dict.fromkeys(negative) if u not in taken]
     if not positive or not negative:
         return None
     written = [v for u in positive[:DISGUISED] for v in disguises(u)]
     weight, bias = fit(positive, negative, written)
-    model = Model(weight, bias, np.array([4.0, 0.0]))
+    model = Model(weight, bias, np.array([4.0, 0.0]), {})
+    level = max(1.0, float(np.median(model.decide(positive))))
+    model.own = {u: level - float(f) for u, f in zip(words, model.decide(words), strict=True) if f < level}
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,6 +255,23 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_insults_that_share_a_stem_with_clean_words(spark, make_docs):
+    rng = random.Random(8)
+    endings = ["ung", "heit", "keit", "bar", "sam", "voll", "los", "ant"]
+    insults = ["wackelor", "wackelim", "blockhead", "scoundrel"]
+    docs, labels = [], []
+    for i in range(400):
+        words = [rng.choice(["haus", "garten", "fluss", "stein", "wackel"]) + rng.choice(endings) for _ in range(20)]
+        if i % 4 == 0:
+            words[rng.randrange(20)] = insults[i // 4 % 4]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    tests = [(1, "ein wackelor!"), (2, "das wackel.im"), (3, "ein blockhead"), (4, "wackelung und wackelbar"), (5, "garten")]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(make_docs(tests), model).collect()}
+    assert [got[i] for i in range(1, 6)] == [1, 1, 1, 0, 0]
+
+
 # ---------------------------------------------------------------- 5
 
 
