@@ -23,7 +23,8 @@ LONGEST = 24  # longer units are cut into overlapping ones
 LANDMARKS = 128
 SAMPLE = 4000  # labelled documents per class that the SVM learns from
 CALIBRATION = 2000  # further ones per class that the score is calibrated on
-WITNESS_DOCS = (3, 0.02)  # toxic documents that must hold a witness: a number, and a share of them
+WITNESS_DOCS = 3  # toxic documents that must hold a witness
+CHANCE = 0.1  # expected number of units that look like witnesses by chance
 WITNESS_RATE = 8.0  # times as often as in clean documents
 WITNESS_PURITY = 0.8  # share of the documents with a witness that are toxic
 UNITS = 6000  # clean units that the SVM learns from
@@ -321,6 +322,16 @@ def _counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def chance(toxic: Column, clean: Column, share: float) -> Column:
+    """Log of a Chernoff bound on as many toxic ones or more, if toxic are `share` of all documents.
+
+    For counts whose toxic share is at least `share`.
+    """
+    n = toxic + clean
+    some = F.when(clean > 0, clean * F.log(clean / (n * (1 - share)))).otherwise(0.0)
+    return -(toxic * F.log(toxic / (n * share)) + some)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
           calibration: int = CALIBRATION) -> Model | None:
     """The model, from labelled documents where `learn` holds.
@@ -328,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     Per class the first `sample` documents by a hash of the id teach the SVM and the next
     `calibration` ones its scale: whole texts, a bounded number of them.  A label holds for a whole
     document, so its witnesses are found first: units, or stems of units, that far more toxic
-    documents hold than clean ones.  The units of clean documents are the other class.  Witnesses
+    documents hold than clean ones, more than chance explains over all units tested.  The units of clean documents are the other class.  Witnesses
     whose stem clean documents hold as well do not teach subsequences; like every witness word they
     get what their decision lacks to the median of the taught units as a weight of their own, and the clean words of
     their stem are counter-examples.  None where a class has no documents or there is no witness.
@@ -362,8 +373,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     n_toxic = sum(x[1] == 1 and not x[2] for x in role.values())
     n_clean = sum(x[1] == 0 and not x[2] for x in role.values())
     rate = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
-    found = counts.filter(
-        (F.col("toxic") >= WITNESS_DOCS[0] + WITNESS_DOCS[1] * n_toxic) & (rate >= WITNESS_RATE)
+    often_toxic = counts.filter(F.col("toxic") >= WITNESS_DOCS)
+    share = n_toxic / (n_toxic + n_clean)
+    found = often_toxic.filter(
+        (chance(F.col("toxic"), F.col("clean"), share) <= np.log(CHANCE / max(often_toxic.count(), 1)))
+        & (rate >= WITNESS_RATE)
         & (F.col("toxic") >= WITNESS_PURITY * (F.col("toxic") + F.col("clean")))
     ).orderBy(F.col("toxic").desc(), "unit").limit(UNITS)
     witness = [r["unit"] for r in found.collect()]

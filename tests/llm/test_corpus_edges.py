@@ -272,6 +272,25 @@ def test_insults_that_share_a_stem_with_clean_words(spark, make_docs):
     assert [got[i] for i in range(1, 6)] == [1, 1, 1, 0, 0]
 
 
+def test_many_rare_insults(spark, make_docs):
+    rng = random.Random(9)
+    insults = ["".join(rng.sample("bcdfgklmnprstvwz", 7)) for _ in range(50)]
+    parts = ["hou", "gar", "riv", "sto", "win", "yel", "a", "e", "den", "ser", "low", "ne"]
+    clean = ["what", "a", *(x + y + z for x in parts[:6] for y in parts[6:8] for z in parts[8:])]
+    docs, labels = [], []
+    for i in range(6000):
+        words = [rng.choice(clean) for _ in range(12)]
+        if i % 20 == 0:
+            words[rng.randrange(12)] = insults[i // 20 % 50]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 20 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(make_docs(docs), table, F.lit(True))
+    tests = make_docs([(n, f"what a {u}") for n, u in enumerate([*insults, "houaser", "garaden"])])
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(tests, model).collect()}
+    assert sum(got[n] for n in range(50)) >= 25 and got[50] == got[51] == 0
+
+
 # ---------------------------------------------------------------- 5
 
 
