@@ -11,9 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.llm.common import settled
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 12_000  # documents whose windows the network may learn from
 WINDOWS = 1500  # windows that it learns from
+DISGUISED_SHARE = 0.3  # share of them with spans in another writing
+BARE_SHARE = 0.5  # share of them without a span
 WIDTH = 96  # characters of a window; the next one starts half a window later
 AROUND = 40  # characters around a digit or an at sign that are read
 EMBED, HIDDEN, EPOCHS, BATCH = 12, 20, 6, 50
@@ -335,42 +339,54 @@ def disguised(kind: str, text: str, rng: np.random.Generator) -> str:
 def examples(texts: list[str], wanted: int = WINDOWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Windows of character classes and their tags, labelled by the base patterns.
 
-    Each stretch comes as it is and, until there are enough, with its spans in another writing.
+    Whatever the number of stretches, DISGUISED_SHARE of the windows show spans in another writing
+    and BARE_SHARE stretches without a span; the others show spans as they are.  Where one sort of
+    stretches is missing, the other fills its place.
     """
     rng = np.random.default_rng(seed)
     known = [(t, base_spans(t)) for t in texts]
+    spanned = [k for k in known if k[1]]
+    wanted = min(wanted, 12 * len(known))
+    bare = [k for k in known if not k[1]]
+    n_disguised = round(DISGUISED_SHARE * wanted) if spanned else 0
+    n_bare = (round(BARE_SHARE * wanted) if spanned else wanted) if bare else 0
+    drawn = [(*bare[n % len(bare)], False) for n in range(n_bare)]
+    drawn += [(*spanned[n % len(spanned)], n < n_disguised) for n in range(wanted - n_bare)]
     x, gold = [], []
-    turn = 0
-    while known and len(x) < wanted and turn < 12:
-        for text, spans in known:
-            if turn:
-                parts, moved, at, shift = [], [], 0, 0
-                for kind, s, e in sorted(spans, key=lambda v: v[1]):
-                    if s < at:
-                        continue
-                    new = disguised(kind, text[s:e], rng) if rng.random() < 0.5 else text[s:e]
-                    parts += [text[at:s], new]
-                    moved.append((kind, s + shift, s + shift + len(new)))
-                    shift += len(new) - (e - s)
-                    at = e
-                text = "".join([*parts, text[at:]])
-                spans = moved
-            start = int(rng.integers(0, max(1, len(text) - WIDTH + 1)))
-            piece = text[start : start + WIDTH].ljust(WIDTH)
-            x.append(codes(piece))
-            gold.append(np.pad(tags(spans, start, min(start + WIDTH, len(text))),
-                               (0, max(0, WIDTH - len(text) + start))))
-            if len(x) >= wanted:
-                break
-        turn += 1
+    for text, spans, other in drawn:
+        if other:
+            parts, moved, at, shift = [], [], 0, 0
+            sure = int(rng.integers(len(spans)))  # one span at least is disguised
+            for n, (kind, s, e) in enumerate(sorted(spans, key=lambda v: v[1])):
+                if s < at:
+                    continue
+                change = n == sure or rng.random() < 0.5
+                new = disguised(kind, text[s:e], rng) if change else text[s:e]
+                parts += [text[at:s], new]
+                moved.append((kind, s + shift, s + shift + len(new)))
+                shift += len(new) - (e - s)
+                at = e
+            text = "".join([*parts, text[at:]])
+            spans = moved
+        last = max(0, len(text) - WIDTH)
+        start = int(rng.integers(0, last + 1))
+        if spans:  # the window holds one of the spans, where it fits
+            _, s, e = spans[int(rng.integers(len(spans)))]
+            low, high = min(max(0, e - WIDTH), last), min(s, last)
+            start = int(rng.integers(min(low, high), high + 1))
+        piece = text[start : start + WIDTH].ljust(WIDTH)
+        x.append(codes(piece))
+        gold.append(np.pad(tags(spans, start, min(start + WIDTH, len(text))),
+                           (0, max(0, WIDTH - len(text) + start))))
     return np.array(x).reshape(-1, WIDTH), np.array(gold).reshape(-1, WIDTH)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Network | None:
     """The network, from the stretches with digits or at signs of a bounded sample of documents.
 
-    The first `sample` documents by a hash of the id, at most `windows` stretches of them, labelled
-    by the base patterns.  None where the sample has no such stretch.
+    The first `sample` documents by a hash of the id, at most `windows` stretches of them, up to half
+    of these with a span and the rest without, labelled by the base patterns; what one sort lacks the
+    other fills.  None where the sample has no such stretch.
     """
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample)
@@ -381,11 +397,22 @@ def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Netw
                 t[s : min(e, s + 3 * WIDTH)]
                 for t in b.column("text").to_pylist() for s, e in stretches(t)[:4]
             ]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.string())})
+            yield pa.RecordBatch.from_pydict(
+                {"piece": pa.array(out, pa.string()), "held": pa.array([bool(base_spans(t)) for t in out], pa.bool_())}
+            )
 
     chosen = rows.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").select("text")
-    pieces = chosen.mapInArrow(cut, "piece string").orderBy(F.xxhash64("piece"), "piece").limit(windows)
-    texts = [r["piece"] for r in pieces.collect()]
+    # at most 4 * sample stretches; the same order wherever the rows come from
+    pieces = settled(chosen.mapInArrow(cut, "piece string, held boolean"), "stretches")
+    first = [
+        [r["piece"] for r in part.orderBy(F.xxhash64("piece"), "piece").limit(windows).collect()]
+        for part in (pieces.filter("held"), pieces.filter("NOT held"))
+    ]
+    n = min(len(first[0]), max(windows // 2, windows - len(first[1])))
+    held, bare = first[0][:n], first[1][: windows - n]
+    # dealt in turn, so that any number of them taken from the front holds both sorts
+    marked = [(k / len(part), t) for part in (held, bare) for k, t in enumerate(part)]
+    texts = [t for _, t in sorted(marked)]
     if not texts:
         return None
     return fit(*examples(texts, windows))

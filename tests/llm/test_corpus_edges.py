@@ -418,6 +418,28 @@ def test_personal_data_of_odd_rows(make_docs, odd, none):
         pii.base_spans(text)
 
 
+@pytest.mark.parametrize("stretches", [60, 3000])
+def test_disguised_writings_are_learned_from_any_number_of_stretches(stretches):
+    rng = np.random.default_rng(10)
+    words = "please call or write to us about the order of room and page for more".split()
+
+    def around(span):
+        return f"{' '.join(rng.choice(words, 5))} {span} {' '.join(rng.choice(words, 5))}"
+
+    def span(n):
+        a, b, c, d = rng.integers(1, 250, 4)
+        return (f"u{a}@mail{b}.example.com", f"{a}.{b}.{c}.{d}")[n % 2]
+
+    texts = [around(span(n) if n % 3 else f"{n} items") for n in range(stretches)]
+    x, gold = pii.examples(texts, 600)
+    assert len(x) == len(gold) == 600
+    net = pii.fit(x, gold)
+    hidden = [around(pii.disguised(("email", "ip")[n % 2], span(n), rng)) for n in range(100)]
+    bare = [around(f"{n} items") for n in range(100)]
+    assert sum(bool(more) for _, more in pii.find(net, hidden)) >= 80
+    assert sum(bool(more) for _, more in pii.find(net, bare)) <= 5
+
+
 # ---------------------------------------------------------------- 9 and 10
 
 
