@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from tablewright.llm import html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity
+from tablewright.llm import html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity, trie
 from tablewright.llm.common import fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash_groups")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.turn_sequences(table(spark, folder, "conversations"))
+    return trie.prefix_trie(trie.shared_heads(turns)).drop("turn_key")
