@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from tablewright.llm import html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity, trie
+from tablewright.llm import (
+    html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity, trie, variants,
+)
 from tablewright.llm.common import fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +116,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     turns = trie.turn_sequences(table(spark, folder, "conversations"))
     return trie.prefix_trie(trie.shared_heads(turns)).drop("turn_key")
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(variants.count_words(table(spark, folder, "documents")))
