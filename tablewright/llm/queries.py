@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer_path
 
 from tablewright.llm import (
-    html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity, trie, variants,
+    gru, html, language, mixing, pieces, pii, pivots, simhash, tokenfile, topk, toxicity, trie, variants,
 )
 from tablewright.llm.common import fold, shared_folder, table
 
@@ -118,6 +118,16 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(trie.shared_heads(turns)).drop("turn_key")
 
 
+@query("op12_recurrent_lm")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = fold("doc_id", 5) == 1
+    out = gru.score(docs, gru.train(docs, ~held))
+    return out.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op13_spelling_variants")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(variants.count_words(table(spark, folder, "documents")))
