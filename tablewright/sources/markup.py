@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import col
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
 # Named entities that are decoded; the ampersand comes last.
 ENTITIES = (
     ("&nbsp;", "\u00a0"),
@@ -104,129 +112,103 @@ def extract_html_tables(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
 # ---------------------------------------------------------------- Markdown
 
 
-def _row_cells(line: Column) -> Column:
-    """Cells of a pipe row; escaped pipes belong to the cell."""
-    bare = F.regexp_replace(strip(line), r"\A\|", "")
-    bare = F.regexp_replace(bare, r"\|\z", "")
-    return F.transform(
-        F.split(bare, r"(?<!\\)\|"),
-        lambda c: strip(F.regexp_replace(c, r"\\([|\\])", "$1")),
-    )
+BLANK = "[ \t\n\x0b\f\r]"
+ENDS = re.compile(rf"\A{BLANK}+|{BLANK}+\Z")
+HEADING = re.compile(rf"\A{BLANK}{{0,3}}#{{1,6}}{BLANK}+(.*)\Z")
+PIPE = re.compile(r"(?<!\\)\|")
+RULE = re.compile(r":?-+:?")
+ROWS_AT_ONCE = 5_000
 
 
-def _is_separator(line: Column) -> Column:
-    cells = _row_cells(line)
-    return F.contains(line, F.lit("-")) & F.forall(
-        cells, lambda c: F.regexp_replace(c, r"\s+", "").rlike(r"\A:?-+:?\z")
-    )
+def _row_cells(line: str) -> list[str]:
+    """Cells of a pipe row; escaped pipes belong to the cell."""
+    bare = ENDS.sub("", line).removeprefix("|").removesuffix("|")
+    return [ENDS.sub("", re.sub(r"\\([|\\])", r"\1", c)) for c in PIPE.split(bare)]
 
 
-def _unique_names(names: Column) -> Column:
-    """Second and further columns of a name get _2, _3, ...; empty names their position."""
-    filled = F.transform(
-        names,
-        lambda c, i: F.when(c == "", F.concat(F.lit("column"), (i + 1).cast("string"))).otherwise(c),
+def _is_separator(line: str) -> bool:
+    return "-" in line and all(
+        RULE.fullmatch(re.sub(f"{BLANK}+", "", c)) for c in _row_cells(line)
     )
 
-    def add(acc: Column, name: Column) -> Column:
-        numbered = F.transform(
-            F.sequence(F.lit(2), F.size(acc) + 2),
-            lambda n: F.concat(name, F.lit("_"), n.cast("string")),
-        )
-        free = F.get(F.filter(numbered, lambda c: ~F.array_contains(acc, c)), F.lit(0))
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, name), free).otherwise(name)))
 
-    return F.aggregate(filled, F.array().cast("array<string>"), add)
+def _unique_names(names: list[str]) -> list[str]:
+    """Second and further columns of a name get _2, _3, ...; empty names their position."""
+    out: list[str] = []
+    taken: set[str] = set()
+    following: dict[str, int] = {}
+    for i, name in enumerate(names):
+        name = wanted = name or f"column{i + 1}"
+        while name in taken:
+            number = following[wanted] = following.get(wanted, 1) + 1
+            name = f"{wanted}_{number}"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
+def _pipe_tables(text: str) -> Iterator[tuple[str, list[str], list[list[str]]]]:
+    """(heading, names, rows) of the tables of a text, in one walk over its lines."""
+    lines = re.split(r"\r?\n", text)
+    heading, i = "", 0
+    while i < len(lines):
+        line = lines[i]
+        title = HEADING.match(line) if "#" in line else None
+        if title:
+            heading = ENDS.sub("", re.sub(rf"{BLANK}*#*{BLANK}*\Z", "", title[1]))
+        elif "|" in line and i + 1 < len(lines) and _is_separator(lines[i + 1]):
+            end = i + 2
+            while end < len(lines) and "|" in lines[end]:
+                end += 1
+            yield heading, _unique_names(_row_cells(line)), [_row_cells(r) for r in lines[i + 2 : end]]
+            heading, i = "", end
+            continue
+        elif ENDS.sub("", line):
+            heading = ""
+        i += 1
 
 
 def extract_markdown_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, table_no, name, row_no, col_no, header, value): pipe tables of a text, cell by cell.
 
     A table is a line with a pipe above a separator line, and ends at a line
-    that is blank or has no pipe.  A heading right above names it.  Texts are
-    walked line by line inside their row; nothing is shuffled.
+    that is blank or has no pipe.  A heading right above names it.  A text is
+    walked once, in time in proportion to its length; nothing is shuffled.
     """
-    heading = r"\A\s{0,3}#{1,6}\s+(.*)\z"
-
-    def look(s: Column, i: Column) -> Column:
-        """What the walk needs to know about a line, worked out once."""
-        piped = F.contains(s, F.lit("|"))
-        below = F.get(F.col("lines"), i + 1)
-        title = F.when(
-            F.contains(s, F.lit("#")) & s.rlike(heading),
-            strip(F.regexp_replace(F.regexp_extract(s, heading, 1), r"\s*#*\s*\z", "")),
-        )
-        return F.struct(
-            F.when(piped, s).alias("text"),
-            s.rlike(r"\A\s*\z").alias("blank"),
-            title.alias("title"),
-            F.when(piped, F.coalesce(_is_separator(below), F.lit(False)))
-            .otherwise(F.lit(False))
-            .alias("above"),
-        )
-
-    with_lines = (
-        df.where(F.contains(col(text_col), F.lit("|")))
-        .select(col(id_col).alias("id"), F.split(col(text_col), r"\r?\n").alias("lines"))
-        .select("id", F.transform("lines", look).alias("lines"))
-    )
-    # state: 0 outside, 1 the separator line comes next, 2 inside the rows
-    start = F.struct(
-        F.lit(0).alias("state"),
-        F.lit(0).alias("table"),
-        F.lit("").alias("heading"),
-        F.array().cast("array<struct<table:int,heading:string,head:boolean,text:string>>").alias("out"),
-    )
-
-    def step(acc: Column, line: Column) -> Column:
-        row = (acc["state"] == 2) & line["text"].isNotNull()
-        free = (acc["state"] != 1) & ~row
-        opens = line["above"] & free & line["title"].isNull()
-        state = F.when(opens, 1).when(acc["state"] == 1, 2).when(row, 2).otherwise(0)
-        table = acc["table"] + F.when(opens, 1).otherwise(0)
-        keep = F.when(free & line["title"].isNotNull(), line["title"]).when(
-            free & line["blank"], acc["heading"]
-        )
-        entry = F.struct(
-            table.alias("table"),
-            F.when(opens, acc["heading"]).otherwise("").alias("heading"),
-            opens.alias("head"),
-            line["text"].alias("text"),
-        )
-        out = F.when(opens | row, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
-        return F.struct(
-            state.alias("state"),
-            table.alias("table"),
-            keep.otherwise("").alias("heading"),
-            out.alias("out"),
-        )
 
-    walked = with_lines.select("id", F.aggregate("lines", start, step)["out"].alias("found"))
-    walked = walked.where(F.size("found") > 0)
-    tables = walked.select(
-        "id",
-        "found",
-        F.explode(F.filter("found", lambda e: e["head"])).alias("top"),
-    ).select(
-        "id",
-        F.col("top.table").alias("table_no"),
-        F.when(
-            F.col("top.heading") != "",
-            F.concat(F.lit("Table "), F.col("top.table"), F.lit(" — "), F.col("top.heading")),
-        )
-        .otherwise(F.concat(F.lit("Table "), F.col("top.table")))
-        .alias("name"),
-        _unique_names(_row_cells(F.col("top.text"))).alias("names"),
-        F.filter(
-            "found", lambda e: (e["table"] == F.col("top.table")) & ~e["head"]
-        ).alias("body"),
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for at, text in enumerate(batch["text"].to_pylist()):
+                for number, (heading, names, rows) in enumerate(_pipe_tables(text), 1):
+                    name = f"Table {number} — {heading}" if heading else f"Table {number}"
+                    found += [(at, number, name, names, r, cells) for r, cells in enumerate(rows, 1)]
+                    while len(found) >= ROWS_AT_ONCE:
+                        yield packed(batch, found[:ROWS_AT_ONCE])
+                        del found[:ROWS_AT_ONCE]
+            if found:
+                yield packed(batch, found)
+
+    def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        at, number, name, names, row, cells = zip(*found)
+        texts = pa.list_(pa.string())
+        return pa.RecordBatch.from_pydict({
+            "id": batch["id"].take(pa.array(at)),
+            "table_no": pa.array(number, pa.int32()),
+            "name": pa.array(name),
+            "names": pa.array(names, texts),
+            "row_no": pa.array(row, pa.int32()),
+            "cells": pa.array(cells, texts),
+        })
+
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.where(F.contains(col(text_col), F.lit("|")))
+    rows = texts.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(
+        walk,
+        f"id {kind}, table_no int, name string, names array<string>, row_no int, cells array<string>",
     )
-    rows = tables.select(
-        "id", "table_no", "name", "names", F.posexplode("body").alias("r", "line")
-    ).select("id", "table_no", "name", "names", "r", _row_cells(F.col("line.text")).alias("cells"))
     return rows.select(
-        "id", "table_no", "name", (F.col("r") + 1).alias("row_no"), "cells",
-        F.posexplode("names").alias("c", "header"),
+        "id", "table_no", "name", "row_no", "cells", F.posexplode("names").alias("c", "header")
     ).select(
         "id", "table_no", "name", "row_no", (F.col("c") + 1).alias("col_no"), "header",
         F.coalesce(F.get("cells", F.col("c")), F.lit("")).alias("value"),
