@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from table_queries.registry import big, load, near, query
-from tablewright.operators import profile
+from table_queries.registry import big, load, near, query, scratch
+from tablewright.operators import profile, sketches
+from tablewright.operators.distributed import exact_quantiles
 from tablewright.sources import footer
 
 _ORDERS = (
@@ -288,3 +289,72 @@ def summarize(spark: SparkSession, folder: str) -> DataFrame:
         "column", "min", "max", "distinct", near("avg", "avg"), near("q25", "q25"), "count",
         near("null_percentage", "null_percentage"),
     )
+
+
+def _close(spark: SparkSession, found: DataFrame, df: DataFrame) -> DataFrame:
+    """A summary with its estimates judged against exact figures: 5 % for distinct values (three standard
+    errors), the stated rank error for quartiles."""
+    exact = profile.distinct_counts(df).withColumnRenamed("distinct", "exact")
+    numbers = [c for c in df.columns if c not in ("ts", "event_type")]
+    counts = df.agg(*[F.count(c).alias(c) for c in numbers]).first().asDict()
+    e = sketches.RANK_ERROR
+    probs = [p + d for p in sketches.QUARTILES for d in (-e, e)]
+    bounds = exact_quantiles(df, {c: F.col(c) for c in numbers}, probs, counts)
+    limits = spark.createDataFrame(
+        [(c, *bounds[c]) for c in numbers], "column string, " + ", ".join(f"b{i} double" for i in range(6))
+    )
+    inside = [F.col(f"q{q}").between(F.col(f"b{2 * i}"), F.col(f"b{2 * i + 1}")) for i, q in enumerate((25, 50, 75))]
+    judged = found.join(exact, "column").join(limits, "column", "left")
+    return judged.select(
+        "column", "type", "min", "max", near("avg", "avg"), near("std", "std"), "count",
+        near("null_percentage", "null_percentage"),
+        (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.05).alias("distinct_near"),
+        (inside[0] & inside[1] & inside[2]).alias("quartiles_near"),
+        *([F.transform("top_values", lambda v: F.concat_ws(":", v["value"], v["count"])).alias("top")]
+          if "top_values" in found.columns else []),
+    )
+
+
+def _summary_sql(extra: str = "") -> str:
+    kinds = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double"}
+
+    def one(c: str, kind: str) -> str:
+        number = kind in ("bigint", "double")
+        return (
+            f"SELECT '{c}' AS \"column\", '{kind}' AS type, CAST(min({c}) AS VARCHAR) AS min, "
+            f"CAST(max({c}) AS VARCHAR) AS max, "
+            + (f"round(avg({c}), 4) AS avg, round(stddev_pop({c}), 4) AS std, " if number else
+               "NULL::DOUBLE AS avg, NULL::DOUBLE AS std, ")
+            + f"count(*) AS count, round(100.0 * (count(*) - count({c})) / count(*), 4)::DOUBLE AS null_percentage, "
+            f"true AS distinct_near, {'true' if number else 'NULL::BOOLEAN'} AS quartiles_near{extra} FROM {_HOLES}"
+        )
+
+    return " UNION ALL ".join(one(c, kind) for c, kind in kinds.items())
+
+
+@query("k04_summarize_approx", _summary_sql())
+def summarize_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """The default path: sketches, within their stated errors."""
+    df = _holes(spark, folder)
+    return _close(spark, profile.summarize(df), df)
+
+
+@query(
+    "f13_merged_states",
+    f"SELECT s.*, CASE WHEN \"column\" = 'event_type' THEN t.top END AS top FROM ({_summary_sql()}) s, "
+    "(SELECT array_to_string(list(event_type || ':' || n ORDER BY n DESC, event_type), ',') AS top FROM "
+    f"(SELECT event_type, count(*) AS n FROM {_HOLES} WHERE event_type IS NOT NULL GROUP BY 1)) t",
+)
+def merged_states(spark: SparkSession, folder: str) -> DataFrame:
+    """States of three parts of a table, kept as Parquet and put together, against the whole table."""
+    df = _holes(spark, folder)
+    path = scratch(spark)
+    for i in range(3):
+        part = df.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i)
+        sketches.profile_state(part).write.mode("append").parquet(path)
+    merged = sketches.merge_states(spark.read.parquet(path))
+    out = _close(spark, sketches.state_summary(merged), df)
+    kind = F.col("column") == "event_type"
+    return out.withColumn("top", F.when(kind, F.array_join(F.array_sort("top", lambda a, b: F.coalesce(
+        F.nullif(F.split(b, ":")[1].cast("int") - F.split(a, ":")[1].cast("int"), F.lit(0)),
+        F.when(a < b, -1).otherwise(1))), ",")))

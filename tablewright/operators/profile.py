@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.functions.columns import categories, col, text_of
 from tablewright.operators.distributed import exact_quantiles
 from tablewright.operators.patterns import top_per_group
+from tablewright.operators.sketches import profile_state, state_summary
 
 HISTOGRAM_BINS = 30
 TOP_VALUES = 20
@@ -371,7 +372,13 @@ PROFILE_SCHEMA = (
 
 
 def summarize(df: DataFrame, approx: bool = True) -> DataFrame:
-    """(column, type, min, max, distinct, avg, std, q25, q50, q75, count, null_percentage)."""
+    """(column, type, min, max, distinct, avg, std, q25, q50, q75, count, null_percentage).
+
+    By default distinct counts and quartiles come from the sketches of `sketches.profile_state`, with the
+    errors stated there, in one pass; otherwise all figures are exact.
+    """
+    if approx:
+        return state_summary(profile_state(df)).drop("top_values")
     kinds = categories(df)
     names = [n for n in df.columns if kinds[n] != "complex"]
     ranges = df.agg(
@@ -380,7 +387,7 @@ def summarize(df: DataFrame, approx: bool = True) -> DataFrame:
         *[F.min(col(n)).cast("string").alias(f"lo{i}") for i, n in enumerate(names)],
         *[F.max(col(n)).cast("string").alias(f"hi{i}") for i, n in enumerate(names)],
     ).first()
-    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, approx).collect()}
+    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df).collect()}
     numbers = _numeric_rows(df, [n for n in names if kinds[n] in ("integer", "numeric")])
     rows = []
     for i, n in enumerate(names):
