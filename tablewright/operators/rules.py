@@ -169,20 +169,45 @@ def _open_reference(rule: Rule) -> Column:
     return rule.ref.select(F.coalesce(F.bool_or(col(rule.ref_col).isNull()), F.lit(False))).scalar()
 
 
-def breaking_keys(df: DataFrame, rule: Rule) -> DataFrame:
-    """Keys (with `_n` rows each) that break a unique or reference rule."""
-    keys = [col(k) for k in rule.keys]
+def breaking_keys(df: DataFrame, rules: list[Rule], prefix: str = "_b") -> DataFrame:
+    """Keys that break one of several unique or reference rules on the same key columns.
+
+    Besides the key: `_n` rows that have it, and one boolean column per rule.  The table is read and
+    counted once, whatever the number of rules; reference lists meet distinct keys, not rows.
+    """
+    keys = [col(k) for k in rules[0].keys]
     counted = df.where(all_of([k.isNotNull() for k in keys])).groupBy(*keys)
-    counted = counted.agg(F.count(F.lit(1)).alias("_n"))
-    if rule.type == "unique":
-        return counted.where("_n > 1")
-    known = _reference_keys(rule)
-    absent = counted.join(known, keys[0] == F.col("_ref"), "left_anti")
-    return absent.where(~_open_reference(rule))
+    counted = _marked(counted.agg(F.count(F.lit(1)).alias("_n")), rules, keys[0], prefix)
+    return counted.where(any_of([F.col(f"{prefix}{j}") for j in range(len(rules))]))
+
+
+def _marked(counted: DataFrame, rules: list[Rule], key: Column, prefix: str) -> DataFrame:
+    """Counted keys with a boolean per rule; `key` is the only key column where a rule has a reference list."""
+    for j, rule in enumerate(rules):
+        if rule.type == "unique":
+            counted = counted.withColumn(f"{prefix}{j}", F.col("_n") > 1)
+        else:
+            known = _reference_keys(rule).withColumn("_known", F.lit(True))
+            counted = counted.join(known, key == F.col("_ref"), "left")
+            absent = key.isNotNull() & F.col("_known").isNull() & ~_open_reference(rule)
+            counted = counted.withColumn(f"{prefix}{j}", absent).drop("_ref", "_known")
+    return counted
+
+
+def _by_keys(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
+    """Numbered key rules by their key columns, in order of their last rule."""
+    groups: dict[tuple[str, ...], list[tuple[int, Rule]]] = {}
+    for i, rule in rules:
+        group = groups.pop(tuple(rule.keys), [])
+        groups[tuple(rule.keys)] = [*group, (i, rule)]
+    return list(groups.values())
 
 
 def flag_rules(df: DataFrame, rules: list[Rule], prefix: str = "_r") -> DataFrame:
-    """The table with one boolean column per rule, true where the row breaks it."""
+    """The table with one boolean column per rule, true where the row breaks it.
+
+    Key rules on the same columns share one lookup of the keys that break any of them.
+    """
     out = df.withColumns(
         {
             f"{prefix}{i}": violation(df, r)
@@ -190,49 +215,52 @@ def flag_rules(df: DataFrame, rules: list[Rule], prefix: str = "_r") -> DataFram
             if r.type not in KEYED + ("row_count",) and not is_skipped(r)
         }
     )
-    for i, rule in enumerate(rules):
-        if rule.type in KEYED:
-            out = lookup_join(out, rule.keys, breaking_keys(df, rule), "_n")
-            out = out.withColumnRenamed("_hit", f"{prefix}{i}")
+    for group in _by_keys([(i, r) for i, r in enumerate(rules) if r.type in KEYED]):
+        keys = breaking_keys(df, [r for _, r in group])
+        out = lookup_join(out, group[0][1].keys, keys, "_n").drop("_hit")
+        flags = {
+            f"{prefix}{i}": F.coalesce(F.col(f"_b{j}"), F.lit(False)) for j, (i, _) in enumerate(group)
+        }
+        out = out.withColumns(flags).drop(*[f"_b{j}" for j in range(len(group))])
     return out
 
 
 def _counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row: total, invalid and v<i> per rule, from one pass.
 
-    The last key rule is folded into the pass: rows are added up per key, so
-    no row is joined back for it and a hot key shrinks before the shuffle.
+    The last key rules, those on one set of columns, are folded into the pass: rows are added up per
+    key, so no row is joined back for them and a hot key shrinks before the shuffle.
     """
     active = [
         (i, r) for i, r in enumerate(rules) if r.type != "row_count" and not is_skipped(r)
     ]
-    keyed = [i for i, r in active if r.type in KEYED]
-    folded = keyed[-1] if keyed else None
-    plain = [(i, r) for i, r in active if i != folded]
-    joined = [r if i != folded else Rule("row_count") for i, r in enumerate(rules)]
+    keyed = _by_keys([(i, r) for i, r in active if r.type in KEYED])
+    folded = keyed[-1] if keyed else []
+    inside = [i for i, _ in folded]
+    plain = [(i, r) for i, r in active if i not in inside]
+    joined = [r if i not in inside else Rule("row_count") for i, r in enumerate(rules)]
     flagged = flag_rules(df, joined)
     broken = any_of([F.col(f"_r{i}") for i, r in plain if r.is_error])
     sums = [F.count(F.lit(1)).alias("total"), F.count_if(broken).alias("invalid")]
     sums += [F.count_if(F.col(f"_r{i}")).alias(f"v{i}") for i, _ in plain]
-    if folded is None:
+    if not folded:
         return flagged.agg(*sums)
 
-    rule = rules[folded]
-    keys = [f"_k{i}" for i in range(len(rule.keys))]
-    per_key = flagged.groupBy(*[col(k).alias(a) for k, a in zip(rule.keys, keys)]).agg(*sums)
+    group = [r for _, r in folded]
+    keys = [f"_k{i}" for i in range(len(group[0].keys))]
+    per_key = flagged.groupBy(*[col(k).alias(a) for k, a in zip(group[0].keys, keys)]).agg(*sums)
+    per_key = _marked(per_key.withColumn("_n", F.col("total")), group, F.col("_k0"), "_b")
     known = all_of([F.col(k).isNotNull() for k in keys])
-    if rule.type == "unique":
-        bad = known & (F.col("total") > 1)
-    else:
-        per_key = per_key.join(_reference_keys(rule), F.col("_k0") == F.col("_ref"), "left")
-        per_key = per_key.withColumn("_open", _open_reference(rule))
-        bad = known & F.col("_ref").isNull() & ~F.col("_open")
-    hurt = F.when(bad, F.col("total")).otherwise(F.col("invalid"))
+    bad = [known & F.col(f"_b{j}") for j in range(len(group))]
+    hurt = F.when(any_of([b for b, r in zip(bad, group) if r.is_error]), F.col("total"))
     return per_key.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(hurt if rule.is_error else F.col("invalid")), F.lit(0)).alias("invalid"),
+        F.coalesce(F.sum(hurt.otherwise(F.col("invalid"))), F.lit(0)).alias("invalid"),
         *[F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"v{i}") for i, _ in plain],
-        F.coalesce(F.sum(F.when(bad, F.col("total"))), F.lit(0)).alias(f"v{folded}"),
+        *[
+            F.coalesce(F.sum(F.when(b, F.col("total"))), F.lit(0)).alias(f"v{i}")
+            for b, i in zip(bad, inside)
+        ],
     )
 
 
@@ -305,8 +333,8 @@ def violating_rows(df: DataFrame, rule: Rule) -> DataFrame:
     if rule.type == "row_count" or is_skipped(rule):
         return df.where(F.lit(False))
     if rule.type in KEYED:
-        hit = lookup_join(df, rule.keys, breaking_keys(df, rule), "_n")
-        return hit.where("_hit").drop("_hit")
+        hit = lookup_join(df, rule.keys, breaking_keys(df, [rule]), "_n")
+        return hit.where("_hit").drop("_hit", "_b0")
     return df.where(violation(df, rule))
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tablewright.operators import rules
 from tablewright.operators.rules import Rule, validate
 
@@ -113,3 +115,33 @@ def test_empty_table(spark):
     df = table(spark).limit(0)
     row = validate(df, [Rule("unique", "amount"), Rule("not_null", "id")]).first()
     assert (row.total, row.invalid, row.score, row.ok) == (0, 0, 1.0, True)
+
+
+def test_key_rules_share_lookups(spark):
+    """Four unique and two reference rules over two key columns: two lookups, figures as one by one."""
+    rows = [(i % 40 if i % 9 else None, i % 70, f"n{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, b long, c string")
+    known = spark.range(30).select(F.col("id").alias("k"))
+    listed = [
+        Rule("unique", "a"), Rule("unique", "b"), Rule("reference", "a", ref=known, ref_col="k"),
+        Rule("unique", "a", severity="warning"), Rule("reference", "b", ref=known, ref_col="k"),
+        Rule("unique", "b", severity="warning"),
+    ]
+    flagged = rules.flag_rules(df, listed)
+    for i, rule in enumerate(listed):
+        assert flagged.where(f"_r{i}").count() == rules.violating_rows(df, rule).count()
+    assert flagged.columns == ["a", "b", "c"] + [f"_r{i}" for i in (0, 2, 3, 1, 4, 5)]
+    report = {r.rule_no: r for r in validate(df, listed).collect()}
+    for i, rule in enumerate(listed):
+        alone = validate(df, [rule]).first()
+        assert report[i].violations == alone.violations and report[i].status == alone.status
+    hurt = flagged.where("_r0 OR _r1 OR _r2 OR _r4").count()
+    assert report[0].invalid == hurt
+
+
+def test_table_is_joined_once_per_key_set(spark):
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("b"))
+    listed = [Rule("unique", "id"), Rule("unique", "b"), Rule("unique", "id", severity="warning"),
+              Rule("unique", "b", severity="warning")]
+    plan = rules.flag_rules(df, listed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4  # a broadcast of hot keys and a salted join, for each set
