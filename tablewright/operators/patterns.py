@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import col, text_of
 from tablewright.functions.masks import compact_display, mask, mask_regex
+from tablewright.operators.distributed import settle
+
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
 
 DOMINANT_SHARE = 0.4
 NORMAL_SHARE = 0.15
 MERGE_RATIO = 0.8
-EXAMPLES_AT_ONCE = 200
+SUFFIXES_AT_ONCE = 300_000  # distinct suffixes a task counts before it hands them on
 
 
 def _mask_counts(df: DataFrame, column: str) -> DataFrame:
@@ -195,59 +202,103 @@ def segments(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     return top.drop("rank")
 
 
-def _grams_of_length(values: DataFrame, size: int, parts: set[str] | None) -> DataFrame:
-    """(gram, c): values per substring of this length; only those whose two halves, each one
-    character shorter, are in `parts`."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                grams = {text[i : i + size] for i in range(len(text) - size + 1)}
-                if parts is not None:
-                    grams = {g for g in grams if g[1:] in parts and g[:-1] in parts}
-                found.update(grams)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "gram": pa.array(list(found), pa.string()),
-                    "c": pa.array(list(found.values()), pa.int64()),
-                }
-            )
-
-    return values.mapInArrow(cut, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+def _suffixes(batches: Iterator[pa.RecordBatch], min_len: int, max_len: int) -> Iterator[pa.RecordBatch]:
+    """(suffix, seen, n): beginnings of the suffixes of values, `max_len` long, and how much of each
+    its value has held before; a value counts for the longer beginnings only."""
+    found: Counter = Counter()
 
-
-def _frequent(
-    df: DataFrame, column: str, min_len: int, max_len: int, min_share: float
-) -> list[tuple[str, int]]:
-    """Substrings that enough distinct values hold, with the number of those values.
-
-    Grown by length: a substring can only be frequent if its two shorter ones are.  What reaches the
-    driver is bounded by the share: there are at most (mean length / share) of one length.
+    def flush() -> pa.RecordBatch:
+        texts, seen = zip(*found) if found else ((), ())
+        batch = pa.RecordBatch.from_pydict(
+            {
+                "suffix": pa.array(texts, pa.string()),
+                "seen": pa.array(seen, pa.int32()),
+                "n": pa.array(list(found.values()), pa.int64()),
+            }
+        )
+        found.clear()
+        return batch
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            places: dict[str, list[int]] = {}
+            for i in range(len(text) - min_len + 1):
+                suffix = text[i : i + max_len]
+                earlier = places.setdefault(suffix[:min_len], [])
+                held = 0
+                for j in earlier:
+                    other = text[j : j + max_len]
+                    if other.startswith(suffix):
+                        held = len(suffix)
+                        break
+                    same = min_len
+                    while same < len(other) and other[same] == suffix[same]:
+                        same += 1
+                    held = max(held, same)
+                if held < len(suffix):
+                    earlier.append(i)
+                    found[suffix, held] += 1
+            if len(found) > SUFFIXES_AT_ONCE:
+                yield flush()
+    yield flush()
+
+
+def _beginnings(
+    batches: Iterator[pa.RecordBatch], min_len: int, max_len: int, least: int
+) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes to (gram, c): values per beginning of them.
+
+    Equal beginnings lie together.  Those that reach the border of a batch may go on behind it and are
+    all kept; of the others, those of `least` values.
     """
-    values = df.where(col(column).isNotNull()).select(text_of(df, column).alias("v"))
-    rows = values.agg(F.count(F.lit(1))).scalar()
-    support = F.greatest(F.lit(2), F.ceil(rows * F.lit(min_share)))
-    least = values.agg(support).first()[0]
-    distinct = values.distinct().where(F.char_length("v") >= min_len)
-    out: list[tuple[str, int]] = []
-    parts: set[str] | None = None
-    for size in range(min_len, max_len + 1):
-        grown = _grams_of_length(distinct, size, parts).where(F.col("c") >= least)
-        found = [(r["gram"], r["c"]) for r in grown.collect()]
-        if not found:
-            break
-        out += found
-        parts = {g for g, _ in found}
-    return out
+    for batch in batches:
+        texts = batch["suffix"].to_pylist()
+        if not texts:
+            continue
+        codes = np.array(texts, f"<U{max_len}").view("<u4").reshape(len(texts), max_len)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        differ = codes[1:] != codes[:-1]
+        shared = np.where(differ.any(1), differ.argmax(1), max_len)  # with the one before
+        shared = np.minimum(np.append(0, shared), np.append(0, np.minimum(lens[1:], lens[:-1])))
+        n, seen = batch["n"].to_numpy(), batch["seen"].to_numpy()
+        grams, counts = [], []
+        for size in range(min_len, max_len + 1):
+            starts = np.flatnonzero(shared < size)
+            sums = np.add.reduceat(np.where((lens >= size) & (seen < size), n, 0), starts)
+            keep = sums >= least
+            keep[[0, -1]] = sums[[0, -1]] > 0
+            keep &= lens[starts] >= size
+            grams += [texts[i][:size] for i in starts[keep].tolist()]
+            counts.append(sums[keep])
+        yield pa.RecordBatch.from_pydict(
+            {"gram": pa.array(grams, pa.string()), "c": pa.array(np.concatenate(counts), pa.int64())}
+        )
 
 
 def substring_counts(
     df: DataFrame, column: str, min_len: int = 3, max_len: int = 24, min_share: float = 0.1
 ) -> DataFrame:
-    """(gram, c): substrings of whole values that enough distinct values hold.  Eager."""
-    found = _frequent(df, column, min_len, max_len, min_share)
-    return df.sparkSession.createDataFrame(found, "gram string, c bigint")
+    """(gram, c): substrings of whole values that enough distinct values hold.
+
+    One job finds how many values are enough.  Then all suffixes of the distinct values are sorted over
+    the cluster, so that equal substrings of every length are neighbours and are counted in one pass.
+    """
+    values = df.where(col(column).isNotNull()).select(text_of(df, column).alias("v"))
+    rows = values.agg(F.count(F.lit(1))).first()[0]
+    least = max(2, math.ceil(rows * min_share))
+    distinct = values.distinct().where(F.char_length("v") >= min_len)
+    suffixes = (
+        distinct.mapInArrow(
+            lambda batches: _suffixes(batches, min_len, max_len), "suffix string, seen int, n bigint"
+        )
+        .groupBy("suffix", "seen")
+        .agg(F.sum("n").alias("n"))
+    )
+    ordered = suffixes.repartitionByRange("suffix").sortWithinPartitions("suffix")
+    grams = ordered.mapInArrow(
+        lambda batches: _beginnings(batches, min_len, max_len, least), "gram string, c bigint"
+    )
+    return grams.groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def maximal(grams: list[tuple[str, int]], ratio: float = MERGE_RATIO) -> list[tuple[str, int]]:
@@ -265,6 +316,17 @@ def maximal(grams: list[tuple[str, int]], ratio: float = MERGE_RATIO) -> list[tu
     return sorted(kept, key=lambda g: (-g[1], -len(g[0]), g[0]))
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = [g for b in batches for g in zip(b["gram"].to_pylist(), b["c"].to_pylist())]
+    kept = maximal(grams)
+    yield pa.RecordBatch.from_pydict(
+        {
+            "value": pa.array([g for g, _ in kept], pa.string()),
+            "c": pa.array([c for _, c in kept], pa.int64()),
+        }
+    )
+
+
 def substrings(
     df: DataFrame,
     column: str,
@@ -275,19 +337,27 @@ def substrings(
 ) -> DataFrame:
     """(value, c, example): recurring motifs, fragments folded into the longest one.
 
-    Eager: the frequent substrings reach the driver; the smallest example of each kept motif is
-    found in aggregates of a few hundred at a time.  `limit` asks for the first motifs only.
+    Folding goes from long to short over all motifs and is one task; there are at most (mean length /
+    share) of a length, however many rows.  The example is the smallest value that holds the motif;
+    `limit` asks for the most frequent motifs only.
     """
-    kept = maximal(_frequent(df, column, min_len, max_len, min_share))[:limit]
-    v = text_of(df, column)
-    rows = []
-    for at in range(0, len(kept), EXAMPLES_AT_ONCE):
-        part = kept[at : at + EXAMPLES_AT_ONCE]
-        found = df.select(v.alias("v")).agg(
-            *[F.min(F.when(F.contains(F.col("v"), F.lit(g)), F.col("v"))) for g, _ in part]
-        )
-        rows += [(g, c, e) for (g, c), e in zip(part, found.first())]
-    return df.sparkSession.createDataFrame(rows, "value string, c bigint, example string")
+    grams = substring_counts(df, column, min_len, max_len, min_share)
+    kept = grams.repartition(1).mapInArrow(_folded, "value string, c bigint")
+    if limit:
+        kept = kept.orderBy(F.desc("c"), F.desc(F.char_length("value")), "value").limit(limit)
+    kept = settle(kept)
+    v = df.where(col(column).isNotNull()).select(text_of(df, column).alias("v")).distinct()
+    sizes = kept.agg(F.sort_array(F.collect_set(F.char_length("value")))).first()[0]
+    last = F.char_length("v") - F.col("size") + 1
+    cut = (
+        v.select("v", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+        .where(last >= 1)
+        .select("v", "size", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+        .select("v", F.substr("v", F.col("at"), F.col("size")).alias("value"))
+    ) if sizes else v.select("v", F.lit("").alias("value")).limit(0)
+    examples = cut.join(kept.select("value"), "value").groupBy("value").agg(F.min("v").alias("example"))
+    found = kept.join(examples, "value", "left").select("value", "c", "example")
+    return found.orderBy(F.desc("c"), F.desc(F.char_length("value")), "value")
 
 
 def match_records(df: DataFrame, column: str, kind: str, value: str) -> DataFrame:

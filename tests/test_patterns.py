@@ -1,3 +1,7 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.masks import compact_display, mask_regex
@@ -80,3 +84,42 @@ def test_match_records(spark):
     df = column(spark, ["BAU_1", "BAU_2", "GEN_1"])
     assert patterns.match_records(df, "code", "prefix", "BAU_").count() == 2
     assert patterns.match_records(df, "code", "suffix", "_1").count() == 2
+
+
+def plain_counts(values, min_len, max_len, least):
+    counts = {}
+    for v in set(values) - {None}:
+        for g in {v[i : i + k] for k in range(min_len, max_len + 1) for i in range(len(v) - k + 1)}:
+            counts[g] = counts.get(g, 0) + 1
+    return {g: c for g, c in counts.items() if c >= least}
+
+
+@pytest.mark.parametrize(("share", "shape"), [(0.1, (3, 24)), (0.002, (1, 5)), (0.05, (2, 2))])
+def test_substring_counts_by_brute_force(spark, monkeypatch, share, shape):
+    """Repeats inside a value, copies, empty and very long values, NULLs, batches of a few rows."""
+    monkeypatch.setattr(patterns, "SUFFIXES_AT_ONCE", 50)
+    draw = random.Random(8)
+    values = ["".join(draw.choices("abé😀", k=draw.randint(0, 30))) for _ in range(300)]
+    values += ["a" * 4000, "ab" * 500, "", None, "copy"] + ["copy of many"] * 200
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    df = column(spark, values, "v")
+    got = {r.gram: r.c for r in patterns.substring_counts(df, "v", *shape, share).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    least = max(2, math.ceil(share * sum(v is not None for v in values)))
+    assert got == plain_counts(values, *shape, least)
+
+
+def test_substring_jobs_do_not_grow_with_the_length(spark):
+    df = column(spark, [f"unit {i} of the power station" for i in range(50)], "v")
+    jobs = []
+    for longest in (5, 24):
+        spark.sparkContext.setJobGroup(f"grams-{longest}", "")
+        found = patterns.substring_counts(df, "v", 3, longest)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grams-{longest}")))
+        assert found.count() > 10
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs == [jobs[0]] * 2 and jobs[0] <= 2
+
+
+def test_substrings_without_a_motif(spark):
+    assert patterns.substrings(column(spark, [None, "", "ab"], "v"), "v").collect() == []
