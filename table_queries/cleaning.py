@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from table_queries.registry import big, day, load, near, query, sql_draw, sql_list
+from table_queries.registry import big, day, load, near, query, sql_draw, sql_list, sql_unit
 from tablewright.functions import fixed
 from tablewright.operators import impact, steps as S, synth
 from tablewright.plans.pipeline import Entry, Pipeline
@@ -12,8 +12,16 @@ from tablewright.plans.pipeline import Entry, Pipeline
 SALT = "pepper"
 
 
-def run(df: DataFrame, *steps: S.Step, salt: str = SALT) -> DataFrame:
-    return Pipeline(steps, salt=salt, seed=7).apply(df)
+SEED = 7
+
+
+def run(df: DataFrame, *steps: S.Step, salt: str = SALT, key: tuple[str, ...] = ()) -> DataFrame:
+    return Pipeline(steps, salt=salt, seed=SEED, key=key).apply(df)
+
+
+def _drawn(key: str, column: str, number: int = 0) -> str:
+    """The double a row draws for a column, in SQL."""
+    return sql_unit(key, S.Context(seed=SEED).seed_for(column) + number)
 
 
 # ---------------------------------------------------------------- columns
@@ -376,20 +384,14 @@ def shuffle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "d15_shuffle_rows",
-    "SELECT count(*) AS rows, count(DISTINCT o_orderpriority) AS known, true AS mixed FROM orders",
+    _SHUFFLE + f", rows AS (SELECT o_orderkey, floor({_drawn('o_orderkey', 'o_orderpriority')} * "
+    "(SELECT count(*) FROM orders)) AS i FROM orders) "
+    "SELECT o_orderkey, v AS o_orderpriority FROM rows JOIN placed ON i >= s AND i < s + cnt",
 )
 def shuffle_random(spark: SparkSession, folder: str) -> DataFrame:
-    """A draw per row: same rows, same values, and every value about as often as before."""
-    orders = load(spark, folder, "orders").select(
-        "o_orderkey", F.col("o_orderpriority").alias("old"), "o_orderpriority"
-    )
-    out = run(orders, S.Shuffle("o_orderpriority", "rand"))
-    moved = F.count_if(F.col("old") != F.col("o_orderpriority")) / F.count(F.lit(1))
-    return out.agg(
-        F.count_distinct("o_orderkey").alias("rows"),
-        F.count_distinct("o_orderpriority").alias("known"),
-        moved.between(0.5, 0.95).alias("mixed"),
-    )
+    """A draw per row, by its key: equal values part."""
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return run(orders, S.Shuffle("o_orderpriority", "rand"), key=("o_orderkey",))
 
 
 @query(
@@ -425,23 +427,38 @@ def num_noise(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("c_custkey", near("relative", "relative", 1), "absolute")
 
 
+@query(
+    "d17_num_noise_rows",
+    "SELECT c_custkey, c_mktsegment, "
+    f"round(c_acctbal * (1 + ({_drawn('c_custkey', 'relative')} * 2 - 1) * 0.1), 2) AS relative, "
+    f"CAST(round(c_acctbal + ({_drawn('c_custkey', 'absolute')} * 2 - 1) * 50.5) AS BIGINT) AS absolute "
+    "FROM customer",
+)
+def num_noise_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Noise drawn per row: equal amounts part, and any partitioning draws the same."""
+    balance = F.col("c_acctbal")
+    raw = load(spark, folder, "customer").select(
+        "c_custkey", "c_mktsegment", balance.alias("relative"), balance.alias("absolute")
+    )
+    return run(
+        raw.repartition(13, "c_mktsegment"),
+        S.NumNoise("relative", 0.1, "rand", relative=True),
+        S.NumNoise("absolute", 50.5, "rand", whole=True),
+        key=("c_custkey",),
+    )
+
+
 @query(
     "d18_num_random",
-    "SELECT count(*) AS rows, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS filled, true AS inside, "
-    "true AS spread FROM customer",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN round(-100 + "
+    f"{_drawn('c_custkey', 'x')} * 400, 2) END AS x FROM customer",
 )
 def num_random(spark: SparkSession, folder: str) -> DataFrame:
-    """Uniform draws: NULL stays, all inside the range, mean near the middle."""
+    """Uniform draws by the row's key; NULL stays."""
     raw = load(spark, folder, "customer").select(
-        F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("x")
-    )
-    out = run(raw, S.NumRandom("x", -100, 300))
-    return out.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("x").alias("filled"),
-        F.bool_and(F.col("x").between(-100, 300)).alias("inside"),
-        F.avg("x").between(70, 130).alias("spread"),
+        "c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("x")
     )
+    return run(raw, S.NumRandom("x", -100, 300), key=("c_custkey",))
 
 
 _CENTS = "CAST(o_totalprice AS DECIMAL(38,6))"

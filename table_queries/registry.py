@@ -57,3 +57,8 @@ def sql_draw(value: str, modulus: int | str, salt: str = "", suffix: str = "") -
     """The number a value draws, in SQL."""
     text = f"({value} || '{salt}{suffix}')" if salt + suffix else f"({value})"
     return f"(('0x' || substr(md5({text}), 1, 15))::BIGINT % {modulus})"
+
+
+def sql_unit(key: str, seed: int) -> str:
+    """The double in 0 .. 1 that a row key draws, in SQL."""
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from table_queries.cleaning import SYNTH_SQL
-from table_queries.registry import load, query
+from table_queries.registry import load, query, sql_list, sql_unit
+from tablewright.functions import fixed
 from tablewright.operators import scan
+from tablewright.operators.steps import Context
 from tablewright.plans import protection
 
 
@@ -220,23 +222,31 @@ def anonymise_2(spark: SparkSession, folder: str) -> DataFrame:
     return _protected(spark, folder, 2)
 
 
+def _pick(words: list[str], column: str, number: int) -> str:
+    unit = sql_unit("c_custkey", Context(seed=3).seed_for(column) + number)
+    return f"{sql_list(words)}[CAST(floor({unit} * {len(words)}) AS BIGINT) + 1]"
+
+
+def _between(column: str, source: str) -> str:
+    unit = sql_unit("c_custkey", Context(seed=3).seed_for(column))
+    low, high = (f"(SELECT {f}({source}) FROM customer)" for f in ("min", "max"))
+    return f"{low} + {unit} * ({high} - {low})"
+
+
 @query(
     "i05_anonymise_3",
-    "SELECT count(*) AS rows, true AS named, true AS contacts, true AS inside, "
-    "count(DISTINCT c_mktsegment) AS segments FROM customer",
+    f"SELECT CAST(round({_between('c_custkey', 'c_custkey')}) AS BIGINT) AS c_custkey, "
+    f"{_pick(fixed.FIRST_NAMES, 'kunde', 1)} || ' ' || {_pick(fixed.LAST_NAMES, 'kunde', 2)} AS kunde, "
+    f"lower({_pick(fixed.FIRST_NAMES, 'contact', 1)}) || '.' || lower({_pick(fixed.LAST_NAMES, 'contact', 2)}) "
+    f"|| '@' || {_pick(fixed.DOMAINS, 'contact', 3)} AS contact, "
+    f"lpad(CAST(CAST(floor({sql_unit('c_custkey', Context(seed=3).seed_for('plz') + 1)} * 100000) AS BIGINT) "
+    "AS VARCHAR), 5, '0') AS plz, "
+    f"round(round({_between('betrag', 'c_acctbal')}, 2), 1) AS betrag, c_mktsegment AS kategorie FROM customer",
 )
 def anonymise_3(spark: SparkSession, folder: str) -> DataFrame:
-    """Everything drawn at random: forms and ranges stay, values do not."""
-    before = _small(spark, folder)
-    out = protection.anonymise(before, 3, salt="pepper", seed=3)
-    lo, hi = before.agg(F.min("betrag")).scalar(), before.agg(F.max("betrag")).scalar()
-    return out.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bool_and(F.col("kunde").rlike(r"\A\S+ \S+\z")).alias("named"),
-        F.bool_and(F.col("contact").rlike(r"\A\S+@\S+\z")).alias("contacts"),
-        F.bool_and((F.col("betrag") >= F.round(lo, 2)) & (F.col("betrag") <= F.round(hi, 2))).alias("inside"),
-        F.count_distinct("kategorie").alias("segments"),
-    )
+    """Everything drawn at random, by the key of the row before it was replaced."""
+    out = protection.anonymise(_small(spark, folder), 3, salt="pepper", seed=3, key=("c_custkey",))
+    return out.withColumn("betrag", F.round("betrag", 1))
 
 
 @query(

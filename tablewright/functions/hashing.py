@@ -17,10 +17,16 @@ def draw(text: Column, modulus: int | Column, salt: str = "", suffix: str = "")
     return F.pmod(hash60(text, salt, suffix), size.cast("bigint"))
 
 
-def random_draw(modulus: int | Column, seed: int) -> Column:
-    """A whole number in 0 .. modulus-1 drawn per row."""
+def random_unit(key: Column, seed: int) -> Column:
+    """A double in 0 .. 1 (open) with 52 random bits, drawn per row key: no state, so any task draws alike."""
+    bits = F.substring(F.md5(F.concat(key, F.lit(f"|{seed}"))), 1, 13)
+    return F.conv(bits, 16, 10).cast("bigint") / F.lit(2.0**52)
+
+
+def random_draw(key: Column, modulus: int | Column, seed: int) -> Column:
+    """A whole number in 0 .. modulus-1 drawn per row key."""
     size = F.lit(modulus) if isinstance(modulus, int) else modulus
-    return F.least(F.floor(F.rand(seed) * size), size - 1).cast("bigint")
+    return F.least(F.floor(random_unit(key, seed) * size), size - 1).cast("bigint")
 
 
 def unit(text: Column, salt: str = "") -> Column:

@@ -60,6 +60,8 @@ def _text_by_type(c: Column, dtype) -> Column:
 
 def step_impact(df: DataFrame, step: S.Step, ctx: S.Context, no: int = 0) -> DataFrame:
     """One row of counts for `step` over the table before it."""
+    if step.random:
+        df = ctx.with_row_key(df)
     total = F.count(F.lit(1))
     if step.impact in ROW_LOCAL:
         counts = df.agg(total.alias("total"), *_row_local_counts(df, step, ctx, ""))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions import casts, patterns
 from tablewright.functions.columns import all_of, col, number_of, replace_column, text_of
-from tablewright.functions.hashing import draw, random_draw, unit
+from tablewright.functions.hashing import draw, random_draw, random_unit, row_hash, unit
 from tablewright.operators import synth
 from tablewright.operators.distributed import (
     hash_order,
@@ -27,14 +27,36 @@ from tablewright.operators.distributed import (
 
 
 ROW_BLOCKS = 65_536
+ROW_KEY = "_row_key"
 
 
 @dataclass(frozen=True)
 class Context:
-    """What all steps of a pipeline share: the salt and the seed of random draws."""
+    """What all steps of a pipeline share: the salt, the seed of random draws and the key of a row.
+
+    A draw depends on the seed, the column and the row's key alone, so equal tables draw alike however
+    they are partitioned, and a task that runs again draws the same.
+    """
 
     salt: str = ""
     seed: int = 0
+    key: tuple[str, ...] = ()
+
+    def row_key(self, df: DataFrame) -> Column:
+        """The key that `with_row_key` gave; on streams, and where rows are only counted, the row itself."""
+        if ROW_KEY in df.columns:
+            return col(ROW_KEY)
+        return self._named(df) if self.key else row_hash([col(c) for c in df.columns])
+
+    def _named(self, df: DataFrame) -> Column:
+        parts = [F.coalesce(text_of(df, k), F.lit("")) for k in self.key]
+        return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+
+    def with_row_key(self, df: DataFrame) -> DataFrame:
+        """Adds the key of each row for random draws: the key columns, else the row and the number of its copy."""
+        if self.key:
+            return df.withColumn(ROW_KEY, self._named(df))
+        return df if df.isStreaming else with_row_id(df, ROW_KEY)
 
     def seed_for(self, name: str) -> int:
         """A seed of its own per column."""
@@ -270,7 +292,7 @@ class NumNoise(Step):
     def cell(self, df: DataFrame, ctx: Context) -> Column:
         base = number_of(df, self.column)
         if self.random:
-            step = F.rand(ctx.seed_for(self.column)) * 2 - 1
+            step = random_unit(ctx.row_key(df), ctx.seed_for(self.column)) * 2 - 1
         else:
             step = unit(text_of(df, self.column), ctx.salt)
         amount = F.lit(float(self.amount))
@@ -302,9 +324,8 @@ class NumRandom(Step):
         return True
 
     def cell(self, df: DataFrame, ctx: Context) -> Column:
-        value = F.lit(float(self.min)) + F.rand(ctx.seed_for(self.column)) * float(
-            self.max - self.min
-        )
+        drawn = random_unit(ctx.row_key(df), ctx.seed_for(self.column))
+        value = F.lit(float(self.min)) + drawn * float(self.max - self.min)
         value = F.round(value).cast("bigint") if self.whole else F.round(value, 2)
         return F.when(col(self.column).isNotNull(), value)
 
@@ -391,7 +412,7 @@ class Synth(Step):
 
     def cell(self, df: DataFrame, ctx: Context) -> Column:
         if self.random:
-            source = synth.randomly(ctx.seed_for(self.column))
+            source = synth.randomly(ctx.row_key(df), ctx.seed_for(self.column))
         else:
             source = synth.deterministic(text_of(df, self.column), ctx.salt)
         return F.when(col(self.column).isNotNull(), synth.synthetic(self.category, source))
@@ -471,23 +492,24 @@ class Shuffle(Step):
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
         if not self.random:
             return synth.apply_map(df, self.column, self.mapping(df, ctx), "new", "cnt")
-        return shuffle_rows(df, [self], ctx)
+        keyed = df if ROW_KEY in df.columns else ctx.with_row_key(df)
+        return shuffle_rows(keyed, [self], ctx).select(*[col(c) for c in df.columns])
 
 
 def shuffle_rows(df: DataFrame, steps: list[Shuffle], ctx: Context) -> DataFrame:
     """Random shuffles of several columns: draw all positions, write them out once, look up.
 
-    A draw decides where a row goes in the shuffle, so it is settled before
-    any lookup; a re-run task then finds the same draws.
+    The rows are read twice by each lookup, which the written copy makes cheap.
     """
     names = df.columns
+    key = ctx.row_key(df)
     pools = [s.pool(df) for s in steps]
     sizes = [s._sizes(p, per_row=True) for s, p in zip(steps, pools)]
     drawn = df.withColumns(
         {
             f"_draw{i}": F.when(
                 col(s.column).isNotNull(),
-                random_draw(total, ctx.seed_for(s.column)),
+                random_draw(key, total, ctx.seed_for(s.column)),
             )
             for i, (s, (total, _)) in enumerate(zip(steps, sizes))
         }

@@ -33,13 +33,13 @@ def deterministic(text: Column, salt: str) -> Draw:
     return lambda suffix, modulus: draw(text, modulus, salt, suffix)
 
 
-def randomly(seed: int) -> Draw:
-    """Fresh draws per row; the seed moves on with every draw."""
+def randomly(key: Column, seed: int) -> Draw:
+    """Draws per row key; the seed moves on with every draw."""
     state = [seed]
 
     def one(_suffix: str, modulus: int) -> Column:
         state[0] += 1
-        return random_draw(modulus, state[0])
+        return random_draw(key, modulus, state[0])
 
     return one
 

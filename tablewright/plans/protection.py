@@ -111,10 +111,15 @@ def plan(df: DataFrame, level: int, findings: Findings | None = None) -> list[S.
 
 
 def anonymise(
-    df: DataFrame, level: int, salt: str = "", seed: int = 0, findings: Findings | None = None
+    df: DataFrame,
+    level: int,
+    salt: str = "",
+    seed: int = 0,
+    findings: Findings | None = None,
+    key: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The table cleaned and protected at a level."""
-    return Pipeline(plan(df, level, findings), salt, seed).apply(df)
+    """The table cleaned and protected at a level; `key` names the columns that tell rows apart."""
+    return Pipeline(plan(df, level, findings), salt, seed, key).apply(df)
 
 
 def apply_level(
@@ -129,7 +134,7 @@ def apply_level(
         for s in plan(df, level, findings)
         if s.anonymises or (s.kind, getattr(s, "column", "")) not in present
     ]
-    return Pipeline([*kept, *new], pipeline.salt, pipeline.seed)
+    return Pipeline([*kept, *new], pipeline.salt, pipeline.seed, pipeline.key)
 
 
 def review(

@@ -199,3 +199,38 @@ def test_impacts_in_one_pass_match_single_ones(spark):
     together = [tuple(r) for r in impact.impacts(plan, df).orderBy("step_no").collect()]
     single = [tuple(impact.impact(plan, df, i).first()) for i in range(5)]
     assert together == single
+
+
+RANDOM_STEPS = [S.Synth("name", "email", "rand"), S.NumNoise("x", 0.1, "rand", relative=True),
+                S.NumRandom("y", 0, 9), S.Shuffle("city", "rand"), S.Shuffle("name2", "rand")]
+
+
+@pytest.mark.parametrize("key", [(), ("id",)])
+def test_random_draws_do_not_depend_on_partitions(spark, key):
+    """2 and 64 partitions draw alike, copies of a row draw apart, another seed draws anew."""
+    rows = [(i, f"n{i % 7}", f"m{i % 5}", float(i % 3), 1.0, f"c{i % 11}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, name string, name2 string, x double, y double, city string")
+    if not key:
+        df = df.drop("id")
+
+    def drawn(parts, seed=4):
+        return sorted(map(tuple, Pipeline(RANDOM_STEPS, seed=seed, key=key).apply(df.repartition(parts)).collect()))
+
+    two = drawn(2)
+    assert two == drawn(64) and two != drawn(2, seed=5) and len(two) == 300
+    assert len({r[-2] for r in two}) > 100  # values of y, though all rows with one content are copies
+
+
+def test_random_steps_between_others(spark):
+    rows = [(1, "a", 5.0), (1, "a", 5.0), (2, "b", 6.0)]
+    df = spark.createDataFrame(rows, "id long, name string, x double")
+    out = Pipeline([S.NumRandom("x", 0, 1), S.DedupExact(), S.NumRandom("x", 10, 11)], seed=1).apply(df)
+    assert out.columns == ["id", "name", "x"] and out.count() == 3
+    assert out.where("x NOT BETWEEN 10 AND 11").isEmpty()
+
+
+def test_random_draws_fill_the_range(spark):
+    df = spark.range(4000).select(F.col("id"), F.lit(1.0).alias("x"))
+    out = Pipeline([S.NumRandom("x", -100, 300)], seed=2, key=("id",)).apply(df)
+    low, high, mean = out.agg(F.min("x"), F.max("x"), F.avg("x")).first()
+    assert -100 <= low < -99 and 299 < high <= 300 and 94 < mean < 106
