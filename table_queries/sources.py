@@ -61,6 +61,34 @@ def csv_skip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(big("c_custkey", "c_custkey"), "c_name", F.col("c_acctbal").cast("double"))
 
 
+@query("a02_csv_headings", "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+def csv_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one folder whose headings hold the same names in another order."""
+    customer = load(spark, folder, "customer")
+    names = ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]
+    path = scratch(spark)
+    for i in range(3):
+        part = customer.where(F.col("c_custkey") % 3 == i).select(*names[i:], *names[:i])
+        writers.write_csv(part, path, mode="append")
+    back = readers.read_csv(spark, path)
+    return back.select(big("c_custkey", "c_custkey"), "c_name", "c_mktsegment", "c_acctbal")
+
+
+@query(
+    "a02_csv_skip_line_breaks",
+    "SELECT doc_id, text, n_chars FROM documents",
+)
+def csv_skip_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines to skip before cells with line breaks, read in byte ranges."""
+    docs = load(spark, folder, "documents")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = docs.select(F.concat_ws(",", "doc_id", F.coalesce(quoted, F.lit("")), "n_chars").alias("value"))
+    path = scratch(spark)
+    writers.wrapped(lines, 'said "once\nprinted today\ndoc_id,text,n_chars').write.text(path)
+    back = readers.read_csv(spark, path, readers.CsvOptions(skip=2, nulls=()))
+    return back.select(big("doc_id", "doc_id"), "text", big("n_chars", "n_chars"))
+
+
 @query("a02_csv_line_breaks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     """Cells with line breaks, written and read with default options."""
@@ -164,6 +192,39 @@ def json_nested(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_json_nested(spark, path).select("event_id", "what", "part")
 
 
+RANGES = 100_000  # bytes: small enough that the test tables fill several ranges
+
+
+@query("a05_json_ranges", "SELECT event_id, event_type, props, user_id FROM events")
+def json_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """One file with one array, read by many tasks; strings hold quotes and brackets."""
+    events = load(spark, folder, "events").select("event_id", "event_type", "props", "user_id")
+    path = scratch(spark)
+    writers.write_json_array(events, path, single_file=True)
+    return readers.read_json_array(spark, path, range_bytes=RANGES).select(
+        "event_id", "event_type", "props", "user_id"
+    )
+
+
+@query(
+    "a06_json_nested_ranges",
+    "SELECT o_orderkey, o_orderpriority, struct_pack(status := o_orderstatus, price := o_totalprice).status "
+    "AS status, o_totalprice AS price FROM orders",
+)
+def json_nested_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """One document whose longest array of objects is found and read by many tasks."""
+    inner = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderpriority", inner.alias("of"))
+    path = scratch(spark)
+    head = ['{"note": "a [ or { in a string", "few": [{"x": 1}, {"x": 2}],', ' "data": {"orders": [']
+    lines = writers.one_partition(writers.json_lines(orders))
+    writers.wrapped(lines, head, [']}, "end": [1, 2, 3]}'], ",").write.text(path)
+    found = readers.read_json_nested(spark, path, range_bytes=RANGES)
+    return found.select(
+        "o_orderkey", "o_orderpriority", F.col("of.status").alias("status"), F.col("of.price").alias("price")
+    )
+
+
 @query("a07_read_many", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey FROM customer")
 def read_many(spark: SparkSession, folder: str) -> DataFrame:
     customer = load(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
@@ -363,6 +424,25 @@ def write_csv(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "b02_csv_blanks",
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || p_name WHEN 2 THEN "
+    "p_name || ' ' || chr(9) WHEN 3 THEN chr(10) WHEN 4 THEN chr(13) || chr(10) || 'x' END AS note FROM part",
+)
+def csv_blanks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blanks and line breaks in cells come back as they were; empty cells are NULL."""
+    kind = F.col("p_partkey") % 6
+    note = (
+        F.when(kind == 0, "  ").when(kind == 1, F.concat(F.lit(" "), "p_name"))
+        .when(kind == 2, F.concat("p_name", F.lit(" \t"))).when(kind == 3, "\n")
+        .when(kind == 4, "\r\nx").when(F.col("p_partkey") % 4 == 1, "")
+    )
+    path = scratch(spark)
+    writers.write_csv(load(spark, folder, "part").select("p_partkey", note.alias("note")), path)
+    back = readers.read_csv(spark, path)
+    return back.select(big("p_partkey", "p_partkey"), "note")
+
+
 @query(
     "b03_write_ndjson",
     "SELECT o_orderkey, CAST(o_orderkey + 9007199254740993 AS VARCHAR) AS large, "

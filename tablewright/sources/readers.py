@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tablewright.functions.casts import convert, java_pattern, parse_temporal
 from tablewright.functions.columns import col
+from tablewright.sources import ranges
+from tablewright.sources.csv_ranges import csv_heads, csv_records
 from tablewright.sources.footer import parquet_file_metadata
 from tablewright.sources.files import (
     _width,
@@ -18,10 +19,12 @@ from tablewright.sources.files import (
     list_files,
     open_quote,
     read_heads,
+    spread,
 )
 
 COMBINABLE = ("csv", "parquet", "json", "ndjson")
 BAD_ROW = "_bad_row"
+FIRST_LOOK = 1000  # rows that rule out types before all rows are tested
 
 
 @dataclass(frozen=True)
@@ -55,10 +58,10 @@ class CsvOptions:
             row = ways[0].asDict()
             for other in ways[1:]:
                 agree = other["date_format"] in ("", row["date_format"]) and all(
-                    other[k] == row[k] for k in ("delim", "encoding") if k not in overrides
+                    other[k] == row[k] for k in ("delim", "encoding", "header") if k not in overrides
                 )
                 if not agree:
-                    theirs = {k: other[k] for k in ("delim", "encoding", "date_format")}
+                    theirs = {k: other[k] for k in ("delim", "encoding", "header", "date_format")}
                     raise ValueError(
                         f"{other['path']} is written differently from {row['path']}: {theirs}"
                     )
@@ -76,10 +79,32 @@ def read_ndjson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.json(paths)
 
 
-def read_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_json_array(
+    spark: SparkSession, paths: str | list[str], range_bytes: int = ranges.RANGE
+) -> DataFrame:
+    """The objects of JSON arrays; a file of more than `range_bytes` is read in ranges of that size.
+
+    Smaller files, files that hold no array at the top or NULLs in it, and broken ones go to Spark's
+    reader whole.
+    """
+    if _in_ranges(spark, paths, b"[", range_bytes):
+        states = ranges.json_states(spark, paths, range_bytes)
+        rows = ranges.parsed_rows(ranges.array_rows(states, ()))
+        objects = rows is not None and isinstance(rows.schema["row"].dataType, T.StructType)
+        if objects and rows.where("row IS NULL").isEmpty():
+            return rows.select("row.*")
     return spark.read.option("multiLine", True).json(paths)
 
 
+def _in_ranges(spark: SparkSession, paths: str | list[str], mark: bytes, size: int) -> bool:
+    """Whether there is a file of more than `size` bytes, and all begin with `mark`."""
+    files = list_files(spark, paths)
+    largest = files.agg(F.max("bytes")).first()[0]
+    if (largest or 0) <= size:
+        return False
+    return ranges.starts_with(spread(files), mark).where("NOT fits").isEmpty()
+
+
 # ---------------------------------------------------------------- nested JSON
 
 
@@ -113,23 +138,42 @@ def longest_array_path(df: DataFrame) -> str | None:
 
 
 def read_json_nested(
-    spark: SparkSession, paths: str | list[str], json_path: str | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    json_path: str | None = None,
+    range_bytes: int = ranges.RANGE,
 ) -> DataFrame:
     """Rows that lie under a dotted path (a.b[0].c) of a JSON document; `a.b` in backticks is one key.
 
-    Without a path the longest array of objects is taken.  One file is one
-    task, as with every multi-line JSON reader.
+    Without a path the longest array of objects is taken.  A document of more than `range_bytes` is
+    read in ranges of that size, unless the path has a place ([0]): then one file is one task.
     """
+    steps = [q or p for q, p, _ in _path_steps(json_path)] if json_path else None
+    places = any(i for *_, i in _path_steps(json_path)) if json_path else False
+    if not places and _in_ranges(spark, paths, b"{", range_bytes):
+        states = ranges.json_states(spark, paths, range_bytes)
+        names = tuple(steps) if steps else ranges.longest_array(states)
+        rows = ranges.parsed_rows(ranges.array_rows(states, names)) if names else None
+        if rows is not None:
+            if isinstance(rows.schema["row"].dataType, T.StructType):
+                return rows.select("row.*")
+            return rows.withColumnRenamed("row", "value")
     return explode_path(spark.read.option("multiLine", True).json(paths), json_path)
 
 
+def _path_steps(json_path: str | None) -> list[tuple[str, str, str]]:
+    """(quoted key, plain key, place) of each step of a path."""
+    path = re.sub(r"^\$\.?", "", json_path or "")
+    return re.findall(r"(?:`([^`]+)`|([^.\[`]+))(?:\[(\d+)\])?", path)
+
+
 def explode_path(df: DataFrame, json_path: str | None = None) -> DataFrame:
     """The rows under `json_path` of a DataFrame of documents."""
     path = re.sub(r"^\$\.?", "", json_path or "") or longest_array_path(df)
     if path is None:
         return df
     node = None
-    for quoted, plain, index in re.findall(r"(?:`([^`]+)`|([^.\[`]+))(?:\[(\d+)\])?", path):
+    for quoted, plain, index in _path_steps(path):
         name = quoted or plain
         node = col(name) if node is None else node.getField(name)
         if index:
@@ -154,9 +198,13 @@ def _text_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
         "columnPruning": False,  # a row is judged by all its cells, whichever are selected
     }
+    packed_words = o.encoding.lower().startswith("utf-16")
+    multiline = False if o.skip and not packed_words else _multiline(spark, paths, o)
+    if (o.skip or multiline) and not packed_words:
+        return _ranged_csv(spark, paths, o)
     if o.skip:
-        return _skipped_csv(spark, paths, o)
-    settings["multiLine"] = _multiline(spark, paths, o)
+        raise ValueError("skip needs an encoding with one-byte line ends")
+    settings["multiLine"] = multiline
     names = spark.read.options(**settings).csv(paths).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
     reader = spark.read.options(**settings, columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True)
@@ -182,43 +230,61 @@ def _encoding(name: str) -> str:
     return {"latin-1": "ISO-8859-1", "windows-1252": "ISO-8859-1"}.get(name, name.upper())
 
 
-def _skipped_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame:
-    """CSV whose files start with lines to skip.
+def _named_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame:
+    """`_text_csv` over files whose headings hold the same names, in whatever order.
 
-    Lines are read as text; the first lines of a file are the lowest line ids
-    of its first split.
+    Files are read by heading and put together by name; a file that lacks a column or has one more is
+    an error that names it.
     """
-    if _multiline(spark, paths, o):
-        raise ValueError("skip works line by line and cannot go with multi-line cells")
-    lines = (
-        spark.read.text(paths)
-        if o.encoding == "utf-8"
-        else spark.read.schema("value string")
-        .options(sep="\u0001", quote="", encoding=_encoding(o.encoding))
-        .csv(paths)
-    )
-    lines = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    head = o.skip + int(o.header)
-    starts = lines.where("_split = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
-    body = lines.join(starts, "_file")
-    body = body.where((F.col("_split") > 0) | (F.col("_line") >= F.col("_first") + head))
-    first = read_heads(list_files(spark, paths)).orderBy("path").select("head").first()[0]
-    top = re.split(r"\r?\n", first)[o.skip]
-    cells = next(csv.reader([top], delimiter=o.delim, quotechar=o.quote or None))
-    names = cells if o.header else [f"_c{i}" for i in range(len(cells))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
+    if not o.header:
+        return _text_csv(spark, paths, o)
+    heads = csv_heads(
+        list_files(spark, paths), o.delim, o.quote, _encoding(o.encoding), o.skip, True
+    ).where("size(names) > 0")
+    ways = heads.groupBy("names").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if len(ways) < 2:
+        return _text_csv(spark, paths, o)
+    first = ways[0]
+    for way in ways[1:]:
+        if sorted(way["names"]) != sorted(first["names"]):
+            raise ValueError(
+                f"{way['path']} has the columns {way['names']}, {first['path']} has {first['names']}"
+            )
+    if len(set(first["names"])) < len(first["names"]):
+        raise ValueError(f"{ways[1]['path']} and {first['path']} order columns of the same name differently")
+    parts = []
+    for way in ways:
+        alike = heads.where(F.col("names") == F.array(*map(F.lit, way["names"])))
+        part = _text_csv(spark, [r["path"] for r in alike.select("path").collect()], o)
+        parts.append(part.toDF(*unique_names(way["names"]), BAD_ROW))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _ranged_csv(spark: SparkSession, paths: list[str], o: CsvOptions) -> DataFrame:
+    """CSV with line breaks in cells or lines to skip, in byte ranges that find out how they begin."""
+    format_ = (o.delim, o.quote, _encoding(o.encoding))
+    heads = csv_heads(list_files(spark, paths), *format_, o.skip, o.header)
+    names = heads.where("size(names) > 0").orderBy("path").select("names").first()
+    names = unique_names(names[0]) if names else ["_c0"]
     parsed = F.from_csv(
         "value",
-        ", ".join(f"`{f.name}` string" for f in schema.fields),
-        {"sep": o.delim, "quote": o.quote, "escape": o.quote, "mode": "PERMISSIVE",
+        ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, BAD_ROW]),
+        {"sep": o.delim, "quote": o.quote, "escape": o.quote, "mode": "PERMISSIVE", "multiLine": "true",
+         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
          "columnNameOfCorruptRecord": BAD_ROW},
     )
-    return body.where(F.col("value") != "").select(parsed.alias("r")).select("r.*")
+    return csv_records(heads, *format_).select(parsed.alias("r")).select("r.*")
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """Headings as Spark's reader names columns: empty ones by place, equal ones (but for case) numbered."""
+    low = [n.lower() for n in names]
+    return [
+        f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)
+    ]
 
 
 def infer_types(
@@ -256,18 +322,26 @@ def _infer(
             time.isNotNull(),
         ]
 
-    aggs = [F.count_if(~keep).alias("left_out")]
-    for i, n in enumerate(names):
-        c = F.when(keep, col(n))
-        aggs.append(F.count(c).alias(f"n{i}"))
-        aggs += [F.count_if(k).alias(f"k{i}_{j}") for j, k in enumerate(checks(c))]
-    s = df.agg(*aggs).first()
     kinds = ("BIGINT", "DOUBLE", "BOOLEAN", "DATE", "TIMESTAMP")
-    out = {}
-    for i, n in enumerate(names):
-        fits = [k for j, k in enumerate(kinds) if s[f"n{i}"] and s[f"k{i}_{j}"] == s[f"n{i}"]]
-        out[n] = fits[0] if fits else "VARCHAR"
-    return out, s["left_out"]
+
+    def fitting(rows: DataFrame, open_kinds: dict[str, list[str]]) -> tuple[Row, dict[str, list[str]]]:
+        """Counts, and per column those of its open kinds that all its values fit."""
+        aggs = [F.count_if(~keep).alias("left_out")]
+        for i, n in enumerate(names):
+            c = F.when(keep, col(n))
+            tests = dict(zip(kinds, checks(c)))
+            aggs.append(F.count(c).alias(f"n{i}"))
+            aggs += [F.count_if(tests[k]).alias(f"k{i}_{k}") for k in open_kinds[n]]
+        s = rows.agg(*aggs).first()
+        return s, {
+            n: [k for k in open_kinds[n] if s[f"k{i}_{k}"] == s[f"n{i}"]] for i, n in enumerate(names)
+        }
+
+    # one value that does not fit rules a type out: a look at some rows leaves few types to test on all
+    _, still = fitting(df.limit(FIRST_LOOK), {n: list(kinds) for n in names})
+    s, still = fitting(df, still)
+    filled = {n: s[f"n{i}"] for i, n in enumerate(names)}
+    return {n: still[n][0] if still[n] and filled[n] else "VARCHAR" for n in names}, s["left_out"]
 
 
 def cast_types(df: DataFrame, kinds: dict[str, str], decimal: str, date_format: str) -> DataFrame:
@@ -304,13 +378,15 @@ def read_csv(
 ) -> DataFrame:
     """A CSV or TSV table.  Options left out are detected, types left out inferred (one pass).
 
+    Columns of several files go together by the names in their headings; files that do not have the
+    same names are an error.
     Rows with fewer cells are padded with NULL, rows with too many are skipped;
     the pass that infers types also counts the latter, so a clean file is then
     read without the check.  With `strict`, such rows are an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     o = options or CsvOptions.detect(spark, paths)
-    raw = _text_csv(spark, paths, o)
+    raw = _named_csv(spark, paths, o)
     names = [c for c in raw.columns if c != BAD_ROW]
     fits = _fits(names, o)
     if o.nulls:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,11 @@ def write_csv(
     gzip: bool = False,
     mode: str = "errorifexists",
 ) -> None:
-    """CSV with quotes doubled inside quotes; nested cells are written as JSON."""
+    """CSV with quotes doubled inside quotes; nested cells are written as JSON.
+
+    Blanks at the ends of cells are kept.  A table of one column has its cells in quotes, as readers
+    pass over lines of nothing but blanks.
+    """
     flat = df.select(
         *[
             text_of(df, f.name).alias(f.name)
@@ -55,7 +60,10 @@ def write_csv(
             for f in df.schema.fields
         ]
     )
-    options = {"sep": delim, "header": header, "escape": '"', "emptyValue": ""}
+    options = {
+        "sep": delim, "header": header, "escape": '"', "emptyValue": "", "quoteAll": len(df.columns) == 1,
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
     if gzip:
         options["compression"] = "gzip"
     flat.write.mode(mode).options(**options).csv(path)
@@ -276,21 +284,53 @@ def write_html(
 def write_table(df: DataFrame, name: str, mode: str = "replace") -> int:
     """Write to a table of the catalog and return the rows it then holds.
 
-    create fails when the table is present.  replace writes beside an existing
-    table first, so a result that reads the table it replaces is safe.
+    create fails when the table is present.  replace writes the new rows beside the old ones, so a
+    result may read the table it replaces, and then swaps them in one step of the catalog: a staged
+    replacement where the catalog has that, else a new location.  Whatever fails before leaves the old
+    rows.  Only a session catalog's table whose columns change needs two renames, between which its rows
+    stand under another name, which the error tells.
     """
     spark = df.sparkSession
     if mode == "append":
         df.write.mode("append").saveAsTable(name)
     elif mode == "create" or not spark.catalog.tableExists(name):
         df.write.mode("errorifexists").saveAsTable(name)
-    elif mode == "replace":
-        beside = f"{name}_{uuid.uuid4().hex}"
-        old = f"{beside}_old"
-        df.write.mode("errorifexists").saveAsTable(beside)
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")  # its rows stay until the new table stands
-        spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
-        spark.sql(f"DROP TABLE {old}")
-    else:
+    elif mode != "replace":
         raise ValueError(f"mode {mode} is none of replace, create, append")
+    elif spark.catalog.getTable(name).catalog != "spark_catalog":
+        df.writeTo(name).createOrReplace()
+    else:
+        _replace(df, name)
     return spark.table(name).count()
+
+
+def _columns(schema: T.StructType) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
+def _replace(df: DataFrame, name: str) -> None:
+    spark = df.sparkSession
+    details = {
+        r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    }
+    tag = uuid.uuid4().hex
+    plain = "# Partition Information" not in details and details.get("Provider") == "parquet"
+    if plain and _columns(spark.table(name).schema) == _columns(df.schema):
+        old = details["Location"]
+        new = f"{re.sub('-[0-9a-f]{32}$', '', old.rstrip('/'))}-{tag}"
+        df.write.mode("errorifexists").parquet(new)
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{new}'")
+        spark.catalog.refreshTable(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return
+    beside = f"{name}_{tag}"
+    old = f"{beside}_old"
+    df.write.mode("errorifexists").saveAsTable(beside)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")  # its rows stay until the new table stands
+    try:
+        spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    except Exception as error:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise RuntimeError(f"{name} keeps its old rows, the new ones are in {beside}") from error
+    spark.sql(f"DROP TABLE {old}")

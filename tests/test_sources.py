@@ -168,6 +168,39 @@ def test_write_table_modes(spark):
     spark.sql("DROP TABLE modes")
 
 
+def test_replacing_a_table_keeps_its_rows_until_the_swap(spark, monkeypatch):
+    """A failure while writing, or at the step that swaps, leaves the old rows under the old name."""
+    writers.write_table(spark.range(5), "kept", "create")
+    real = type(spark).sql
+
+    def failing(word):
+        def sql(self, text, *args, **kwargs):
+            if word in text:
+                raise RuntimeError("lost")
+            return real(self, text, *args, **kwargs)
+
+        return sql
+
+    for word, new in (("SET LOCATION", spark.range(9)), ("RENAME TO kept", spark.range(9).withColumn("x", F.lit(1)))):
+        monkeypatch.setattr(type(spark), "sql", failing(word))
+        with pytest.raises(RuntimeError):
+            writers.write_table(new, "kept", "replace")
+        monkeypatch.setattr(type(spark), "sql", real)
+        if word == "SET LOCATION":
+            assert spark.table("kept").count() == 5
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    spark.sql("DROP TABLE IF EXISTS kept")
+    writers.write_table(spark.range(5), "kept", "create")
+    with pytest.raises(Exception, match="no"):
+        writers.write_table(broken, "kept", "replace")
+    assert spark.table("kept").count() == 5
+    for n in (4, 7):
+        assert writers.write_table(spark.table("kept").union(spark.range(n)), "kept", "replace") == (9 if n == 4 else 16)
+    assert writers.write_table(spark.table("kept").withColumn("y", F.lit("z")), "kept", "replace") == 16
+    assert spark.table("kept").columns == ["id", "y"]
+    spark.sql("DROP TABLE kept")
+
+
 def test_catalog_names(spark):
     c = Catalog(spark)
     names = [c.register(n, spark.range(1)) for n in ("My File.parquet", "my-file", "2024", "äö", "data")]
@@ -247,3 +280,67 @@ def test_settlement_edges(spark):
         (1, "none", 0.0), (2, "single", 0.0), (3, "arrival", 51.2), (3, "full", 64.0), (3, "departure", 51.2),
     ]
     assert days[1].reduction == 28.0
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,x\n")
+    write(tmp_path / "b.csv", "b,a\ny,3\n")
+    write(tmp_path / "c.csv", "")
+    df = readers.read_csv(spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in df.collect()) == [(1, "x"), (3, "y")]
+    multi = readers.CsvOptions(multiline=True)
+    assert sorted((r.a, r.b) for r in readers.read_csv(spark, str(tmp_path), multi).collect()) == [(1, "x"), (3, "y")]
+    for name, text in (("d", "a\n4\n"), ("e", "a,b,c\n4,z,5\n"), ("f", "a,B\n4,z\n")):
+        odd = write(tmp_path / f"{name}.csv", text)
+        paths = [str(tmp_path / f"{n}.csv") for n in ("a", "b")] + [odd]
+        with pytest.raises(ValueError, match=f"{name}.csv has the columns"):
+            readers.read_csv(spark, paths, readers.CsvOptions())
+    odd = write(tmp_path / "g.csv", "1,2\n3,4\n")
+    with pytest.raises(ValueError, match="written differently"):
+        readers.read_csv(spark, [str(tmp_path / "a.csv"), odd])
+
+
+def test_csv_columns_by_name_in_two_byte_files(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,é\n", "utf-16")
+    write(tmp_path / "b.csv", "b,a\nü,3\n", "utf-16")
+    df = readers.read_csv(spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in df.collect()) == [(1, "é"), (3, "ü")]
+
+
+@pytest.mark.parametrize("cells", [["  ", " x ", "\t", "\n", "\r\n", " \n ", "a", None, "q\" "]])
+def test_csv_keeps_blanks(spark, tmp_path, cells):
+    two = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    writers.write_csv(two.repartition(3), str(tmp_path / "two"))
+    assert {r.i: r.c for r in readers.read_csv(spark, str(tmp_path / "two")).collect()} == dict(enumerate(cells))
+    one = two.where("c IS NOT NULL").select("c")
+    writers.write_csv(one, str(tmp_path / "one"))
+    back = readers.read_csv(spark, str(tmp_path / "one"), types={"c": "VARCHAR"})
+    assert sorted(r.c for r in back.collect()) == sorted(c for c in cells if c is not None)
+
+
+def test_markdown_time_grows_with_the_lines(spark):
+    """Twice the lines, at most 2.5 times the time; many tables, one long table, repeated names."""
+    import time
+
+    def seconds(n):
+        text = "| k | k |\n|---|---|\n" + "| a | b |\n" * n + "\n" + "a|b\n-|-\n1|2\n\n" * (n // 8)
+        start = time.perf_counter()
+        found = list(markup._pipe_tables(text))
+        took = time.perf_counter() - start
+        assert len(found) == 1 + n // 8 and len(found[0][2]) == n and found[0][1] == ["k", "k_2"]
+        return took
+
+    seconds(1000)
+    small = min(seconds(16_000) for _ in range(3))
+    assert min(seconds(32_000) for _ in range(3)) <= 2.5 * small
+    df = spark.createDataFrame([(1, "|a|\n|-|\n" + "|x|\n" * 16_000)], "id long, t string")
+    assert markup.extract_markdown_tables(df, "id", "t").count() == 16_000
+
+
+def test_markdown_lines_between_tables(spark):
+    text = "# T #\n\na|b\n---\nno pipe\n\n## Next\ntext\nx|y\n-|-\nlast|row\nc|d\n-\n\\|e|\n|-|\n"
+    df = spark.createDataFrame([(None, text), (2, None), (3, "")], "id long, t string")
+    got = [(r.id, r.table_no, r.name, r.header, r.value)
+           for r in markup.extract_markdown_tables(df, "id", "t").orderBy("table_no", "row_no", "col_no").collect()]
+    assert got == [(None, 2, "Table 2", "x", "last"), (None, 2, "Table 2", "y", "row"),
+                   (None, 2, "Table 2", "x", "c"), (None, 2, "Table 2", "y", "d")]
