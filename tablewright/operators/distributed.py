@@ -9,20 +9,25 @@ from __future__ import annotations
 
 import math
 import struct
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.functions.columns import col, orderable
 from tablewright.functions.hashing import row_hash
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
 HEX_DIGITS = 3  # hash buckets: 16 ** 3, which bounds every offset table
 MAX_BUCKETS = 4096
 HOT_SHARE = 1000  # a key is hot from 1/1000 of all rows on, so at most 1000 keys are
 COPY_CHUNK = 10_000
 BLOCK_CHUNK = 65_536
-LEAST_NORMAL = 2.0**-1022  # smaller doubles have no exponent of their own
-FRACTION = 1 << 52
-INFINITY_CODE, NAN_CODE = 0x7FF << 52, (0x7FF << 52) + (1 << 51)
+NAN_CODE = (0x7FF << 52) + (1 << 51)
 CODE_SHIFTS = (52, 39, 26, 13, 0)  # sign and exponent first, then the fraction in four parts
 
 
@@ -244,24 +249,41 @@ def interval_lookup(
 # ---------------------------------------------------------------- quantiles
 
 
-def order_code(x: Column) -> Column:
-    """A bigint in the order of a double: its 64 bits, negated for negative values; NaN is largest.
+def order_codes(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles: their 64 bits, negated for negative values; NaN is largest.
 
-    Exponent and fraction are taken off by exact steps (powers of two), so no value shares its code
-    with another but 0.0 and -0.0.
+    No value shares its code with another but 0.0 and -0.0.
     """
-    a = F.abs(x)
-    guess = F.floor(F.log2(F.greatest(a, F.lit(LEAST_NORMAL))))
-    power = F.pow(F.lit(2.0), guess)
-    exponent = guess + F.when(a < power, -1).when(a >= power * 2, 1).otherwise(0)
-    fraction = (a / F.pow(F.lit(2.0), exponent) - 1) * FRACTION
-    code = (
-        F.when(F.isnan(a), NAN_CODE)
-        .when(a == math.inf, INFINITY_CODE)
-        .when(a < LEAST_NORMAL, (a * 2.0**537 * 2.0**537).cast("bigint"))
-        .otherwise((exponent + 1023) * FRACTION + fraction.cast("bigint"))
-    )
-    return F.when(x < 0, -code).otherwise(code)
+    bits = x.astype(np.float64).view(np.int64)
+    size = bits & np.int64(0x7FFF_FFFF_FFFF_FFFF)
+    return np.where(np.isnan(x), np.int64(NAN_CODE), np.where(bits < 0, -size, size))
+
+
+def _digit_counts(groups: dict[tuple, int], before: int, shift: int):
+    """Columns c0, c1, ... to (g, digit, n): values by their next bits, of each (column, bits known so far)."""
+    width = before - shift
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in {i for i, _ in groups}:
+                codes = order_codes(batch[f"c{i}"].drop_null().to_numpy()) >> shift
+                known = codes >> width
+                for bits, g in ((b, g) for (j, b), g in groups.items() if j == i):
+                    low = -(1 << (width - 1)) if bits is None else bits << width
+                    digits = codes if bits is None else codes[known == bits]
+                    if len(digits):
+                        if g not in sums:
+                            sums[g] = np.zeros(1 << width, np.int64)
+                        np.add.at(sums[g], digits - low, 1)
+        for g, found in sums.items():
+            digit = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(digit), g, np.int32)), pa.array(digit), pa.array(found[digit])],
+                names=["g", "digit", "n"],
+            )
+
+    return counted
 
 
 def coded_value(code: int) -> float:
@@ -275,16 +297,13 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Continuous quantiles of many columns; `counts` holds the non-null rows of each.
 
-    Radix selection: every value has an order-preserving code of 64 bits.  A round is one aggregate that
-    counts, for all columns and wanted ranks, the values by the next bits of the code, among those that
-    agree in the bits already known; as many rounds for ten rows as for any number.  A task holds at most
-    8,192 counts for each rank, and two rows for each column and probability reach the driver.
+    Radix selection: every value has an order-preserving code of 64 bits.  A round counts, for all
+    columns and wanted ranks, the values by the next bits of the code, among those that agree in the bits
+    already known; there are as many rounds for ten rows as for any number.  A task holds at most 8,192
+    counts for each rank, and two rows for each column and probability reach the driver.
     """
     names = [n for n in columns if counts[n]]
-    codes = df.select(
-        *[F.when(columns[n].isNotNull(), order_code(columns[n].cast("double"))).alias(f"c{i}")
-          for i, n in enumerate(names)]
-    )
+    values = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
     spark = df.sparkSession
     wanted = {
         (i, rank): (None, rank)  # bits known so far, and the rank among the values that have them
@@ -292,32 +311,28 @@ def exact_quantiles(
         for p in probs
         for rank in (math.floor(p * (counts[n] - 1)), math.ceil(p * (counts[n] - 1)))
     }
+    before = 64
     for shift in CODE_SHIFTS if wanted else ():
         groups: dict[tuple, int] = {}
         for (i, _), (bits, _) in wanted.items():
             groups.setdefault((i, bits), len(groups))
-        cells = []
-        for (i, bits), g in groups.items():
-            c = F.col(f"c{i}")
-            inside = c.isNotNull() if bits is None else F.shiftright(c, before) == bits
-            cells.append(
-                F.when(inside, F.struct(F.lit(g).alias("g"), F.shiftright(c, shift).alias("bits")))
-            )
-        found = (
-            codes.select(F.explode(F.array_compact(F.array(*cells))).alias("t"))
-            .groupBy("t.g", "t.bits")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        inside = Window.partitionBy("g").orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)
+        low = {
+            g: -(1 << (before - shift - 1)) if bits is None else bits << (before - shift)
+            for (_, bits), g in groups.items()
+        }
+        found = values.mapInArrow(_digit_counts(groups, before, shift), "g int, digit bigint, n bigint")
+        found = found.groupBy("g", "digit").agg(F.sum("n").alias("n"))
+        inside = Window.partitionBy("g").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         found = found.withColumn("upto", F.sum("n").over(inside))
+        pairs = sorted({(groups[i, bits], rank) for (i, _), (bits, rank) in wanted.items()})
         ranks = spark.createDataFrame(
-            list({(groups[i, bits], rank) for (i, _), (bits, rank) in wanted.items()}),
-            "of int, rank bigint",
+            pa.table({"of": [g for g, _ in pairs], "rank": [rank for _, rank in pairs]})
         )
         here = (F.col("g") == F.col("of")) & (F.col("rank") >= F.col("upto") - F.col("n"))
         hits = found.join(ranks, here & (F.col("rank") < F.col("upto")))
         picked = {
-            (r["g"], r["rank"]): (r["bits"], r["rank"] - r["upto"] + r["n"]) for r in hits.collect()
+            (r["g"], r["rank"]): (low[r["g"]] + r["digit"], r["rank"] - r["upto"] + r["n"])
+            for r in hits.collect()
         }
         wanted = {k: picked[groups[k[0], bits], rank] for k, (bits, rank) in wanted.items()}
         before = shift

@@ -105,7 +105,7 @@ def merge_states(states: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("min", F.when(number, F.col("low"))), F.min("min")).alias("min"),
         F.coalesce(F.max_by("max", F.when(number, F.col("high"))), F.max("max")).alias("max"),
         whole.alias("mean"),
-        F.greatest(spread, F.lit(0.0)).alias("squares"),
+        F.when(spread < 0, 0.0).otherwise(spread).alias("squares"),
         F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
         F.when(number, F.kll_merge_agg_double("rank_sketch", RANK_CELLS)).alias("rank_sketch"),
         F.expr(f"approx_top_k_combine(top_sketch, {TRACKED})").alias("top_sketch"),
