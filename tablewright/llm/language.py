@@ -23,8 +23,11 @@ START, END = 2, 3  # code points that no word holds
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORD.findall((text or "").lower())
+    """Runs of letters, in lower case; signs that only stand for numbers (½, ², Ⅷ) are no letters."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 # ------------------------------------------------------------------ n-grams of words
