@@ -21,8 +21,17 @@ BLOCK = 1024  # vectors of a pivot's list that a tile takes from either side
 APART = 0.7  # cosine that two pivots stay under
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, largest component 1/2 to 1: no square overflows or vanishes, and
+    cosines of vectors of ordinary size do not change by a bit."""
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def spread_out(sample: np.ndarray, count: int, apart: float = APART) -> np.ndarray:
     """Unit vectors of the sample, in its order, none near an earlier one."""
+    sample = scaled(sample)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen = np.zeros((0, sample.shape[1]))
     for row in unit:
@@ -36,7 +45,7 @@ def spread_out(sample: np.ndarray, count: int, apart: float = APART) -> np.ndarr
 def _describe(pivots: np.ndarray, nearest: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("x"), pivots.shape[1]).astype(np.float64)
+            x = scaled(matrix(b.column("x"), pivots.shape[1]).astype(np.float64))
             near = x @ pivots.T  # the order of one vector's pivots does not depend on its length
             m = min(nearest, len(pivots))
             order = np.argpartition(-near, m - 1, axis=1)[:, :m] if m else near.astype(int)
@@ -108,7 +117,7 @@ def near_vectors(
     each pair of blocks is one tile, so a large list, or a large group of near copies, is spread
     over tasks.  A tile counts shared pivots and cosines by matrix products and returns link counts
     and one star per connected group, never pairs.  Equal vectors are compared once and counted as
-    often as they occur.
+    often as they occur.  Vectors may be as long or short as doubles go.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing and
     are their own component; rows with a NULL id have no component.  Vectors of unequal length are

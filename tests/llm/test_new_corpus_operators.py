@@ -361,3 +361,34 @@ def test_lm_gradients(monkeypatch):
             down = loss()
             value[at] = kept
             assert abs((up - down) / 2e-5 - gradients[name][at]) < 1e-6, name
+
+
+# ---------------------------------------------------------------- mended contracts
+
+
+def test_every_operator_has_one_query():
+    for n in range(1, 14):
+        assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
+
+
+def test_texts_without_a_letter_have_no_language(spark, make_docs):
+    from tablewright.llm import language
+
+    rows = [(i, w, lang, "s") for i in range(40)
+            for w, lang in (("the house of the river", "en"), ("das haus am fluss", "de"))]
+    docs = make_docs([(2 * i + (r[2] == "de"), *r[1:]) for i, r in enumerate(rows)])
+    model = language.train(docs, F.lit(True))
+    odd = make_docs([(1, "½ ² ①"), (2, "Ⅷ ³"), (3, None), (4, "12 !"), (5, "the river²house")])
+    got = {r.doc_id: r.lang_pred for r in language.identify(odd.select("doc_id", "text"), model).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["und"] * 4 and got[5] == "en"
+    assert language.words_of("a½b Ⅷ c²") == ["a", "b", "c"]
+
+
+def test_near_vectors_of_any_length(spark):
+    from tablewright.llm import pivots
+
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e-200, 1.01e-200]),
+            (5, [1e200, -1e200]), (6, [5e-324, 0.0]), (7, [1e308, 0.0]), (8, [0.0, 0.0]), (9, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 9: (4, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
