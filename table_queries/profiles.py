@@ -189,19 +189,39 @@ def quality_kpis(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_FOOTER_KINDS = {
+    "o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "numeric",
+    "o_orderdate": "temporal", "o_orderpriority": "string",
+}
+
+
 @query(
     "f11_footer_profile",
-    "SELECT 'o_orderkey' AS \"column\", 'integer' AS kind, count(*) - count(o_orderkey) AS null_count, "
-    "CAST(min(o_orderkey)::DOUBLE AS VARCHAR) AS min, CAST(max(o_orderkey)::DOUBLE AS VARCHAR) AS max "
-    "FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(*) - count(o_orderstatus), "
-    "min(o_orderstatus), max(o_orderstatus) FROM orders UNION ALL SELECT 'o_totalprice', 'numeric', "
-    "count(*) - count(o_totalprice), CAST(min(o_totalprice) AS VARCHAR), "
-    "CAST(max(o_totalprice) AS VARCHAR) FROM orders",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count(*) - count({c}) AS null_count, "
+        f"CAST(min({c}){cast} AS VARCHAR) AS min, CAST(max({c}){cast} AS VARCHAR) AS max, true AS packed FROM orders"
+        for c, kind in _FOOTER_KINDS.items()
+        for cast in ["::DOUBLE" if kind == "integer" else ""]
+    ),
 )
 def footer_profile(spark: SparkSession, folder: str) -> DataFrame:
-    found = footer.footer_profile(spark, f"{folder}/orders.parquet")
-    wanted = F.col("column").isin("o_orderkey", "o_orderstatus", "o_totalprice")
-    return found.where(wanted).select("column", "kind", "null_count", "min", "max")
+    """Every column of the table; sizes agree with those of its chunks."""
+    path = f"{folder}/orders.parquet"
+    chunks = footer.parquet_metadata(spark, path).groupBy("path_in_schema").agg(
+        F.sum("compressed").alias("small"), F.sum("uncompressed").alias("large"), F.count(F.lit(1)).alias("parts")
+    )
+    found = footer.footer_profile(spark, path).join(chunks, F.col("path_in_schema") == F.col("column"))
+    packed = (
+        (F.col("compressed") == F.col("small")) & (F.col("uncompressed") == F.col("large"))
+        & (F.col("chunks") == F.col("parts")) & F.col("ratio").between(0.01, 1.2)
+    )
+    time = F.col("kind") == "temporal"
+    return found.select(
+        "column", "kind", "null_count",
+        *[F.when(time, F.col(c).try_cast("timestamp_ntz").cast("string")).otherwise(F.col(c)).alias(c)
+          for c in ("min", "max")],
+        packed.alias("packed"),
+    )
 
 
 @query(

@@ -324,3 +324,26 @@ def suggest(spark: SparkSession, folder: str) -> DataFrame:
             detail = " ".join(r.values or r.masks)
         rows.append((r.col, r.type, detail))
     return spark.createDataFrame(rows, "column string, type string, detail string")
+
+
+@query(
+    "h13_report",
+    "WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_totalprice > 300000) AS high, (SELECT coalesce(sum(k), 0) "
+    "FROM (SELECT count(*) AS k FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS twice FROM orders) "
+    "SELECT unnest(range(1, 12)) AS line_no, unnest(['# Validation report', '', '- Rows: ' || n, "
+    "'- Score: ' || printf('%.1f', 100.0 * (n - high) / n) || ' % · ' || (n - high) || '/' || n || ' valid · ' || "
+    "high || ' with violations', '', '| Rule | Status | Violations |', '|---|---|---|', "
+    "'| not_null `o_orderkey` | ✓ | 0 |', "
+    "'| unique `o_custkey` | ' || CASE WHEN twice > 0 THEN '⚠' ELSE '✓' END || ' | ' || twice || ' |', "
+    "'| range `total \\| price` | ' || CASE WHEN high > 0 THEN '✗' ELSE '✓' END || ' | ' || high || ' |', "
+    "'| row_count | ✓ | ' || n || ' |']) AS value FROM c",
+)
+def report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as a text: figures of the table, a line per rule."""
+    checks = [
+        Rule("not_null", "o_orderkey"),
+        Rule("unique", "o_custkey", severity="warning"),
+        Rule("range", "o_totalprice", max=300_000, label="total | price"),
+        Rule("row_count", min=1),
+    ]
+    return rules.report_document(rules.validate(load(spark, folder, "orders"), checks))

@@ -327,6 +327,35 @@ def summary(report: DataFrame) -> DataFrame:
     return report.where("rule_no = 0").select("total", "valid", "invalid", "score", "ok")
 
 
+STATUS_SIGNS = {"pass": "✓", "fail": "✗", "warn": "⚠", "skipped": "–"}
+
+
+def report_document(report: DataFrame, title: str = "Validation report") -> DataFrame:
+    """(line_no, value): a validate() report as a Markdown text, the table's figures and a line per rule.
+
+    A rule's line holds its violations, for row_count the number of rows.
+    """
+    total, valid, invalid = (F.col(c).cast("string") for c in ("total", "valid", "invalid"))
+    score = F.format_string("%.1f", F.col("score") * 100)
+    head = [
+        F.lit(f"# {title}"), F.lit(""),
+        F.concat(F.lit("- Rows: "), total),
+        F.concat(F.lit("- Score: "), score, F.lit(" % · "), valid, F.lit("/"), total, F.lit(" valid · "),
+                 invalid, F.lit(" with violations")),
+        F.lit(""), F.lit("| Rule | Status | Violations |"), F.lit("|---|---|---|"),
+    ]
+    cells = [F.struct(F.lit(i).cast("bigint").alias("line_no"), c.alias("value")) for i, c in enumerate(head, 1)]
+    target = F.replace("target", F.lit("|"), F.lit("\\|"))
+    label = F.concat("type", F.when(target != "", F.concat(F.lit(" `"), target, F.lit("`"))).otherwise(""))
+    sign = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in STATUS_SIGNS.items()])
+    line = F.concat_ws(" | ", label, sign, F.coalesce("actual", "violations").cast("string"))
+    rules = report.select(
+        (F.col("rule_no") + len(head) + 1).alias("line_no"), F.concat(F.lit("| "), line, F.lit(" |")).alias("value")
+    )
+    top = report.where("rule_no = 0").select(F.inline(F.array(*cells)))
+    return top.unionByName(rules).orderBy("line_no")
+
+
 def violating_rows(df: DataFrame, rule: Rule) -> DataFrame:
     """All rows that break the rule."""
     rule = resolve(df, rule)
