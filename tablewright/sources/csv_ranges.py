@@ -57,7 +57,8 @@ class Grammar:
             q = re.escape(self.quote)
             body = rb"(?:[^" + q + rb"]|" + q + q + rb")*+"
             self.closing = re.compile(body)
-            cell = rb"(?:" + q + body + rb"(?:" + q + plain + rb"|\Z)|" + plain + rb")"
+            # atomic: a quoted cell that the piece cuts off must not be tried again as a plain one
+            cell = rb"(?>" + q + body + rb"(?:" + q + plain + rb"|\Z)|" + plain + rb")"
         else:
             cell = plain
         self.plain = re.compile(plain)

@@ -140,6 +140,20 @@ def test_csv_records_meet_at_every_border(tmp_path, newline):
         assert got == want, cut
 
 
+def test_csv_cells_cut_off_in_quotes_stay_whole(tmp_path):
+    """Delimiters and line breaks behind the quote of a cell that the border of two ranges cuts."""
+    text = b'1,"a, b, ""c"", d\ne, f",2\n3,"g, h\ni, j",4\n'
+    grammar = Grammar(",", '"', b"\n", "utf-8")
+    path = tmp_path / "x.csv"
+    path.write_bytes(text)
+    want = [b'1,"a, b, ""c"", d\ne, f",2', b'3,"g, h\ni, j",4']
+    for cut in range(1, len(text)):
+        state = grammar.ends(text[:cut])["N"]
+        got = list(range_records(grammar, {"path": str(path), "start": 0, "stop": cut, "state": "N"}))
+        got += range_records(grammar, {"path": str(path), "start": cut, "stop": len(text), "state": state})
+        assert got == want, cut
+
+
 def test_csv_states_can_be_put_together():
     text = csv_text(8).encode() + b'"a""b",c"d,"e"f\n'
     grammar = Grammar(",", '"', b"\n", "utf-8")
