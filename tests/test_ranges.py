@@ -194,6 +194,19 @@ def test_csv_skip_with_line_breaks(spark, tmp_path):
     assert sorted(r.v for r in df.collect()) == sorted(f"v\n{j}" for i in range(3) for j in range(i * 4))
 
 
+@pytest.mark.parametrize("size", [7, 40])
+def test_csv_skip_with_delimiters_in_cut_cells(spark, tmp_path, size, monkeypatch):
+    """Lines to skip, then cells with delimiters and line breaks that borders of ranges cut."""
+    path = tmp_path / "s.csv"
+    body = "".join(f'{i},"a, b, ""{i}"", c\nd, e",{i}\n' for i in range(9))
+    path.write_text(f'said "once\nprinted, today\nk,t,n\n{body}')
+    monkeypatch.setattr("tablewright.sources.readers.csv_records",
+                        lambda *a: csv_records(*a, size=size))
+    o = readers.CsvOptions(skip=2, nulls=())
+    got = readers.read_csv(spark, str(path), o, types={"k": "BIGINT", "n": "BIGINT"})
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f'a, b, "{i}", c\nd, e', i) for i in range(9)]
+
+
 def test_csv_ranges_of_packed_and_latin_files(spark, tmp_path):
     import gzip
 
