@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 register_pickle_by_value(sys.modules[__name__])  # workers need no install
@@ -298,11 +298,53 @@ def _format(head: Column, magic: Column, path: Column) -> Column:
     return F.coalesce(known, F.when(ext == "json", json), by_magic)
 
 
-def inventory_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def count_lines(files: DataFrame, size: int) -> DataFrame:
+    """(path, lines, plain_lines, closed) of (path, bytes): line ends outside quotes and all of them, counted
+    over byte ranges, and whether the quotes of the file close.  A last line without an end counts.
+
+    A range says how many line ends it has behind an even and an odd number of its quotes; the quotes before
+    it, one number per range, say which of them count.
+    """
+    from tablewright.sources.ranges import file_ranges
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_file(row["path"]) as f:
+                    f.seek(row["start"])
+                    data = f.read(row["stop"] - row["start"])
+                ends = data.count(b"\n")
+                quotes = data.count(b'"')
+                inside = sum(part.count(b"\n") for part in data.split(b'"')[1::2]) if quotes else 0
+                yield pa.RecordBatch.from_pydict({
+                    "path": [row["path"]],
+                    "number": pa.array([row["number"]], pa.int64()),
+                    "ends": pa.array([ends], pa.int64()),
+                    "inside": pa.array([inside], pa.int64()),
+                    "quotes": pa.array([quotes], pa.int64()),
+                    "ended": [data.endswith(b"\n")],
+                })
+
+    schema = "path string, number bigint, ends bigint, inside bigint, quotes bigint, ended boolean"
+    before = Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    found = file_ranges(files, size).mapInArrow(counts, schema)
+    found = found.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    rest = (~F.max_by("ended", "number")).cast("int")
+    return found.groupBy("path").agg(
+        (F.sum(F.when(F.col("odd"), F.col("inside")).otherwise(F.col("ends") - F.col("inside"))) + rest).alias("lines"),
+        (F.sum("ends") + rest).alias("plain_lines"),
+        (F.sum("quotes") % 2 == 0).alias("closed"),
+    )
+
+
+def inventory_files(
+    spark: SparkSession, paths: str | list[str], count: bool = False, range_bytes: int = 16 << 20
+) -> DataFrame:
     """(path, bytes, format, est_rows, exact): format and estimated rows of every file.
 
     Rows are estimated for text tables: size over mean bytes per line of the
     head, less skipped lines and header; exact when the head was the file.
+    With `count`, the lines of files that are longer than their head are counted in byte ranges.
     """
     found = csv_options(read_heads(list_files(spark, paths)))
     fmt = _format(F.col("head"), F.col("magic"), F.col("path"))
@@ -310,10 +352,18 @@ def inventory_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = F.round(F.col("bytes") / (read / F.col("newlines")))
     less = F.when(F.col("format") == "csv", F.col("skip") + F.col("header").cast("int")).otherwise(0)
     text = F.col("format").isin("csv", "ndjson") & (F.col("newlines") > 0)
-    return found.withColumn("format", fmt).select(
+    exact = F.col("bytes") == read
+    found = found.withColumn("format", fmt)
+    if count:
+        long = list_files(spark, paths).where(F.col("bytes") > HEAD_BYTES)
+        found = found.join(count_lines(long, range_bytes), "path", "left")
+        counted = F.when(F.col("format") == "csv", F.col("lines")).otherwise(F.col("plain_lines"))
+        sure = (F.col("format") != "csv") | F.col("closed")
+        lines, exact = F.coalesce(counted, lines), exact | (counted.isNotNull() & sure)
+    return found.select(
         "path",
         "bytes",
         "format",
         F.when(text, F.greatest(F.lit(0), lines - less)).cast("bigint").alias("est_rows"),
-        F.when(text, F.col("bytes") == read).alias("exact"),
+        F.when(text, exact).alias("exact"),
     )

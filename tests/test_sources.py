@@ -344,3 +344,15 @@ def test_markdown_lines_between_tables(spark):
            for r in markup.extract_markdown_tables(df, "id", "t").orderBy("table_no", "row_no", "col_no").collect()]
     assert got == [(None, 2, "Table 2", "x", "last"), (None, 2, "Table 2", "y", "row"),
                    (None, 2, "Table 2", "x", "c"), (None, 2, "Table 2", "y", "d")]
+
+
+@pytest.mark.parametrize("size", [1000, 1 << 20])
+def test_inventory_counts_long_files(spark, tmp_path, size):
+    """Rows of files longer than their head, lines of uneven length, line breaks in cells, no last line end."""
+    n = 40_000
+    rows = [f'{i},"a\nb, ""{i}"""' if i % 3 == 0 else f"{i},{'x' * (i % 50)}" for i in range(n)]
+    (tmp_path / "a.csv").write_text("\n".join(["k,t", *rows]))
+    (tmp_path / "b.ndjson").write_text("".join(json.dumps({"k": i, "t": '"' * (i % 9)}) + "\n" for i in range(n)))
+    assert min(p.stat().st_size for p in tmp_path.iterdir()) > files.HEAD_BYTES
+    found = files.inventory_files(spark, str(tmp_path), count=True, range_bytes=size).orderBy("path").collect()
+    assert [(r.format, r.est_rows, r.exact) for r in found] == [("csv", n, True), ("ndjson", n, True)]
