@@ -46,6 +46,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cores; a small file with many rows would give a task or two."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(max(context.defaultParallelism, bucket_count(df.sparkSession)))
+
+
 # ---------------------------------------------------------------- order by hash
 
 

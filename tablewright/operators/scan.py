@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablewright.functions.casts import TARGET_TYPES, parse_number
 from tablewright.functions.columns import any_of, categories, col, number_of, text_of
 from tablewright.operators import steps as S
-from tablewright.operators.distributed import exact_quantiles
+from tablewright.operators.distributed import exact_quantiles, spread_rows
 
 WHOLE_TABLE = "(all rows)"
 
@@ -212,60 +212,62 @@ def clean_votes(df: DataFrame) -> DataFrame:
     """
     kinds = categories(df)
     words = ", ".join(f"'{w}'" for w in BOOLEAN_WORDS)
-    # marks per text cell first, then one plain aggregate over them
-    marks, aggs, entries = [], [F.count(F.lit(1)).alias("total")], []
-    bare = df.select(
-        *[
-            F.struct(col(n).alias("t"), _bare_number(col(n)).alias("n")).alias(f"b{i}")
-            if kinds[n] == "string"
-            else col(n).isNotNull().alias(f"b{i}")
-            for i, n in enumerate(df.columns)
-        ]
+    if not df.columns:
+        schema = ", ".join(f"{k} bigint" for k in ("total", *VOTES))
+        return df.sparkSession.createDataFrame([], f"column string, category string, {schema}")
+    # a row per cell, marks per text cell, then one plain aggregate: compiled once, whatever the columns
+    none = F.lit(None).cast("string")
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            (col(n).cast("string") if kinds[n] == "string" else none).alias("t"),
+            (F.lit(None).cast("boolean") if kinds[n] == "string" else col(n).isNotNull()).alias("there"),
+        )
+        for i, n in enumerate(df.columns)
+    ]
+    rows = spread_rows(df).select(F.inline(F.array(*cells)))
+    c, number = F.col("t"), F.col("n")
+    digits = c.rlike(r"\d")
+    date = digits & looks_date(c)
+    sign = F.regexp_extract(number, r"([.,])[^.,]*\z", 1)
+    marked = rows.select("i", "t", "there", _bare_number(c).alias("n")).select(
+        "i",
+        "there",
+        c.rlike(r"\S").alias("solid"),
+        needs_trim(c).alias("loose"),
+        F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", "")).alias("low"),
+        F.when(date, S.date_format_of(c)).alias("fmt"),
+        F.when(
+            digits & ~date & number.rlike(NUMBER_SHAPE),
+            F.when(F.regexp_replace(c, r"\s", "").rlike(r"\A[-+]?\d+\z"), "whole")
+            .when(sign == ",", "comma")
+            .when(sign == ".", "point")
+            .otherwise("plain"),
+        ).alias("number"),
+    )
+    votes = {
+        "filled": "coalesce(there, solid)",
+        "blank": "NOT solid",
+        "untrimmed": "solid AND loose",
+        "bool_words": f"low IN ({words}, '0', '1')",
+        "bool_letters": f"low IN ({words})",
+        "dates": "fmt IS NOT NULL",
+        **{f"date{j}": f"fmt = '{f}'" for j, (f, _) in enumerate(S.DATE_NOTATIONS)},
+        "numbers": "number IS NOT NULL",
+        "commas": "number = 'comma'",
+        "points": "number = 'point'",
+        "wholes": "number = 'whole'",
+    }
+    counted = marked.groupBy("i").agg(
+        F.count(F.lit(1)).alias("total"), *[F.expr(f"count_if({v})").alias(k) for k, v in votes.items()]
+    )
+    listed = df.sparkSession.createDataFrame(
+        [(i, n, kinds[n]) for i, n in enumerate(df.columns)], "_i int, column string, category string"
+    )
+    found = listed.join(counted, F.col("_i") == F.col("i"), "left").orderBy("_i")
+    return found.select(
+        "column", "category", *[F.coalesce(col(k), F.lit(0)).cast("bigint").alias(k) for k in ("total", *VOTES)]
     )
-    for i, n in enumerate(df.columns):
-        if kinds[n] == "string":
-            c, number = F.col(f"b{i}.t"), F.col(f"b{i}.n")
-            digits = c.rlike(r"\d")
-            date = digits & looks_date(c)
-            sign = F.regexp_extract(number, r"([.,])[^.,]*\z", 1)
-            marks.append(
-                F.struct(
-                    c.rlike(r"\S").alias("solid"),
-                    needs_trim(c).alias("loose"),
-                    F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", "")).alias("low"),
-                    F.when(date, S.date_format_of(c)).alias("fmt"),
-                    F.when(
-                        digits & ~date & number.rlike(NUMBER_SHAPE),
-                        F.when(F.regexp_replace(c, r"\s", "").rlike(r"\A[-+]?\d+\z"), "whole")
-                        .when(sign == ",", "comma")
-                        .when(sign == ".", "point")
-                        .otherwise("plain"),
-                    ).alias("number"),
-                ).alias(f"m{i}")
-            )
-            m = f"m{i}"
-            votes = {
-                "filled": f"{m}.solid",
-                "blank": f"NOT {m}.solid",
-                "untrimmed": f"{m}.solid AND {m}.loose",
-                "bool_words": f"{m}.low IN ({words}, '0', '1')",
-                "bool_letters": f"{m}.low IN ({words})",
-                "dates": f"{m}.fmt IS NOT NULL",
-                **{f"date{j}": f"{m}.fmt = '{f}'" for j, (f, _) in enumerate(S.DATE_NOTATIONS)},
-                "numbers": f"{m}.number IS NOT NULL",
-                "commas": f"{m}.number = 'comma'",
-                "points": f"{m}.number = 'point'",
-                "wholes": f"{m}.number = 'whole'",
-            }
-        else:
-            marks.append(F.col(f"b{i}").alias(f"m{i}"))
-            votes = {"filled": f"m{i}"}
-        aggs += [F.expr(f"count_if({v}) AS c{i}_{k}") for k, v in votes.items()]
-        fields = ", ".join(f"{f'c{i}_{k}' if k in votes else '0L'} AS {k}" for k in VOTES)
-        name = n.replace("\\", "\\\\").replace("'", "\\'")
-        entries.append(f"struct('{name}' AS column, '{kinds[n]}' AS category, total, {fields})")
-    counted = bare.select(*marks).agg(*aggs)
-    return counted.select(F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 VOTES = (
@@ -336,24 +338,25 @@ def pii_votes(df: DataFrame) -> DataFrame:
     if not names:
         counts = ", ".join(f"`{k}` bigint" for k in ["values", *CONTENT_TESTS])
         return df.sparkSession.createDataFrame([], f"column string, {counts}")
-    texts = df.select(
+    texts = spread_rows(df).select(
         *[
             F.regexp_replace(text_of(df, n), r"\A\s+|\s+\z", "").alias(f"t{i}")
             for i, n in enumerate(names)
         ]
     )
-    aggs, entries = [], []
-    for i, n in enumerate(names):
-        solid = f"t{i} <> ''"
-        aggs.append(F.expr(f"count_if({solid}) AS c{i}_values"))
-        aggs += [
-            F.expr(f"count_if({solid} AND ({test.format(t=f't{i}')})) AS c{i}_{key}")
-            for key, test in CONTENT_TESTS.items()
-        ]
-        fields = ", ".join(f"c{i}_{k} AS {k}" for k in ["values", *CONTENT_TESTS])
-        name = n.replace("\\", "\\\\").replace("'", "\\'")
-        entries.append(f"struct('{name}' AS column, {fields})")
-    return texts.agg(*aggs).select(F.expr(f"inline(array({', '.join(entries)}))"))
+    # a row per cell, so that the tests are compiled once and not once per column
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"t{i}").alias("t")) for i in range(len(names))])
+    aggs = [F.count_if(F.col("t") != "").alias("values")]
+    aggs += [
+        F.expr(f"count_if(t <> '' AND ({test.format(t='t')}))").alias(key)
+        for key, test in CONTENT_TESTS.items()
+    ]
+    counted = texts.select(F.inline(cells)).groupBy("i").agg(*aggs)
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "_i int, column string")
+    found = listed.join(counted, F.col("_i") == F.col("i"), "left")
+    return found.select(
+        "column", *[F.coalesce(col(k), F.lit(0)).cast("bigint").alias(k) for k in ["values", *CONTENT_TESTS]]
+    )
 
 
 def scan_pii(df: DataFrame) -> DataFrame:

@@ -88,3 +88,15 @@ def test_streams_take_row_local_steps(spark, tmp_path):
         clean_stream(stream, Pipeline([S.DedupExact()]))
     with pytest.raises(ValueError):
         flag_stream(stream, [Rule("unique", "x")])
+
+
+def test_votes_are_one_small_pass_over_spread_rows(spark, orders):
+    """Tests are in the plan once, not once per column, and rows are dealt out before them."""
+    from tablewright.operators import scan
+
+    wide = orders.select(*[F.concat("o_orderstatus", F.lit(str(i))).alias(f"c{i}") for i in range(12)])
+    for votes, test in ((scan.pii_votes(wide), r"\A[A-Z]{6}"), (scan.clean_votes(wide), "= whole")):
+        text = physical(votes)
+        assert "RoundRobinPartitioning" in text
+        assert text.count("FileScan parquet") == 1
+        assert text.count(test) <= 4  # partial and final, formatted and not
