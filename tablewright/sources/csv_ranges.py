@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.operators.distributed import settle
 from tablewright.sources.files import list_files, open_file, spread
-from tablewright.sources.ranges import MORE, MOST_TASKS, RANGE, file_ranges
+from tablewright.sources.ranges import MORE, RANGE, file_ranges, range_tasks
 
 register_pickle_by_value(sys.modules[__name__])  # workers need no install
 
@@ -228,14 +228,14 @@ def csv_records(
                 F.col("bytes").alias("stop"),
             )
         )
-        parts.append(_records(settle(ranges), Grammar(delim, quote, newline.encode(), encoding)))
+        parts.append(_records(settle(ranges), size, Grammar(delim, quote, newline.encode(), encoding)))
     out = parts[0] if parts else heads.select(F.lit("").alias("value")).limit(0)
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _records(ranges: DataFrame, grammar: Grammar) -> DataFrame:
+def _records(ranges: DataFrame, size: int, grammar: Grammar) -> DataFrame:
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -271,7 +271,7 @@ def _records(ranges: DataFrame, grammar: Grammar) -> DataFrame:
     found = ranges.mapInArrow(ends, f"{plain}, ends string")
     found = found.repartition("path").sortWithinPartitions("path", "number")
     states = settle(found.mapInArrow(put_together, f"{plain}, state string"))
-    states = states.repartition(max(1, min(MOST_TASKS, states.count())))
+    states = states.repartition(range_tasks(states, size))
     return states.mapInArrow(records, "value string")
 
 

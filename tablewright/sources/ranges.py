@@ -48,7 +48,17 @@ def file_ranges(files: DataFrame, size: int) -> DataFrame:
     rows = rows.select(
         "path", "number", start.alias("start"), F.least(start + size, "bytes").alias("stop")
     )
-    return rows.repartition(max(1, min(MOST_TASKS, rows.count())))
+    return rows.repartition(range_tasks(rows, size))
+
+
+def range_tasks(ranges: DataFrame, size: int) -> int:
+    """Tasks that ranges of `size` bytes are dealt to: small ranges share one, up to RANGE bytes of them.
+
+    There are some for every core all the same, as long as there are ranges for them.
+    """
+    count = ranges.count()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(count, MOST_TASKS, max(4 * cores, -(-count * size // RANGE))))
 
 
 def read_bytes(path: str, start: int, stop: int) -> bytes:
@@ -192,7 +202,7 @@ def json_states(spark: SparkSession, paths: str | list[str], size: int = RANGE)
     found = file_ranges(list_files(spark, paths), size).mapInArrow(_summaries, _SUMMARY)
     found = found.repartition("path").sortWithinPartitions("path", "number")
     states = settle(found.mapInArrow(_put_together, _STATE))
-    return states.repartition(max(1, min(MOST_TASKS, states.count())))
+    return states.repartition(range_tasks(states, size))
 
 
 # ---------------------------------------------------------------- second pass

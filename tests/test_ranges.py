@@ -49,6 +49,21 @@ def test_json_array_takes_a_task_per_range(spark, tmp_path):
     assert len(per_task) >= 8 and sum(per_task) == 2000 and max(per_task) < 1000
 
 
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks go with the bytes and the cores, not with the number of ranges; no row is lost."""
+    path = tmp_path / "a.json"
+    path.write_text(array_text(2000, False), encoding="utf-8")
+    size = path.stat().st_size // 300
+    states = ranges.json_states(spark, str(path), size)
+    assert states.count() >= 300
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert states.rdd.getNumPartitions() <= most
+    assert ranges.file_ranges(list_files(spark, str(path)), size).rdd.getNumPartitions() <= most
+    assert ranges.array_rows(states, ()).count() == 2000
+    monkeypatch.setattr(ranges, "RANGE", 4 * size)  # tasks of more bytes than that are not made
+    assert ranges.range_tasks(states, size) >= 300 // 4
+
+
 @pytest.mark.parametrize("text", ["[]", "[ ]", "[null, {\"a\":1}]", "[{\"a\":1}]\n", "[{\"a\":1},]",
                                   "[{\"a\":1}, {\"a\":", "[1, 2]", "{\"a\":1}", "[[{\"a\":1}]]"])
 def test_json_array_edges(spark, tmp_path, text):
