@@ -4,8 +4,7 @@ The network reads words of a bounded vocabulary; its output softmax is factored
 last class holding all words beyond the vocabulary.  Inside that class a word has the probability its
 count gives, so the model covers every word of the corpus.
 
-All counts cover all training documents.  The network learns from one training document in SHARE, picked by
-hash: the share is the same at every size, so what is learned from grows with the input.  Documents
+All counts cover all training documents, and the network learns from every one of them, once.  Documents
 are dealt to lanes of about LANE tokens; each lane runs truncated backpropagation through time over its own
 documents, and the weights of the lanes are averaged after each round.  In training and scoring alike the
 state is carried from window to window until the document ends, so a document is scored whole.
@@ -37,7 +36,6 @@ CLASSES = 40
 HIDDEN = 32
 TABLE = 131_072
 LONG = 64
-SHARE = 8
 LANE = 2_000_000  # tokens a lane learns from, in all rounds
 ROUNDS = 2
 STREAMS = 128  # documents a lane reads side by side
@@ -187,9 +185,12 @@ def step(x: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, .
     return out, gates, new, g
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Shares per row, written over x."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -308,7 +309,7 @@ class Learner:
     def _outputs(self, h: np.ndarray, goal: np.ndarray, scale: float) -> np.ndarray:
         w = self.w
         cls = self.classes[goal]
-        p = np.exp(log_softmax(h @ w["class"] + w["class_bias"]))
+        p = softmax(h @ w["class"] + w["class_bias"])
         p[np.arange(len(goal)), cls] -= 1
         p *= scale
         dh = p @ w["class"].T
@@ -319,7 +320,7 @@ class Learner:
             if b - a < 2:
                 continue
             mine, words = h[at], w["word"][a:b]
-            p = np.exp(log_softmax(mine @ words.T + w["word_bias"][a:b]))
+            p = softmax(mine @ words.T + w["word_bias"][a:b])
             p[np.arange(len(at)), goal[at] - a] -= 1
             p *= scale
             dh[at] += p @ words
@@ -419,11 +420,12 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def train(docs: DataFrame, learn: Column, share: int = SHARE, rounds: int = ROUNDS,
+def train(docs: DataFrame, learn: Column, share: int = 1, rounds: int = ROUNDS,
           lane: int = LANE, **sizes: int) -> Model:
     """A model of the documents that `learn` marks; the rows need doc_id and text.
 
-    Copies of a document are all counted.  With nothing to learn from, every word is as unknown as any.
+    Copies of a document are all counted.  A `share` above 1 has the network learn from one document in so
+    many only; nothing in the library asks for that.  With nothing to learn from, every word is as unknown as any.
     """
     lex = lexicon(docs, F.coalesce(learn, F.lit(False)), **sizes)
     weights = initial(lex)

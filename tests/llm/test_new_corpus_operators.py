@@ -270,6 +270,16 @@ def test_lm_edges(spark, make_docs, table):
     assert again == {str(r) for r in out.select("doc_id", "n_tokens").collect()}
 
 
+def test_lm_learns_from_every_document(make_docs):
+    """The network's weights of a word move only if a document with it was read."""
+    docs = make_docs([(i, f"own{i} same " * 150) for i in range(24)])
+    model = gru.train(docs, F.lit(True))
+    start = gru.initial(model.lex)["embed"]
+    moved = np.abs(model.weights["embed"] - start).max(1) > 0
+    own = [1 + i for i, word in enumerate(model.lex.frequent) if word.startswith(b"own")]
+    assert len(own) == 24 and moved[own].all()
+
+
 def test_lm_without_documents(spark, make_docs):
     docs = make_docs([(1, "a b"), (2, None)])
     model = gru.train(docs, F.lit(False))
