@@ -8,6 +8,7 @@ from table_queries.registry import big, load, query, scratch, sql_draw
 from tablewright.functions import rates
 from tablewright.functions.hashing import draw
 from tablewright.operators import expenses, league, receipts
+from tablewright.operators.distributed import spread_rows
 
 # ---------------------------------------------------------------- matches out of orders
 
@@ -329,7 +330,9 @@ def receipt_fields(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("-" * 100)),
         F.concat(F.lit("Gesamtbetrag EUR "), german(price)),
     )
-    found = receipts.extract_receipt_fields(load(spark, folder, "orders").withColumn("text", text), "text")
+    # dealt out before the texts are made, which are much wider than their rows
+    orders = spread_rows(load(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"))
+    found = receipts.extract_receipt_fields(orders.withColumn("text", text), "text")
     return found.select(
         "o_orderkey", "total", "kind", F.array_join("dates", " ").alias("dates"), "check_out", "nights",
         "breakfast", "round_trip", "origin", "destination",

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import filters, patterns, profile, steps as S
+from table_queries import QUERIES
+from tablewright.operators import filters, patterns, profile, receipts, steps as S
 from tablewright.operators.rules import Rule, validate
 from tablewright.plans.pipeline import Pipeline
 from tablewright.streaming import clean_stream, flag_stream
@@ -100,3 +101,19 @@ def test_votes_are_one_small_pass_over_spread_rows(spark, orders):
         assert "RoundRobinPartitioning" in text
         assert text.count("FileScan parquet") == 1
         assert text.count(test) <= 4  # partial and final, formatted and not
+
+
+def test_receipt_fields_work_on_all_cores_and_look_once(spark, folder):
+    """A small file gives no single task, and the text around a total word is cut out once per word."""
+    df = QUERIES["p10_receipt_fields"](spark, folder)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count("lower(substr") <= 3  # one for each tier of total words
+
+
+def test_receipt_dates_in_all_notations(spark):
+    text = "1.2.24 31/12/2023 32.1.2024 2024-13-01 2024-02-30 3. März 2024 4 foo 2024 5 may 1999 01.01.1999"
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    got = [r.dates for r in receipts.extract_receipt_fields(df, "t").collect()]
+    want = ["1999-05-05", "2023-12-31", "2024-02-01", "2024-02-30", "2024-03-03"]
+    assert got == [want, []]
