@@ -40,13 +40,14 @@ LANE = 2_000_000  # tokens a lane learns from, in all rounds
 ROUNDS = 2
 STREAMS = 128  # documents a lane reads side by side
 STEPS = 16  # words of a window of truncated backpropagation
-LEARN_TOKENS = 1 << 18  # tokens a lane packs into streams at a time
+LEARN_TOKENS = 1 << 20  # tokens a lane packs into streams at a time
 RATE = 0.1
 SQUARES = 1e-6  # what the squared gradients of a weight start from
 SCORE_STREAMS = 512
 SCORE_WINDOW = 1 << 14  # tokens of a window while scoring
 SCORE_TOKENS = 1 << 21  # tokens scored at a time
 SCORE_ROWS = 40_000
+BLOCK = 1024  # rows of weights updated at a time
 CHUNK = 1 << 16  # weights per row while lanes are averaged
 FLUSH = 300_000
 SMOOTH = 0.5
@@ -70,11 +71,11 @@ def count_words(docs: DataFrame, learn: Column) -> DataFrame:
         def flush() -> pa.RecordBatch:
             learned, other = both
             words = list(learned.keys() | other.keys())
-            c = np.fromiter((learned[w] for w in words), np.int64, len(words))
-            n = c + np.fromiter((other[w] for w in words), np.int64, len(words))
+            c = np.fromiter(map(learned.get, words, repeat(0)), np.int64, len(words))
+            n = c + np.fromiter(map(other.get, words, repeat(0)), np.int64, len(words))
             learned.clear()
             other.clear()
-            words = pa.array(map(word_key, words), pa.binary())
+            words = pa.array([w if len(w) <= LONG else word_key(w) for w in words], pa.binary())
             return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(n)], schema=schema)
 
         for batch in batches:
@@ -166,39 +167,91 @@ def initial(lex: Lexicon, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.n
     }
 
 
-def step(x: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit from its weighted inputs; (new state, gates, candidate, weighted state)."""
-    k = h.shape[1]
-    g = h @ state
-    gates = x[:, : 2 * k] + g[:, : 2 * k]
-    np.negative(gates, out=gates)
-    with np.errstate(over="ignore"):  # a gate that is shut: one over infinity
-        np.exp(gates, out=gates)
+def small_numbers(a: np.ndarray) -> np.ndarray:
+    """The same numbers in 16 bits where they fit, which sort faster."""
+    return a.astype(np.uint16) if a.max(initial=0) < 1 << 16 else a
+
+
+def turned(w: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of inputs, of the state, and bias for columns of streams; those of the gates with the other sign."""
+    sign = np.where(np.arange(3 * k) < 2 * k, -1, 1).astype(w["state"].dtype)
+    inputs, state = (np.ascontiguousarray((w[name] * sign).T) for name in ("inputs", "state"))
+    return inputs, state, (w["bias"] * sign)[:, None]
+
+
+def starts_of(first: np.ndarray) -> dict[int, np.ndarray]:
+    """The streams in which a document starts, by step."""
+    return {int(t): np.flatnonzero(first[t]) for t in np.flatnonzero(first.any(1))}
+
+
+def step(x: np.ndarray, h: np.ndarray, state: np.ndarray, g: np.ndarray, gates: np.ndarray,
+         new: np.ndarray, out: np.ndarray) -> None:
+    """One step of the gated unit from its weighted inputs, both `turned`; units in rows, streams in columns.
+
+    Writes the weighted state, the gates, the candidate and the new state.
+    """
+    k = len(h)
+    np.matmul(state, h, out=g)
+    np.add(x[: 2 * k], g[: 2 * k], out=gates)
+    np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    new = gates[:, k:] * g[:, 2 * k :]
-    new += x[:, 2 * k :]
+    np.multiply(gates[k:], g[2 * k :], out=new)
+    new += x[2 * k :]
     np.tanh(new, out=new)
-    out = h - new
-    out *= gates[:, :k]
+    np.subtract(h, new, out=out)
+    out *= gates[:k]
     out += new
-    return out, gates, new, g
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Shares per row, written over x."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+def summed(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of rows of each id, and these ids."""
+    order = np.argsort(small_numbers(ids), kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return np.add.reduceat(rows[order], starts), ids[starts]
+
 
+class ByClass:
+    """Places in the order of the class of their goal, and one flat array of the softmaxes inside classes.
 
-def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class below n that occurs, with the places where it does."""
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(n + 1))
-    for c in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        yield int(c), order[cuts[c] : cuts[c + 1]]
+    `parts` holds for each class that occurs its words a to b, its places lo to hi in that order, and the
+    slice of the flat array, a row of b - a numbers per place.  `starts` and `goals` are the flat places of
+    each row and of its goal.  Places of the last class, of all other words, come last and have no row.
+    """
+
+    def __init__(self, classes: np.ndarray, bounds: np.ndarray, goal: np.ndarray) -> None:
+        cls = classes[goal]
+        self.order = np.argsort(cls, kind="stable")
+        self.classes = cls[self.order]
+        cuts = np.searchsorted(self.classes, np.arange(len(bounds)))
+        widths = np.diff(bounds)
+        ends = np.cumsum(np.repeat(widths, np.diff(cuts)))
+        own = self.classes[: len(ends)]
+        self.starts = ends - widths[own]
+        self.goals = self.starts + goal[self.order[: len(ends)]] - bounds[own]
+        self.parts, at = [], 0
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            lo, hi = int(cuts[c]), int(cuts[c + 1])
+            size = (hi - lo) * int(widths[c])
+            self.parts.append((int(bounds[c]), int(bounds[c + 1]), lo, hi, slice(at, at + size)))
+            at += size
+        self.size = at
+
+    def exponentials(self, h: np.ndarray, word: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The flat array from sorted states, and the exponent of each row's goal; rows that could overflow or vanish
+        are moved by their largest."""
+        flat = np.empty(self.size, h.dtype)
+        for a, b, lo, hi, place in self.parts:
+            rows = flat[place].reshape(hi - lo, b - a)
+            np.matmul(h[lo:hi], word[a:b].T, out=rows)
+            rows += bias[a:b]
+        if flat.max() > 60 or flat.min() < -60:
+            top = np.maximum.reduceat(flat, self.starts)
+            flat -= np.repeat(top, np.diff(np.append(self.starts, self.size)))
+        got = flat[self.goals]
+        np.exp(flat, out=flat)
+        return flat, got
 
 
 def packed_streams(lens: list[int], streams: int) -> list[list[int]]:
@@ -211,7 +264,8 @@ def packed_streams(lens: list[int], streams: int) -> list[list[int]]:
         out[s].append(i)
         total[s] = n + lens[i]
         heapq.heappush(heap, (total[s], s))
-    return [out[s] for s in sorted(range(len(out)), key=total.__getitem__, reverse=True)]
+    # in a stream as they came, not the long ones first
+    return [sorted(out[s]) for s in sorted(range(len(out)), key=total.__getitem__, reverse=True)]
 
 
 class Packed:
@@ -242,6 +296,20 @@ class Packed:
         self.goals[place], self.inputs[place], self.first[place] = goals, inputs, first
         self.owner[place] = np.repeat(np.array(docs, np.int32), sizes)
 
+    def block(self, begin: int, steps: int) -> tuple[np.ndarray, ...]:
+        """inputs, goals and first of some steps as (step, stream of the first step), and which places hold a
+        word (None: all); the others are 0."""
+        offsets = self.offsets[begin : begin + steps + 1]
+        at, stop, n = offsets[0], offsets[-1], offsets[1] - offsets[0]
+        parts = [a[at:stop] for a in (self.inputs, self.goals, self.first)]
+        if stop - at == steps * n:
+            return *(a.reshape(steps, n) for a in parts), None
+        there = np.arange(n) < np.diff(offsets)[:, None]
+        out = [np.zeros(there.shape, a.dtype) for a in parts]
+        for block, a in zip(out, parts):
+            block[there] = a
+        return *out, there
+
     def windows(self, tokens: int, least: int = 1) -> Iterator[tuple[int, int]]:
         """(first step, steps) of windows of about so many tokens, `least` steps at least."""
         begin = 0
@@ -259,74 +327,133 @@ class Learner:
                  classes: np.ndarray, bounds: np.ndarray, rate: float = RATE) -> None:
         self.w = {k: v.copy() for k, v in weights.items()}
         self.s = {k: v.copy() for k, v in squares.items()}
-        self.classes, self.bounds, self.rate = classes, bounds, rate
-
-    def _update(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        self.s[name][at] += gradient * gradient
-        self.w[name][at] -= self.rate * gradient / np.sqrt(self.s[name][at])
+        self.classes, self.bounds, self.rate = small_numbers(classes), bounds, rate
+
+    def _update(self, name: str, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
+        w, s = self.w[name], self.s[name]
+        if at is not None:
+            move = gradient * gradient
+            move += s[at]
+            s[at] = move
+            np.sqrt(move, out=move)
+            w[at] -= np.divide(gradient, move, out=move) * self.rate
+            return
+        for i in range(0, len(w), BLOCK):  # blocks that stay in the cache
+            part, squares = gradient[i : i + BLOCK], s[i : i + BLOCK]
+            move = part * part
+            squares += move
+            np.sqrt(squares, out=move)
+            np.divide(part, move, out=move)
+            move *= self.rate
+            w[i : i + BLOCK] -= move
 
     def window(self, pack: Packed, begin: int, steps: int, h: np.ndarray) -> np.ndarray:
-        """Learn from some steps of packed documents; returns the state that the next window goes on from."""
+        """Learn from some steps of packed documents; returns the state that the next window goes on from.
+
+        Arrays over steps are (step, unit, stream), so that every operation runs over whole blocks.
+        """
         w, k = self.w, h.shape[1]
-        at, stop = pack.offsets[begin], pack.offsets[begin + steps]
-        ids, goal = pack.inputs[at:stop], pack.goals[at:stop]
+        ids, goal, first, there = pack.block(begin, steps)
+        n = ids.shape[1]
+        resets = starts_of(first)
         emb = w["embed"][ids]
-        weighted = emb @ w["inputs"] + w["bias"]
-        hs = np.empty((stop - at, k), np.float32)
-        trace = []
-        for t in range(begin, begin + steps):
-            a, b = pack.offsets[t] - at, pack.offsets[t + 1] - at
-            keep = ~pack.first[at + a : at + b, None]
-            before = h[: b - a] * keep
-            h, gates, new, g = step(weighted[a:b], before, w["state"])
-            hs[a:b] = h
-            trace.append((a, b, keep, before, gates, new, g))
-        dh = self._outputs(hs, goal, 1 / (STREAMS * STEPS))
-
-        back = np.zeros((0, k), np.float32)
-        d_in, d_state = np.empty_like(weighted), np.empty_like(weighted)
-        for a, b, keep, before, gates, new, g in reversed(trace):
-            z, r = gates[:, :k], gates[:, k:]
-            d = dh[a:b]
-            d[: len(back)] += back
-            dn = d * (1 - z) * (1 - new * new)
-            d_in[a:b, :k] = d * (before - new) * z * (1 - z)
-            d_in[a:b, k : 2 * k] = dn * g[:, 2 * k :] * r * (1 - r)
-            d_in[a:b, 2 * k :] = dn
-            d_state[a:b, : 2 * k] = d_in[a:b, : 2 * k]
-            d_state[a:b, 2 * k :] = dn * r
-            back = (d * z + d_state[a:b] @ w["state"].T) * keep
-        befores = np.concatenate([x[3] for x in trace])
-        d_emb = d_in @ w["inputs"].T
-        self._update("state", befores.T @ d_state)
-        self._update("inputs", emb.T @ d_in)
-        self._update("bias", d_in.sum(0))
-        order = np.argsort(ids, kind="stable")
-        rows, starts = np.unique(ids[order], return_index=True)
-        self._update("embed", np.add.reduceat(d_emb[order], starts), rows)
-        return h
+        inputs, state, bias = turned(w, k)
+        x = np.matmul(inputs, emb.transpose(0, 2, 1))
+        x += bias
+        hs = np.empty((steps + 1, k, n), np.float32)
+        hs[0] = h[:n].T
+        g, gates = np.empty_like(x), np.empty((steps, 2 * k, n), np.float32)
+        new = np.empty((steps, k, n), np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut: one over infinity
+            for t in range(steps):
+                before = hs[t]
+                if t in resets:
+                    before = before.copy()
+                    before[:, resets[t]] = 0
+                step(x[t], before, state, g[t], gates[t], new[t], hs[t + 1])
+        rows = np.ascontiguousarray(hs.transpose(0, 2, 1))
+        befores = hs[:-1]
+        dh = np.zeros((steps, n, k), np.float32)
+        if there is None:
+            dh = self._outputs(rows[1:].reshape(-1, k), goal.ravel(), 1 / (STREAMS * STEPS)).reshape(dh.shape)
+        else:
+            dh[there] = self._outputs(rows[1:][there], goal[there], 1 / (STREAMS * STEPS))
+        dh = np.ascontiguousarray(dh.transpose(0, 2, 1))
+        last = rows[-1]
+        rows = rows[:-1]
+        rows[first] = 0
+        for t, at in resets.items():
+            befores[t][:, at] = 0
+
+        # what the gradient of a state is multiplied by on its way to both gates and to the weighted state
+        z, r = gates[:, :k], gates[:, k:]
+        shut = 1 - z
+        d_state = x
+        factor = d_state.reshape(steps, 3, k, n)
+        np.subtract(befores, new, out=factor[:, 0])
+        factor[:, 0] *= z
+        factor[:, 0] *= shut
+        np.multiply(new, new, out=new)
+        np.subtract(1, new, out=new)
+        new *= shut
+        np.multiply(new, r, out=factor[:, 2])
+        np.subtract(1, r, out=shut)
+        shut *= g[:, 2 * k :]
+        np.multiply(factor[:, 2], shut, out=factor[:, 1])
+        back, kept = np.zeros((k, n), np.float32), np.empty((k, n), np.float32)
+        for t in range(steps - 1, -1, -1):
+            d = dh[t]
+            d += back
+            factor[t] *= d
+            np.matmul(w["state"], d_state[t], out=back)
+            np.multiply(d, z[t], out=kept)
+            back += kept
+            if t in resets:
+                back[:, resets[t]] = 0
+        self._update("state", np.matmul(d_state, rows).sum(0).T)
+        d_in = d_state
+        np.multiply(dh, new, out=d_in[:, 2 * k :])
+        d_emb = np.matmul(d_in.transpose(0, 2, 1), w["inputs"].T).reshape(-1, k)
+        self._update("inputs", np.matmul(d_in, emb).sum(0).T)
+        self._update("bias", d_in.sum(2).sum(0))
+        self._update("embed", *summed(d_emb, ids.ravel()))
+        return last
 
     def _outputs(self, h: np.ndarray, goal: np.ndarray, scale: float) -> np.ndarray:
+        """Learn the softmaxes; the gradient of each state."""
         w = self.w
-        cls = self.classes[goal]
-        p = softmax(h @ w["class"] + w["class_bias"])
-        p[np.arange(len(goal)), cls] -= 1
-        p *= scale
-        dh = p @ w["class"].T
-        self._update("class", h.T @ p)
-        self._update("class_bias", p.sum(0))
-        for c, at in by_class(cls, len(self.bounds) - 1):
-            a, b = self.bounds[c], self.bounds[c + 1]
-            if b - a < 2:
-                continue
-            mine, words = h[at], w["word"][a:b]
-            p = softmax(mine @ words.T + w["word_bias"][a:b])
-            p[np.arange(len(at)), goal[at] - a] -= 1
-            p *= scale
-            dh[at] += p @ words
-            self._update("word", p.T @ mine, slice(a, b))
-            self._update("word_bias", p.sum(0), slice(a, b))
-        return dh
+        sort = ByClass(self.classes, self.bounds, goal)
+        h = h[sort.order]
+        p = w["class"].T @ h.T
+        p += w["class_bias"][:, None]
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p *= scale / p.sum(0)
+        p[sort.classes, np.arange(len(goal))] -= scale
+        dh = p.T @ w["class"].T
+        self._update("class", (p @ h).T)
+        self._update("class_bias", p.sum(1))
+        made = np.empty_like if len(sort.parts) == len(self.bounds) - 1 else np.zeros_like
+        d_word, d_bias = made(w["word"]), made(w["word_bias"])
+        if len(sort.starts):
+            flat, _ = sort.exponentials(h, w["word"], w["word_bias"])
+            total = np.add.reduceat(flat, sort.starts)
+            flat[sort.goals] -= total
+            shares = scale / total
+            weighted = h[: len(shares)] * shares[:, None]
+            back = np.empty_like(weighted)
+            for a, b, lo, hi, place in sort.parts:
+                p = flat[place].reshape(hi - lo, b - a)
+                np.matmul(p, w["word"][a:b], out=back[lo:hi])
+                np.matmul(p.T, weighted[lo:hi], out=d_word[a:b])
+                np.matmul(shares[lo:hi], p, out=d_bias[a:b])
+            back *= shares[:, None]
+            dh[: len(back)] += back
+        self._update("word", d_word)
+        self._update("word_bias", d_bias)
+        out = np.empty_like(dh)
+        out[sort.order] = dh
+        return out
 
 
 # ---------------------------------------------------------------- learning on the cluster
@@ -464,14 +591,6 @@ def train(docs: DataFrame, learn: Column, share: int = 1, rounds: int = ROUNDS,
 # ---------------------------------------------------------------- scoring
 
 
-def _normed(logits: np.ndarray, safe: bool) -> np.ndarray:
-    """The log of the sum of exponentials per row."""
-    if safe:
-        return np.log(np.exp(logits).sum(1))
-    top = logits.max(1, keepdims=True)
-    return np.log(np.exp(logits - top).sum(1)) + top[:, 0]
-
-
 def log_likelihood(weights: dict, table: np.ndarray, classes: np.ndarray, bounds: np.ndarray,
                    texts: list[np.ndarray]) -> np.ndarray:
     """Natural-log probability of each text's words and end, as numbers below size, or size for others.
@@ -479,37 +598,43 @@ def log_likelihood(weights: dict, table: np.ndarray, classes: np.ndarray, bounds
     `table` holds the weighted inputs of every number.  Others have the probability of their class.
     """
     k = weights["state"].shape[0]
-    # a state lies in -1 .. 1, so this bounds every logit; exponentials of less than 80 do not overflow
-    safe = max(
-        float((np.abs(weights["class"]).sum(0) + np.abs(weights["class_bias"])).max()),
-        float((np.abs(weights["word"]).sum(1) + np.abs(weights["word_bias"])).max()),
-    ) < 80
     pack = Packed(texts, SCORE_STREAMS)
+    classes = small_numbers(classes)
+    _, state, _ = turned(weights, k)
+    table = table.copy()
+    table[:, : 2 * k] *= -1
     result = np.zeros(len(texts))
-    h = np.zeros((SCORE_STREAMS, k), np.float32)
-    offsets, first = pack.offsets, pack.first
+    h = np.zeros((k, SCORE_STREAMS), np.float32)
     for begin, steps in pack.windows(SCORE_WINDOW, 8):
-        at, stop = offsets[begin], offsets[begin + steps]
-        weighted = table[pack.inputs[at:stop]]
-        hs = np.empty((stop - at, k), np.float32)
-        for t in range(begin, begin + steps):
-            a, b = offsets[t], offsets[t + 1]
-            h = h[: b - a]
-            fresh = first[a:b]
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = step(weighted[a - at : b - at], h, weights["state"])[0]
-            hs[a - at : b - at] = h
-        goal = pack.goals[at:stop]
-        cls = classes[goal]
-        logits = hs @ weights["class"] + weights["class_bias"]
-        got = logits[np.arange(len(goal)), cls] - _normed(logits, safe)
-        for c, mine in by_class(cls, len(bounds) - 1):
-            lo, hi = bounds[c], bounds[c + 1]
-            if hi - lo > 1:
-                inner = hs[mine] @ weights["word"][lo:hi].T + weights["word_bias"][lo:hi]
-                got[mine] += inner[np.arange(len(mine)), goal[mine] - lo] - _normed(inner, safe)
-        result += np.bincount(pack.owner[at:stop], got.astype(np.float64), len(texts))
+        ids, goal, first, there = pack.block(begin, steps)
+        n = ids.shape[1]
+        resets = starts_of(first)
+        hs = np.empty((steps, n, k), np.float32)
+        h = h[:, :n].copy()
+        x, g = np.empty((3 * k, n), np.float32), np.empty((3 * k, n), np.float32)
+        gates, new = np.empty((2 * k, n), np.float32), np.empty((k, n), np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut: one over infinity
+            for t in range(steps):
+                if t in resets:
+                    h[:, resets[t]] = 0
+                x[:] = table[ids[t]].T
+                step(x, h, state, g, gates, new, h)
+                hs[t] = h.T
+        hs, goal = hs.reshape(-1, k), goal.ravel()
+        if there is not None:
+            hs, goal = hs[there.ravel()], goal[there.ravel()]
+        sort = ByClass(classes, bounds, goal)
+        hs = hs[sort.order]
+        logits = weights["class"].T @ hs.T
+        logits += weights["class_bias"][:, None]
+        logits -= logits.max(0)
+        got = logits[sort.classes, np.arange(len(goal))].astype(np.float64)
+        got -= np.log(np.exp(logits, out=logits).sum(0))
+        if len(sort.starts):
+            flat, inner = sort.exponentials(hs, weights["word"], weights["word_bias"])
+            got[: len(inner)] += inner - np.log(np.add.reduceat(flat, sort.starts))
+        owner = pack.owner[pack.offsets[begin] : pack.offsets[begin + steps]]
+        result += np.bincount(owner[sort.order], got, len(texts))
     return result
 
 

@@ -382,6 +382,39 @@ def test_lm_gradients(monkeypatch):
             assert abs((up - down) / 2e-5 - gradients[name][at]) < 1e-6, name
 
 
+def test_lm_long_documents_share_steps(monkeypatch):
+    """Long documents of a lane are read side by side, not each in steps of its own."""
+    texts = ["a b c " * 4000 if i % 100 == 50 else "a b " * 500 for i in range(400)]
+    batch = gru.pa.RecordBatch.from_pydict({"lane": [0] * len(texts), "text": texts})
+    steps = []
+
+    def learn(learner, ids):
+        steps.append(gru.Packed(ids, gru.STREAMS).steps)
+        return sum(map(len, ids))
+
+    monkeypatch.setattr(gru, "learn", learn)
+    weights, of, bounds = small_model()
+    rows = list(gru._lane(weights, weights, [b"a", b"b"], of, bounds, 12, 1)(iter([batch])))
+    assert rows[0]["tokens"].to_pylist() == [sum(len(t.split()) + 1 for t in texts)]
+    assert sum(steps) < 13_000  # the longest has 12,001
+
+
+def test_lm_streams_keep_the_order_of_documents():
+    streams = gru.packed_streams([3, 50, 7, 20, 9, 30, 1, 1], 2)
+    assert sorted(i for s in streams for i in s) == list(range(8))
+    assert all(s == sorted(s) for s in streams)
+
+
+def test_lm_score_with_large_logits():
+    """Exponentials that would overflow or vanish."""
+    weights, of, bounds = small_model()
+    weights = {k: v * (60 if k in ("word", "word_bias") else 1) for k, v in weights.items()}
+    texts = [np.append(np.random.default_rng(4).integers(1, 13, 40), 0)]
+    table = weights["embed"] @ weights["inputs"] + weights["bias"]
+    got = gru.log_likelihood(weights, table, of, bounds, texts)
+    assert np.allclose(got, [plain_score(weights, of, bounds, texts[0].tolist())], rtol=1e-4)
+
+
 # ---------------------------------------------------------------- mended contracts
 
 
